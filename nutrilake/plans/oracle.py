@@ -67,3 +67,257 @@ ORACLE["distributor_avg_score"] = with_(PRODUCTS, CLEANED, DISTRIBUTORS) + """
 SELECT Distributeur, avg(nutrition_score_fr_100g) AS avg_nutrition_score
 FROM cleaned CROSS JOIN distributor
 GROUP BY Distributeur"""
+
+# --- grading -----------------------------------------------------------------
+
+ESTIMATE = """
+norm AS (
+SELECT row_id, code, nutrition_grade_fr,
+  CAST(nutrition_score_fr_100g AS DOUBLE) AS off_score,
+  CASE WHEN sugars_100g <> 0 THEN sugars_100g END AS n_sug,
+  CASE WHEN saturated_fat_100g <> 0 THEN saturated_fat_100g END AS n_sat,
+  CASE WHEN salt_100g <> 0 THEN salt_100g END AS n_salt,
+  CASE WHEN fiber_100g <> 0 THEN fiber_100g END AS n_fib,
+  CASE WHEN proteins_100g <> 0 THEN proteins_100g END AS n_pro
+FROM products),
+heur AS (
+SELECT *, CAST(
+   (CASE WHEN n_sug >= 45 THEN 10 WHEN n_sug >= 31 THEN 7 WHEN n_sug >= 18 THEN 5 WHEN n_sug >= 9 THEN 2 ELSE 0 END)
+ + (CASE WHEN n_sat >= 10 THEN 10 WHEN n_sat >= 5 THEN 7 WHEN n_sat >= 2 THEN 4 WHEN n_sat >= 1 THEN 2 ELSE 0 END)
+ + (CASE WHEN n_salt >= 1.5 THEN 8 WHEN n_salt >= 1 THEN 6 WHEN n_salt >= 0.6 THEN 4 WHEN n_salt >= 0.3 THEN 2 ELSE 0 END)
+ - (CASE WHEN n_fib >= 7 THEN 5 WHEN n_fib >= 4 THEN 3 WHEN n_fib >= 2 THEN 1 ELSE 0 END)
+ - (CASE WHEN n_pro >= 8 THEN 2 WHEN n_pro >= 4 THEN 1 ELSE 0 END) AS DOUBLE) AS h_score
+FROM norm),
+est0 AS (
+SELECT *, coalesce(off_score, h_score) AS score_estime FROM heur),
+est AS (
+SELECT *,
+  CASE WHEN score_estime <= -1 THEN 'a' WHEN score_estime <= 2 THEN 'b' WHEN score_estime <= 10 THEN 'c'
+       WHEN score_estime <= 18 THEN 'd' ELSE 'e' END AS grade_estime,
+  CASE WHEN off_score IS NOT NULL THEN 'score_officiel_present' ELSE 'heuristique_nutriments' END AS methode
+FROM est0),
+est2 AS (
+SELECT *,
+  CASE WHEN off_score IS NOT NULL
+       THEN 'Le score nutritionnel numerique vaut ' || CAST(off_score AS VARCHAR)
+            || ', ce qui correspond au Nutri-Score ' || upper(grade_estime) || '.'
+       ELSE 'Estimation heuristique basee sur les nutriments disponibles : '
+            || concat_ws(', ',
+                 CASE WHEN n_sug IS NOT NULL THEN 'sucres=' || CAST(n_sug AS VARCHAR) || 'g/100g' END,
+                 CASE WHEN n_sat IS NOT NULL THEN 'graisses saturees=' || CAST(n_sat AS VARCHAR) || 'g/100g' END,
+                 CASE WHEN n_salt IS NOT NULL THEN 'sel=' || CAST(n_salt AS VARCHAR) || 'g/100g' END,
+                 CASE WHEN n_fib IS NOT NULL THEN 'fibres=' || CAST(n_fib AS VARCHAR) || 'g/100g' END,
+                 CASE WHEN n_pro IS NOT NULL THEN 'proteines=' || CAST(n_pro AS VARCHAR) || 'g/100g' END)
+            || '. Score estime = ' || CAST(h_score AS VARCHAR) || '.'
+  END AS justification
+FROM est)"""
+
+SCORED = """
+scored AS (
+SELECT row_id, code, lower(nutrition_grade_fr) AS actual, grade_estime AS predicted FROM est2)"""
+
+ORACLE["heuristic_grade"] = with_(PRODUCTS, ESTIMATE) + """
+SELECT row_id, code, grade_estime, score_estime, methode, justification FROM est2"""
+
+ORACLE["grade_coherence"] = with_(PRODUCTS, ESTIMATE) + """,
+cur AS (
+SELECT row_id, code, grade_estime,
+  CASE WHEN nutrition_grade_fr IS NULL OR nutrition_grade_fr IN ('', 'null', 'None') THEN NULL
+       ELSE lower(nutrition_grade_fr) END AS g
+FROM est2),
+rk AS (
+SELECT *,
+  CASE g WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 WHEN 'd' THEN 3 WHEN 'e' THEN 4 END AS r_cur,
+  CASE grade_estime WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 WHEN 'd' THEN 3 WHEN 'e' THEN 4 END AS r_est
+FROM cur)
+SELECT row_id, code,
+  CASE WHEN g IS NULL THEN 'manquant' WHEN r_cur IS NULL OR r_est IS NULL THEN 'inconnu'
+       WHEN abs(r_cur - r_est) <= 1 THEN 'coherent' ELSE 'incoherent' END AS statut,
+  CASE WHEN g IS NULL THEN 'Nutri-Score absent dans les donnees.'
+       WHEN r_cur IS NULL OR r_est IS NULL THEN 'Impossible de comparer le Nutri-Score avec certitude.'
+       WHEN abs(r_cur - r_est) <= 1
+       THEN 'Le Nutri-Score ' || upper(g) || ' parait coherent avec l''estimation ' || upper(grade_estime) || '.'
+       ELSE 'Le Nutri-Score ' || upper(g) || ' semble peu coherent avec l''estimation ' || upper(grade_estime) || '.'
+  END AS message,
+  CASE WHEN g IS NOT NULL AND r_cur IS NOT NULL AND r_est IS NOT NULL THEN g END AS grade_actuel,
+  grade_estime
+FROM rk"""
+
+ORACLE["rule_ok_diff"] = with_(PRODUCTS, ESTIMATE, SCORED) + """
+SELECT row_id, code, actual, predicted,
+  CASE WHEN actual = predicted THEN 'OK' ELSE 'DIFF' END AS comparaison_nutri
+FROM scored"""
+
+ORACLE["ok_diff_counts"] = with_(PRODUCTS, ESTIMATE, SCORED) + """
+SELECT CASE WHEN actual = predicted THEN 'OK' ELSE 'DIFF' END AS comparaison_nutri,
+       count(*) AS "Count(product_name)"
+FROM scored GROUP BY 1"""
+
+ORACLE["confusion_matrix"] = with_(PRODUCTS, ESTIMATE, SCORED) + """
+SELECT actual,
+  CAST(sum(CASE WHEN predicted = 'a' THEN 1 ELSE 0 END) AS BIGINT) AS a,
+  CAST(sum(CASE WHEN predicted = 'b' THEN 1 ELSE 0 END) AS BIGINT) AS b,
+  CAST(sum(CASE WHEN predicted = 'c' THEN 1 ELSE 0 END) AS BIGINT) AS c,
+  CAST(sum(CASE WHEN predicted = 'd' THEN 1 ELSE 0 END) AS BIGINT) AS d,
+  CAST(sum(CASE WHEN predicted = 'e' THEN 1 ELSE 0 END) AS BIGINT) AS e,
+  CAST(sum(CASE WHEN predicted = 'unknown' THEN 1 ELSE 0 END) AS BIGINT) AS "unknown"
+FROM scored WHERE actual IS NOT NULL AND predicted IS NOT NULL
+GROUP BY actual"""
+
+CLASS_TABLE = """,
+pairs AS (
+SELECT actual, predicted, count(*) AS n FROM scored
+WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY actual, predicted),
+cls AS (SELECT actual AS c FROM pairs UNION SELECT predicted FROM pairs),
+per AS (
+SELECT c,
+  CAST(sum(CASE WHEN actual = c AND predicted = c THEN n ELSE 0 END) AS BIGINT) AS TP,
+  CAST(sum(CASE WHEN predicted = c AND actual <> c THEN n ELSE 0 END) AS BIGINT) AS FP,
+  CAST(sum(CASE WHEN actual = c AND predicted <> c THEN n ELSE 0 END) AS BIGINT) AS FN,
+  CAST(sum(n) AS BIGINT) AS total
+FROM cls, pairs GROUP BY c),
+m AS (
+SELECT c, TP, FP, FN, total - TP - FP - FN AS TN,
+  CASE WHEN TP + FN = 0 THEN NULL ELSE CAST(TP AS DOUBLE) / CAST(TP + FN AS DOUBLE) END AS recall,
+  CASE WHEN TP + FP = 0 THEN NULL ELSE CAST(TP AS DOUBLE) / CAST(TP + FP AS DOUBLE) END AS precision
+FROM per)"""
+
+ORACLE["class_scores"] = with_(PRODUCTS, ESTIMATE, SCORED) + CLASS_TABLE + """
+SELECT c AS "class", TP, FP, TN, FN, recall, precision, recall AS sensitivity,
+  CASE WHEN TN + FP = 0 THEN NULL ELSE CAST(TN AS DOUBLE) / CAST(TN + FP AS DOUBLE) END AS specificity,
+  CASE WHEN precision + recall = 0 THEN NULL ELSE 2 * precision * recall / (precision + recall) END AS f_measure
+FROM m"""
+
+ORACLE["overall_scores"] = with_(PRODUCTS, ESTIMATE, SCORED) + CLASS_TABLE + """,
+o AS (
+SELECT CAST(sum(TP) AS BIGINT) AS n_correct, CAST(sum(FN) AS BIGINT) AS n_false,
+       CAST(sum((TP + FN) * (TP + FP)) AS BIGINT) AS marg FROM m),
+o2 AS (
+SELECT *, CAST(n_correct + n_false AS DOUBLE) AS n FROM o)
+SELECT n_correct / n AS accuracy, n_false / n AS error, n_correct, n_false,
+  CASE WHEN 1.0e0 - marg / (n * n) = 0 THEN NULL
+       ELSE (n_correct / n - marg / (n * n)) / (1.0e0 - marg / (n * n)) END AS cohen_kappa
+FROM o2"""
+
+EXTERNAL = """
+external AS (
+SELECT row_id, code, product_name, brands_tags AS brands,
+  CASE WHEN row_id % 2 = 0 THEN countries_en END AS countries,
+  CASE WHEN countries_en IS NULL THEN NULL ELSE [concat('en:', lower(countries_en))] END AS countries_tags,
+  nutrition_grade_fr AS nutrition_grades,
+  CASE WHEN row_id % 2 = 0 THEN concat('https://images.example/', code, '/front.jpg') END AS image_front_url,
+  CASE WHEN row_id % 5 <> 0 THEN concat('https://images.example/', code, '.jpg') END AS image_url,
+  nutrition_score_fr_100g,
+  energy_100g AS x_energy, fat_100g AS x_fat, saturated_fat_100g AS x_sat, sugars_100g AS x_sugar,
+  salt_100g AS x_salt, fiber_100g AS x_fiber, proteins_100g AS x_prot, fruits_100g AS x_fruits
+FROM products WHERE row_id % 3 = 0)"""
+
+SCAN = """,
+z AS (
+SELECT code, product_name, brands, nutrition_grades, image_front_url, image_url,
+  CASE WHEN x_energy IS NULL OR isnan(x_energy) OR x_energy = 0 THEN 0e0 ELSE x_energy END AS energy,
+  CASE WHEN x_fat IS NULL OR isnan(x_fat) OR x_fat = 0 THEN 0e0 ELSE x_fat END AS fat,
+  CASE WHEN x_sat IS NULL OR isnan(x_sat) OR x_sat = 0 THEN 0e0 ELSE x_sat END AS sat,
+  CASE WHEN x_sugar IS NULL OR isnan(x_sugar) OR x_sugar = 0 THEN 0e0 ELSE x_sugar END AS sugar,
+  CASE WHEN x_salt IS NULL OR isnan(x_salt) OR x_salt = 0 THEN 0e0 ELSE x_salt END AS salt,
+  CASE WHEN x_fiber IS NULL OR isnan(x_fiber) OR x_fiber = 0 THEN 0e0 ELSE x_fiber END AS fiber,
+  CASE WHEN x_prot IS NULL OR isnan(x_prot) OR x_prot = 0 THEN 0e0 ELSE x_prot END AS prot,
+  CASE WHEN x_fruits IS NULL OR isnan(x_fruits) OR x_fruits = 0 THEN 0e0 ELSE x_fruits END AS fruits
+FROM external),
+pts AS (
+SELECT *,
+  (CASE WHEN energy > 3350 THEN 10 WHEN energy > 3015 THEN 9 WHEN energy > 2680 THEN 8 WHEN energy > 2345 THEN 7
+        WHEN energy > 2010 THEN 6 WHEN energy > 1675 THEN 5 WHEN energy > 1340 THEN 4 WHEN energy > 1005 THEN 3
+        WHEN energy > 670 THEN 2 WHEN energy > 335 THEN 1 ELSE 0 END)
+  + (CASE WHEN sugar > 45 THEN 10 WHEN sugar > 36 THEN 9 WHEN sugar > 27 THEN 7 WHEN sugar > 18 THEN 6
+          WHEN sugar > 9 THEN 3 WHEN sugar > 4.5 THEN 1 ELSE 0 END)
+  + (CASE WHEN sat > 10 THEN 10 WHEN sat > 8 THEN 9 WHEN sat > 6 THEN 7 WHEN sat > 4 THEN 6
+          WHEN sat > 2 THEN 3 WHEN sat > 1 THEN 1 ELSE 0 END)
+  + (CASE WHEN salt > 2.3 THEN 10 WHEN salt > 1.5 THEN 9 WHEN salt > 0.9 THEN 7 WHEN salt > 0.6 THEN 6
+          WHEN salt > 0.3 THEN 3 WHEN salt > 0.15 THEN 1 ELSE 0 END) AS n_pts,
+  CASE WHEN fiber > 4.7 THEN 5 WHEN fiber > 3.7 THEN 4 WHEN fiber > 2.8 THEN 3 WHEN fiber > 1.9 THEN 2
+       WHEN fiber > 0.9 THEN 1 ELSE 0 END AS p_fiber,
+  CASE WHEN prot > 8 THEN 5 WHEN prot > 6.4 THEN 4 WHEN prot > 4.8 THEN 3 WHEN prot > 3.2 THEN 2
+       WHEN prot > 1.6 THEN 1 ELSE 0 END AS p_prot,
+  CASE WHEN fruits > 80 THEN 5 WHEN fruits > 60 THEN 2 WHEN fruits > 40 THEN 1 ELSE 0 END AS p_fruits
+FROM z),
+sc AS (
+SELECT *, n_pts - CASE WHEN n_pts >= 11 AND p_fruits <= 1 THEN p_fiber + p_fruits
+                       ELSE p_fiber + p_prot + p_fruits END AS score_numerique
+FROM pts)"""
+
+ORACLE["nutriment_score"] = with_(PRODUCTS, EXTERNAL) + SCAN + """
+SELECT code,
+  CASE WHEN product_name IS NULL OR product_name = '' THEN 'Inconnu' ELSE product_name END AS product_name,
+  CASE WHEN brands IS NULL OR brands = '' THEN 'Inconnu' ELSE brands END AS brands,
+  CASE WHEN score_numerique <= -1 THEN 'A' WHEN score_numerique <= 2 THEN 'B' WHEN score_numerique <= 10 THEN 'C'
+       WHEN score_numerique <= 18 THEN 'D' ELSE 'E' END AS nutriscore_predit,
+  CASE WHEN nutrition_grades IS NULL OR nutrition_grades = '' THEN 'Non disponible' ELSE nutrition_grades END
+    AS nutriscore_officiel,
+  score_numerique, fat, sugar, salt, prot AS proteins, fiber, energy AS energy_kj, sat AS sat_fat,
+  fruits AS fruits_veg,
+  CASE WHEN image_front_url IS NOT NULL AND image_front_url <> '' THEN image_front_url
+       WHEN image_url IS NOT NULL AND image_url <> '' THEN image_url END AS image_url
+FROM sc"""
+
+# --- profile and domains -------------------------------------------------------
+
+CLEAN_COLS = [
+    ("row_id", "bigint"), ("product_name", "string"), ("brands_tags", "string"), ("categories_en", "string"),
+    ("countries_en", "string"), ("ingredients_text", "string"), ("energy_100g", "double"),
+    ("fat_100g", "double"), ("saturated_fat_100g", "double"), ("sugars_100g", "double"),
+    ("fiber_100g", "double"), ("proteins_100g", "double"), ("salt_100g", "double"), ("sodium_100g", "double"),
+    ("code", "string"), ("nutrition_score_fr_100g", "int"),
+]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c, t in CLEAN_COLS:
+        num = t != "string"
+        x = f"CAST({c} AS DOUBLE)"
+        if num:
+            stats = (f"round(min({x}), 6), round(max({x}), 6), round(quantile_disc({x}, 0.25), 6), "
+                     f"round(quantile_disc({x}, 0.5), 6), round(quantile_disc({x}, 0.75), 6), "
+                     f"round(avg({x}), 6), round(avg(abs({x} - (SELECT avg({x}) FROM cleaned))), 6), "
+                     f"round(stddev_samp({x}), 6), round(sum({x}), 6)")
+        else:
+            stats = ", ".join(["CAST(NULL AS DOUBLE)"] * 9)
+        parts.append(
+            f"SELECT '{c}' AS column_name, '{t}' AS column_type, count(*) - count({c}) AS n_missing, "
+            f"count(DISTINCT {c}) AS n_unique, {stats} FROM cleaned")
+    top = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM cleaned WHERE {c} IS NOT NULL"
+        for c, _ in CLEAN_COLS)
+    return with_(PRODUCTS, CLEANED) + f""",
+stats(column_name, column_type, n_missing, n_unique, min_value, max_value, q25, q50, q75, mean, mad, stddev,
+      "sum") AS ({" UNION ALL ".join(parts)}),
+vals AS ({top}),
+cnt AS (SELECT column_name, value, count(*) AS n FROM vals GROUP BY column_name, value),
+rk AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value ASC) AS r FROM cnt),
+top AS (SELECT column_name, string_agg(value || ':' || CAST(n AS VARCHAR), ', ' ORDER BY r) AS top_values
+        FROM rk WHERE r <= 10 GROUP BY column_name)
+SELECT stats.*, top.top_values FROM stats LEFT JOIN top USING (column_name)"""
+
+
+ORACLE["column_profile"] = _profile_sql()
+
+
+def _domains_sql() -> str:
+    cols = CLEAN_COLS + [("Distributeur", "string"), ("Temps", "string")]
+    parts = []
+    for c, t in cols:
+        if t != "string":
+            parts.append(f"SELECT '{c}' AS column_name, min(CAST({c} AS DOUBLE)) AS lower_bound, "
+                         f"max(CAST({c} AS DOUBLE)) AS upper_bound, CAST(NULL AS BIGINT) AS n_values, "
+                         f"CAST(NULL AS VARCHAR) AS possible_values FROM dist")
+        else:
+            parts.append(f"SELECT '{c}', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), count(DISTINCT {c}), "
+                         f"CASE WHEN count(DISTINCT {c}) <= 60 THEN "
+                         f"array_to_string(list_sort(list(DISTINCT {c})), '|') END FROM dist")
+    return with_(PRODUCTS, CLEANED, DISTRIBUTORS) + """,
+dist AS (SELECT * FROM cleaned CROSS JOIN distributor)
+""" + " UNION ALL ".join(parts)
+
+
+ORACLE["column_domains"] = _domains_sql()

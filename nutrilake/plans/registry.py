@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning
+from nutrilake.plans import cleaning, grading
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {
     "clean_products": cleaning.clean_products,
     "distributor_avg_score": cleaning.distributor_avg_score,
+    "column_profile": cleaning.column_profile,
+    "column_domains": cleaning.column_domains,
+    "nutriment_score": grading.nutriment_score,
+    "heuristic_grade": grading.heuristic_grade,
+    "grade_coherence": grading.grade_coherence,
+    "rule_ok_diff": grading.rule_ok_diff,
+    "ok_diff_counts": grading.ok_diff_counts,
+    "confusion_matrix": grading.confusion_matrix,
+    "class_scores": grading.class_scores,
+    "overall_scores": grading.overall_scores,
 }
