@@ -321,3 +321,162 @@ dist AS (SELECT * FROM cleaned CROSS JOIN distributor)
 
 
 ORACLE["column_domains"] = _domains_sql()
+
+# --- questions and lookups -------------------------------------------------------
+
+QUESTIONS = f"""
+questions_t AS (
+SELECT p_partkey AS q_id, CAST(floor(p_partkey / 2e1) AS BIGINT) AS conv_id, p_partkey % 20 AS turn,
+  CASE p_partkey % 9
+    WHEN 0 THEN 'Explique l’additif E330'
+    WHEN 1 THEN 'Trouve des produits similaires mieux notes'
+    WHEN 2 THEN concat('Propose une catégorie pour "', p_name, '"')
+    WHEN 3 THEN concat('Le pays est manquant pour le code-barres ', CAST(3000000000000 + p_partkey AS {S}))
+    WHEN 4 THEN 'Ce Nutri-Score est-il cohérent ?'
+    WHEN 5 THEN concat('Estime le nutriscore de "', p_name, '"')
+    WHEN 6 THEN 'e150a est-il sain ?'
+    WHEN 7 THEN 'E 322 : quel role ?'
+    ELSE 'Bonjour' END AS question,
+  CASE WHEN p_partkey % 9 IN (1, 4) THEN p_name ELSE NULL END AS indice_produit,
+  CASE WHEN p_partkey % 4 = 0 THEN CAST(3000000000000 + p_partkey AS {S}) ELSE NULL END AS codebarres
+FROM part),
+qx AS (
+SELECT *,
+  regexp_extract(upper(question), '\\bE\\s?([0-9]{{3,4}}[a-z]?)\\b', 1) AS _add,
+  nullif(regexp_extract(question, '\\b([0-9]{{8,14}})\\b', 1), '') AS _bc,
+  regexp_extract_all(question, '"([^"]+)"', 1) AS textes
+FROM questions_t),
+qe AS (
+SELECT *,
+  CASE WHEN _add <> '' OR contains(lower(question), 'additif') THEN 'additif'
+       WHEN contains(lower(question), 'similaire') OR contains(lower(question), 'mieux not') THEN 'similarite'
+       WHEN contains(lower(question), 'catégorie') OR contains(lower(question), 'categorie') THEN 'categorie'
+       WHEN contains(lower(question), 'pays') OR contains(lower(question), 'origine') THEN 'origine'
+       WHEN contains(lower(question), 'cohérent') OR contains(lower(question), 'coherent') THEN 'coherence'
+       WHEN contains(lower(question), 'nutri-score') OR contains(lower(question), 'nutriscore')
+         THEN 'estimer_nutriscore'
+       ELSE 'rag' END AS intention,
+  CASE WHEN codebarres IS NOT NULL AND codebarres <> '' THEN trim(codebarres) ELSE _bc END AS codebarres_effectif,
+  CASE WHEN _add <> '' THEN 'E' || upper(_add) END AS code_additif,
+  coalesce(nullif(trim(codebarres), ''), nullif(trim(indice_produit), ''), nullif(trim(_bc), ''), '')
+    AS reference_deduite
+FROM qx)"""
+
+ADDITIVES_SQL = """
+additives_t AS (
+SELECT * FROM (VALUES
+ ('E100', 'Curcumine', 'colorant', 'Colorant jaune d''origine naturelle, souvent extrait du curcuma.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e100-curcumine'),
+ ('E200', 'Acide sorbique', 'conservateur',
+  'Conservateur utilisé pour limiter le développement de levures et moisissures.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e200-acide-sorbique'),
+ ('E202', 'Sorbate de potassium', 'conservateur',
+  'Sel de l''acide sorbique, utilisé pour prolonger la conservation des aliments.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e202-sorbate-de-potassium'),
+ ('E300', 'Acide ascorbique', 'antioxydant', 'Vitamine C utilisée comme antioxydant pour limiter l''oxydation.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e300-acide-ascorbique'),
+ ('E322', 'Lécithines', 'émulsifiant', 'Famille d''émulsifiants utilisés pour stabiliser les mélanges eau/gras.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e322-lecithines'),
+ ('E330', 'Acide citrique', 'acidifiant',
+  'Acidifiant très courant qui ajuste l''acidité et améliore parfois la conservation ou le goût.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e330-acide-citrique'),
+ ('E331', 'Citrates de sodium', 'correcteur d''acidité',
+  'Régule l''acidité et peut stabiliser certaines boissons et préparations.',
+  'Open Food Facts', 'https://fr.openfoodfacts.org/additif/e331-citrates-de-sodium')
+) AS t(code, nom, role, description, source_nom, url_source))"""
+
+ORACLE["question_intents"] = with_(QUESTIONS) + """
+SELECT q_id, intention, codebarres_effectif, code_additif, reference_deduite,
+  len(textes) AS n_guillemets, textes[1] AS premier_guillemet
+FROM qe"""
+
+ORACLE["barcode_lookup"] = with_(PRODUCTS, QUESTIONS) + """,
+f AS (SELECT trim(code) AS c, min(row_id) AS rid FROM products GROUP BY trim(code))
+SELECT q.q_id, q.codebarres, p.row_id, p.product_name
+FROM questions_t q LEFT JOIN f ON f.c = trim(q.codebarres) LEFT JOIN products p ON p.row_id = f.rid
+WHERE trim(q.codebarres) <> ''"""
+
+ORACLE["name_search"] = with_(PRODUCTS, QUESTIONS) + """,
+hints AS (SELECT q_id, lower(trim(indice_produit)) AS h FROM questions_t WHERE trim(indice_produit) <> ''),
+m AS (SELECT q_id, row_id, product_name, row_number() OVER (PARTITION BY q_id ORDER BY row_id) AS pos
+      FROM hints JOIN products ON contains(lower(product_name), h))
+SELECT q_id, CAST(pos AS INTEGER) AS pos, row_id, product_name FROM m WHERE pos <= 5"""
+
+ORACLE["sql_search"] = with_(PRODUCTS, QUESTIONS) + """,
+refs AS (SELECT q_id, reference_deduite AS ref FROM qe WHERE reference_deduite <> ''),
+m AS (SELECT q_id, row_id, code, product_name, row_number() OVER (PARTITION BY q_id ORDER BY row_id) AS pos
+      FROM refs JOIN products
+        ON trim(code) = ref OR lower(product_name) LIKE lower('%' || ref || '%'))
+SELECT q_id, CAST(pos AS INTEGER) AS pos, row_id, code, product_name FROM m WHERE pos <= 5"""
+
+ORACLE["resolve_reference"] = with_(PRODUCTS, QUESTIONS) + """,
+refs AS (SELECT q_id, reference_deduite AS ref FROM qe WHERE reference_deduite <> ''),
+bc AS (SELECT q_id, min(row_id) AS code_row FROM refs JOIN products ON trim(code) = ref GROUP BY q_id),
+nm AS (SELECT q_id, min(row_id) AS name_row FROM refs
+       JOIN products ON contains(lower(product_name), lower(ref)) GROUP BY q_id)
+SELECT r.q_id, r.ref,
+  CASE WHEN code_row IS NOT NULL THEN 'code' WHEN name_row IS NOT NULL THEN 'nom' END AS via,
+  coalesce(code_row, name_row) AS row_id, p.code, p.product_name
+FROM refs r LEFT JOIN bc USING (q_id) LEFT JOIN nm USING (q_id)
+LEFT JOIN products p ON p.row_id = coalesce(code_row, name_row)"""
+
+ORACLE["resolve_question"] = with_(PRODUCTS, QUESTIONS) + """,
+c0 AS (SELECT q_id, 0 AS prio, 0 AS qpos, min(row_id) AS row_id FROM qe
+       JOIN products ON trim(code) = trim(codebarres_effectif) GROUP BY q_id),
+quoted AS (SELECT q_id, unnest(textes) AS needle, unnest(range(len(textes))) AS qpos FROM qe),
+needles AS (
+  SELECT q_id, 1 AS prio, 0 AS qpos, trim(indice_produit) AS needle FROM qe WHERE trim(indice_produit) <> ''
+  UNION ALL
+  SELECT q_id, 2, qpos, trim(needle) FROM quoted WHERE trim(needle) <> ''),
+c1 AS (SELECT q_id, prio, qpos, min(row_id) AS row_id FROM needles
+       JOIN products ON contains(lower(product_name), lower(needle)) GROUP BY q_id, prio, qpos),
+allc AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1),
+best AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY prio, qpos, row_id) AS r FROM allc)
+SELECT q.q_id, CASE b.prio WHEN 0 THEN 'code' WHEN 1 THEN 'indice' WHEN 2 THEN 'guillemets' END AS via,
+  b.row_id, p.code, p.product_name
+FROM qe q LEFT JOIN best b ON b.q_id = q.q_id AND b.r = 1 LEFT JOIN products p ON p.row_id = b.row_id"""
+
+ADDITIVE_SHEET = """
+  coalesce(a.nom, 'Additif non repertorie localement') AS nom,
+  coalesce(a.role, 'inconnu') AS role,
+  coalesce(a.description, 'Aucune fiche locale n''est disponible. Une verification externe est necessaire.')
+    AS description,
+  coalesce(a.source_nom, 'Open Food Facts') AS source_nom,
+  coalesce(a.url_source, 'https://fr.openfoodfacts.org/recherche?search_terms=' || x.code_additif) AS url_source"""
+
+ORACLE["additive_lookup"] = with_(QUESTIONS, ADDITIVES_SQL) + """,
+x AS (SELECT q_id, code_additif FROM qe WHERE code_additif IS NOT NULL),
+y AS (SELECT x.q_id, x.code_additif, """ + ADDITIVE_SHEET + """
+      FROM x LEFT JOIN additives_t a ON a.code = x.code_additif)
+SELECT *, code_additif || ' - ' || nom || ' (' || role || ') : ' || description || ' Source : ' || source_nom
+          || ' - ' || url_source AS phrase
+FROM y"""
+
+ORACLE["additive_mining"] = with_(PRODUCTS, ADDITIVES_SQL) + """,
+codes AS (SELECT DISTINCT row_id, 'E' || upper(c) AS code_additif FROM (
+  SELECT row_id, unnest(regexp_extract_all(upper(ingredients_text), '\\bE\\s?([0-9]{3,4}[a-z]?)\\b', 1)) AS c
+  FROM products)),
+x AS (SELECT code_additif, count(*) AS n_products FROM codes GROUP BY code_additif)
+SELECT x.code_additif, x.n_products,
+  coalesce(a.nom, 'Additif non repertorie localement') AS nom, coalesce(a.role, 'inconnu') AS role,
+  coalesce(a.url_source, 'https://fr.openfoodfacts.org/recherche?search_terms=' || x.code_additif) AS url_source
+FROM x LEFT JOIN additives_t a ON a.code = x.code_additif"""
+
+MISSING_COUNTRY = """
+todo AS (
+SELECT row_id, code, product_name, countries_en FROM products
+WHERE countries_en IS NULL OR lower(trim(countries_en)) IN ('nan', '', 'null', 'none'))"""
+
+ORACLE["missing_country"] = with_(PRODUCTS, MISSING_COUNTRY) + "SELECT * FROM todo"
+
+ORACLE["country_completion"] = with_(PRODUCTS, MISSING_COUNTRY, EXTERNAL) + """,
+j AS (SELECT t.*, e.code AS ecode, e.countries, e.countries_tags
+      FROM todo t LEFT JOIN external e ON e.code = trim(t.code)),
+k AS (SELECT *, coalesce(CASE WHEN countries <> '' THEN countries END,
+                         CASE WHEN len(countries_tags) > 0 THEN array_to_string(countries_tags, ', ') END,
+                         '') AS txt FROM j)
+SELECT row_id, code, product_name, countries_en,
+  CASE WHEN ecode IS NOT NULL AND txt <> '' THEN txt ELSE 'information non trouvee' END AS pays,
+  CASE WHEN ecode IS NOT NULL AND txt <> '' THEN txt ELSE countries_en END AS countries_completed,
+  CASE WHEN ecode IS NULL THEN 'Produit introuvable' END AS erreur
+FROM k"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning, grading
+from nutrilake.plans import cleaning, grading, lookups
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -23,4 +23,14 @@ QUERIES: dict[str, QueryFn] = {
     "confusion_matrix": grading.confusion_matrix,
     "class_scores": grading.class_scores,
     "overall_scores": grading.overall_scores,
+    "question_intents": lookups.question_intents,
+    "barcode_lookup": lookups.barcode_lookup,
+    "name_search": lookups.name_search,
+    "sql_search": lookups.sql_search,
+    "resolve_reference": lookups.resolve_reference,
+    "resolve_question": lookups.resolve_question,
+    "additive_lookup": lookups.additive_lookup,
+    "additive_mining": lookups.additive_mining,
+    "missing_country": lookups.missing_country,
+    "country_completion": lookups.country_completion,
 }
