@@ -480,3 +480,73 @@ SELECT row_id, code, product_name, countries_en,
   CASE WHEN ecode IS NOT NULL AND txt <> '' THEN txt ELSE countries_en END AS countries_completed,
   CASE WHEN ecode IS NULL THEN 'Produit introuvable' END AS erreur
 FROM k"""
+
+# --- memory, sampling, documents, reference scan ----------------------------------
+
+ORACLE["memory_window"] = with_(QUESTIONS) + """
+SELECT conv_id, turn, q_id, intention FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM qe) WHERE rn <= 12"""
+
+ORACLE["recent_context"] = """
+WITH c AS (
+SELECT conv_id, turn, 'Q=' || text || ' | intention=' ||
+  CASE WHEN regexp_extract(upper(text), '\\bE\\s?([0-9]{3,4}[a-z]?)\\b', 1) <> ''
+            OR contains(lower(text), 'additif') THEN 'additif'
+       WHEN contains(lower(text), 'similaire') OR contains(lower(text), 'mieux not') THEN 'similarite'
+       WHEN contains(lower(text), 'catégorie') OR contains(lower(text), 'categorie') THEN 'categorie'
+       WHEN contains(lower(text), 'pays') OR contains(lower(text), 'origine') THEN 'origine'
+       WHEN contains(lower(text), 'cohérent') OR contains(lower(text), 'coherent') THEN 'coherence'
+       WHEN contains(lower(text), 'nutri-score') OR contains(lower(text), 'nutriscore') THEN 'estimer_nutriscore'
+       ELSE 'rag' END
+  || ' | resume=' || substring(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 1, 260) AS line
+FROM conversations),
+h AS (
+SELECT a.conv_id, a.turn, b.turn AS bt, b.line,
+       row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn) AS i
+FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 5),
+g AS (SELECT conv_id, turn, string_agg(CAST(i AS VARCHAR) || '. ' || line, chr(10) ORDER BY bt) AS ctx
+      FROM h GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, coalesce(g.ctx, 'Aucun historique disponible.') AS contexte
+FROM c LEFT JOIN g USING (conv_id, turn)"""
+
+ORACLE["exact_sample"] = with_(PRODUCTS) + """
+SELECT row_id, code, product_name FROM products
+ORDER BY md5(concat(CAST(row_id AS VARCHAR), '42')), row_id LIMIT 500"""
+
+ORACLE["split_80_20"] = with_(PRODUCTS) + """,
+r AS (SELECT row_id, code,
+        row_number() OVER (ORDER BY md5(concat(CAST(row_id AS VARCHAR), '1678807467440')), row_id) AS rn,
+        count(*) OVER () AS n FROM products)
+SELECT row_id, code, CASE WHEN rn <= floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS "partition" FROM r"""
+
+
+def _safe(expr: str) -> str:
+    return (f"CASE WHEN {expr} IS NULL OR lower(trim({expr})) IN ('nan', '', 'null', 'none') "
+            f"THEN '[DONNEE MANQUANTE]' ELSE {expr} END")
+
+
+_DOC_COLS = [("code", False), ("product_name", False), ("brands_tags", False), ("categories_en", False),
+             ("countries_en", False), ("ingredients_text", False), ("energy_100g", True), ("sugars_100g", True),
+             ("saturated_fat_100g", True), ("fat_100g", True), ("salt_100g", True), ("sodium_100g", True),
+             ("fiber_100g", True), ("proteins_100g", True), ("fruits_100g", True),
+             ("nutrition_score_fr_100g", True), ("nutrition_grade_fr", False)]
+
+DOCS = """
+docs AS (
+SELECT row_id, concat_ws(' | ', 'PRODUIT SOURCE', """ + ", ".join(
+    f"'{c}: ' || " + _safe(f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" if num else f"CAST({c} AS VARCHAR)")
+    for c, num in _DOC_COLS) + """) AS page_content,
+  'openfoodfacts' AS source, coalesce(product_name, '') AS meta_product_name, coalesce(code, '') AS meta_code
+FROM products)"""
+
+ORACLE["product_text"] = with_(PRODUCTS, DOCS) + "SELECT * FROM docs"
+
+ORACLE["valid_reference"] = with_(PRODUCTS) + """
+SELECT row_id, lower(product_name) AS product_name, categories_en FROM products
+WHERE product_name IS NOT NULL AND categories_en IS NOT NULL AND length(product_name) > 0
+  AND length(categories_en) > 0"""
+
+ORACLE["tsv_scan"] = with_(PRODUCTS) + """
+SELECT CAST(row_id AS VARCHAR) AS row_id, lower(product_name) AS product_name, categories_en FROM products
+WHERE product_name IS NOT NULL AND categories_en IS NOT NULL AND length(product_name) > 0
+  AND length(categories_en) > 0"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning, grading, lookups
+from nutrilake.plans import cleaning, grading, lookups, misc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -33,4 +33,11 @@ QUERIES: dict[str, QueryFn] = {
     "additive_mining": lookups.additive_mining,
     "missing_country": lookups.missing_country,
     "country_completion": lookups.country_completion,
+    "memory_window": misc.memory_window,
+    "recent_context": misc.recent_context,
+    "exact_sample": misc.exact_sample,
+    "split_80_20": misc.split_80_20,
+    "product_text": misc.product_text,
+    "valid_reference": misc.valid_reference,
+    "tsv_scan": misc.tsv_scan,
 }
