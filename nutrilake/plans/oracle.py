@@ -550,3 +550,104 @@ ORACLE["tsv_scan"] = with_(PRODUCTS) + """
 SELECT CAST(row_id AS VARCHAR) AS row_id, lower(product_name) AS product_name, categories_en FROM products
 WHERE product_name IS NOT NULL AND categories_en IS NOT NULL AND length(product_name) > 0
   AND length(categories_en) > 0"""
+
+# --- text similarity ----------------------------------------------------------------
+
+
+def _stop_words_sql() -> str:
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "stopwords_en.txt")
+    with open(path, encoding="utf-8") as fh:
+        words = [w.strip() for w in fh if w.strip() and not w.startswith("#")]
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+TFIDF = f"""
+docs_t AS (
+SELECT row_id, concat_ws(' ', coalesce(product_name, ''), coalesce(categories_en, ''),
+                         coalesce(ingredients_text, ''), coalesce(brands_tags, '')) AS text FROM products),
+toks AS (SELECT row_id, unnest(regexp_extract_all(lower(text), '\\b\\w\\w+\\b')) AS term FROM docs_t),
+tf AS (SELECT row_id, term, count(*) AS tf FROM toks WHERE term NOT IN ({_stop_words_sql()}) GROUP BY row_id, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+nd AS (SELECT count(*) AS n FROM products),
+wt AS (SELECT row_id, term, tf * (ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1) AS w
+       FROM tf JOIN dfq USING (term) CROSS JOIN nd),
+nrm AS (SELECT row_id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY row_id),
+vec AS (SELECT row_id, term, w / norm AS w FROM wt JOIN nrm USING (row_id))"""
+
+SIM_TARGETS = """,
+srefs AS (SELECT q_id, reference_deduite AS ref FROM qe
+          WHERE intention IN ('similarite', 'categorie') AND reference_deduite <> ''),
+sbc AS (SELECT q_id, min(row_id) AS code_row FROM srefs JOIN products ON trim(code) = ref GROUP BY q_id),
+snm AS (SELECT q_id, min(row_id) AS name_row FROM srefs
+        JOIN products ON contains(lower(product_name), lower(ref)) GROUP BY q_id),
+targets AS (SELECT q_id AS tid, coalesce(code_row, name_row) AS doc FROM srefs
+            LEFT JOIN sbc USING (q_id) LEFT JOIN snm USING (q_id)
+            WHERE coalesce(code_row, name_row) IS NOT NULL)"""
+
+ALL_TARGETS = """,
+targets AS (SELECT row_id AS tid, row_id AS doc FROM products)"""
+
+
+def _topk_sql(better_only: bool) -> str:
+    better = "AND (tm.trank IS NULL OR cm.crank < tm.trank)" if better_only else ""
+    return f""",
+tm AS (SELECT tid, doc, trim(p.code) AS tcode,
+         CASE lower(trim(p.nutrition_grade_fr)) WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 WHEN 'd' THEN 3
+              WHEN 'e' THEN 4 END AS trank
+       FROM targets JOIN products p ON p.row_id = doc),
+cm AS (SELECT row_id AS cand, trim(code) AS ccode,
+         coalesce(CASE lower(nutrition_grade_fr) WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 WHEN 'd' THEN 3
+                  WHEN 'e' THEN 4 END, 99) AS crank,
+         nutrition_score_fr_100g AS score FROM products),
+sims AS (SELECT t.tid, v2.row_id AS cand, sum(v1.w * v2.w) AS sim
+         FROM targets t JOIN vec v1 ON v1.row_id = t.doc JOIN vec v2 ON v2.term = v1.term GROUP BY t.tid, v2.row_id),
+pairs AS (SELECT tm.tid, cm.cand, round(coalesce(s.sim, 0e0), 9) AS sim, cm.score
+          FROM tm CROSS JOIN cm LEFT JOIN sims s ON s.tid = tm.tid AND s.cand = cm.cand
+          WHERE (cm.ccode IS NULL OR tm.tcode IS NULL OR cm.ccode <> tm.tcode) {better}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY sim DESC, score ASC NULLS LAST, cand ASC) AS rnk
+           FROM pairs)"""
+
+
+ORACLE["similar_products"] = with_(PRODUCTS, QUESTIONS, TFIDF) + SIM_TARGETS + _topk_sql(False) + """
+SELECT tid AS q_id, CAST(rnk AS INTEGER) AS rank, cand AS row_id, p.product_name, p.nutrition_grade_fr,
+       sim AS similarite
+FROM ranked JOIN products p ON p.row_id = cand WHERE rnk <= 5"""
+
+ORACLE["better_rated"] = with_(PRODUCTS, QUESTIONS, TFIDF) + SIM_TARGETS + _topk_sql(True) + """
+SELECT tid AS q_id, CAST(rnk AS INTEGER) AS rank, cand AS row_id, p.product_name, p.nutrition_grade_fr,
+       sim AS similarite
+FROM ranked JOIN products p ON p.row_id = cand WHERE rnk <= 5"""
+
+ORACLE["similar_all_pairs"] = with_(PRODUCTS, TFIDF) + ALL_TARGETS + _topk_sql(False) + """
+SELECT tid AS target_row_id, CAST(rnk AS INTEGER) AS rank, cand AS row_id, sim AS similarite
+FROM ranked WHERE rnk <= 5"""
+
+ORACLE["category_vote"] = with_(PRODUCTS, QUESTIONS, TFIDF) + SIM_TARGETS + _topk_sql(False) + """,
+sim5 AS (SELECT tid AS q_id, rnk, cand FROM ranked WHERE rnk <= 5),
+parts AS (SELECT q_id, rnk, string_split(coalesce(p.categories_en, ''), ',') AS cs
+          FROM sim5 JOIN products p ON p.row_id = cand),
+cats AS (SELECT q_id, rnk, trim(unnest(cs)) AS c, unnest(range(len(cs))) AS i FROM parts),
+cnt AS (SELECT q_id, c, count(*) AS n, min(rnk * 100000 + i) AS fs FROM cats
+        WHERE c <> '' AND lower(c) NOT IN ('null', 'undefined') GROUP BY q_id, c),
+top3 AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, fs ASC) AS pos FROM cnt),
+agg AS (SELECT q_id, string_agg(c || ':' || CAST(n AS VARCHAR), '; ' ORDER BY pos) AS prev,
+               min_by(c, pos) AS first_c FROM top3 WHERE pos <= 3 GROUP BY q_id)
+SELECT q.q_id, coalesce(first_c, 'Categorie indeterminee') AS categorie_suggeree,
+       coalesce(prev, '') AS categories_preuves
+FROM (SELECT DISTINCT q_id FROM sim5) q LEFT JOIN agg USING (q_id)"""
+
+ORACLE["text_pair_similarity"] = with_(PRODUCTS) + """,
+t AS (SELECT row_id, regexp_extract_all(lower(coalesce(product_name, '')), '\\b\\w\\w+\\b') AS ta,
+             regexp_extract_all(lower(coalesce(ingredients_text, '')), '\\b\\w\\w+\\b') AS tb FROM products),
+tfa AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(ta) AS term FROM t) GROUP BY row_id, term),
+tfb AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(tb) AS term FROM t) GROUP BY row_id, term),
+j AS (SELECT coalesce(a.row_id, b.row_id) AS row_id, coalesce(a.tf, 0) AS fa, coalesce(b.tf, 0) AS fb
+      FROM tfa a FULL OUTER JOIN tfb b ON a.row_id = b.row_id AND a.term = b.term),
+w AS (SELECT row_id, fa * CASE WHEN fa > 0 AND fb > 0 THEN 1e0 ELSE ln(1.5e0) + 1e0 END AS wa,
+             fb * CASE WHEN fa > 0 AND fb > 0 THEN 1e0 ELSE ln(1.5e0) + 1e0 END AS wb FROM j),
+agg AS (SELECT row_id, sum(wa * wb) AS dot, sqrt(sum(wa * wa)) AS na, sqrt(sum(wb * wb)) AS nb
+        FROM w GROUP BY row_id)
+SELECT p.row_id, CASE WHEN agg.row_id IS NULL THEN NULL WHEN na = 0 OR nb = 0 THEN 0e0
+                      ELSE round(dot / (na * nb), 3) END AS similarite
+FROM products p LEFT JOIN agg USING (row_id)"""

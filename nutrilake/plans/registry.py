@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning, grading, lookups, misc
+from nutrilake.plans import cleaning, grading, lookups, misc, similar
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -40,4 +40,9 @@ QUERIES: dict[str, QueryFn] = {
     "product_text": misc.product_text,
     "valid_reference": misc.valid_reference,
     "tsv_scan": misc.tsv_scan,
+    "similar_products": similar.similar_products,
+    "better_rated": similar.better_rated,
+    "similar_all_pairs": similar.similar_all_pairs,
+    "category_vote": similar.category_vote,
+    "text_pair_similarity": similar.text_pair_similarity,
 }
