@@ -651,3 +651,42 @@ agg AS (SELECT row_id, sum(wa * wb) AS dot, sqrt(sum(wa * wa)) AS na, sqrt(sum(w
 SELECT p.row_id, CASE WHEN agg.row_id IS NULL THEN NULL WHEN na = 0 OR nb = 0 THEN 0e0
                       ELSE round(dot / (na * nb), 3) END AS similarite
 FROM products p LEFT JOIN agg USING (row_id)"""
+
+# --- vectors -----------------------------------------------------------------------
+
+VEC = """
+ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+en AS (SELECT vec_id, v, label, sqrt(list_inner_product(v, v)) AS nrm FROM ev),
+vq AS (SELECT * FROM en WHERE vec_id % 5 = 0),
+vr AS (SELECT * FROM en WHERE vec_id % 5 <> 0),
+vs AS (SELECT vq.vec_id AS qid, vr.vec_id AS rid, vr.label,
+              round(list_inner_product(vq.v, vr.v) / (vq.nrm * vr.nrm), 6) AS score FROM vq CROSS JOIN vr),
+vb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rk FROM vs)"""
+
+ORACLE["knn_exact"] = with_(VEC) + """
+SELECT qid AS vec_id, rid AS neighbour_id, score, label AS neighbour_label FROM vb WHERE rk = 1"""
+
+# with nlist <= nprobe (400 references give 10 cells) every cell is probed
+ORACLE["knn_ivf"] = ORACLE["knn_exact"]
+
+ORACLE["retrieve_topk"] = with_(VEC) + """
+SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, rid AS neighbour_id, score FROM vb WHERE rk <= 5"""
+
+IMPUTE = """,
+best AS (SELECT qid, score, label AS nl FROM vb WHERE rk = 1),
+imp AS (
+SELECT e.vec_id,
+  CASE WHEN e.vec_id % 5 = 0 THEN (CASE WHEN b.score >= 0.35e0 THEN coalesce(CAST(b.nl AS VARCHAR), '') ELSE '' END)
+       ELSE CAST(e.label AS VARCHAR) END AS label_completed,
+  e.vec_id % 5 = 0 AS to_complete,
+  e.vec_id % 5 = 0 AND b.score IS NOT NULL AND b.score >= 0.35e0 AS completed,
+  CASE WHEN e.vec_id % 5 = 0 THEN b.score END AS score
+FROM embeddings e LEFT JOIN best b ON b.qid = e.vec_id)"""
+
+ORACLE["impute_labels"] = with_(VEC) + IMPUTE + "SELECT * FROM imp"
+
+ORACLE["completion_report"] = with_(VEC) + IMPUTE + """
+SELECT count(*) FILTER (WHERE to_complete) AS to_complete, count(*) FILTER (WHERE completed) AS completed,
+  CASE WHEN count(*) FILTER (WHERE to_complete) = 0 THEN NULL
+       ELSE count(*) FILTER (WHERE completed) * 100.0e0 / count(*) FILTER (WHERE to_complete) END AS pct_completed
+FROM imp"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning, grading, lookups, misc, similar
+from nutrilake.plans import cleaning, grading, lookups, misc, similar, vectors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -45,4 +45,9 @@ QUERIES: dict[str, QueryFn] = {
     "similar_all_pairs": similar.similar_all_pairs,
     "category_vote": similar.category_vote,
     "text_pair_similarity": similar.text_pair_similarity,
+    "knn_exact": vectors.knn_exact,
+    "knn_ivf": vectors.knn_ivf,
+    "retrieve_topk": vectors.retrieve_topk,
+    "impute_labels": vectors.impute_labels,
+    "completion_report": vectors.completion_report,
 }
