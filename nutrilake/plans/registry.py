@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import cleaning, grading, lookups, misc, similar, vectors
+from nutrilake.plans import answers, cleaning, grading, lookups, misc, model_eval, similar, vectors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -50,4 +50,9 @@ QUERIES: dict[str, QueryFn] = {
     "retrieve_topk": vectors.retrieve_topk,
     "impute_labels": vectors.impute_labels,
     "completion_report": vectors.completion_report,
+    "forest_holdout": model_eval.forest_holdout,
+    "forest_full": model_eval.forest_full,
+    "out_of_fold": model_eval.out_of_fold,
+    "split_statistics": model_eval.split_statistics,
+    "answers": answers.answers,
 }

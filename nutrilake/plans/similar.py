@@ -63,27 +63,36 @@ def similar_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 IGNORED_CATEGORIES = ["null", "undefined"]
 
 
-def category_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories of the 5 neighbours split on ',', trimmed, blank and
-    null/undefined dropped; the 3 most common (ties: first seen); suggestion =
-    the first, else ``Categorie indeterminee``."""
-    sim = similar_products(spark, sf_dir)
-    p = tables.products(spark, sf_dir).select("row_id", "categories_en")
-    cats = (sim.join(p, "row_id")
+def vote_categories(top: DataFrame, categories: DataFrame) -> DataFrame:
+    """A8 over (q_id, rank, row_id) neighbours and (row_id, categories_en):
+    categories split on ',', trimmed, blank and null/undefined dropped; the
+    3 most common (ties: first seen); suggestion = the first, else
+    ``Categorie indeterminee``."""
+    cats = (top.join(categories, "row_id")
             .select("q_id", "rank", F.posexplode(F.split(F.coalesce("categories_en", F.lit("")), ",")).alias("i", "c"))
             .select("q_id", "rank", "i", F.trim("c").alias("c"))
             .where((F.col("c") != "") & ~F.lower(F.col("c")).isin(IGNORED_CATEGORIES)))
     counts = cats.groupBy("q_id", "c").agg(F.count(F.lit(1)).alias("n"),
                                            F.min(F.struct("rank", "i")).alias("first_seen"))
     w = Window.partitionBy("q_id").orderBy(F.desc("n"), F.asc("first_seen"))
-    top = counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 3)
-    agg = top.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "n"))).alias("t"))
-    all_q = sim.select("q_id").distinct()
+    top3 = counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 3)
+    agg = top3.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "n"))).alias("t"))
+    all_q = top.select("q_id").distinct()
     return all_q.join(agg, "q_id", "left").select(
         "q_id",
         F.coalesce(F.col("t")[0]["c"], F.lit("Categorie indeterminee")).alias("categorie_suggeree"),
         F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(x["c"], F.lit(":"), x["n"].cast("string"))),
-                                "; "), F.lit("")).alias("categories_preuves"))
+                                "; "), F.lit("")).alias("categories_preuves"),
+        F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(
+            F.lit("('"), x["c"], F.lit("', "), x["n"].cast("string"), F.lit(")"))), ", "), F.lit("")),
+            F.lit("]")).alias("categories_repr"))
+
+
+def category_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: category suggestion from the 5 most similar products."""
+    sim = similar_products(spark, sf_dir).select("q_id", "rank", "row_id")
+    p = tables.products(spark, sf_dir).select("row_id", "categories_en")
+    return vote_categories(sim, p).select("q_id", "categorie_suggeree", "categories_preuves")
 
 
 def text_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
