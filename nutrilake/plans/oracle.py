@@ -690,3 +690,31 @@ SELECT count(*) FILTER (WHERE to_complete) AS to_complete, count(*) FILTER (WHER
   CASE WHEN count(*) FILTER (WHERE to_complete) = 0 THEN NULL
        ELSE count(*) FILTER (WHERE completed) * 100.0e0 / count(*) FILTER (WHERE to_complete) END AS pct_completed
 FROM imp"""
+
+# --- streams (the stream result equals the batch form) --------------------------------
+
+ORACLE["question_stream"] = with_(QUESTIONS) + """
+SELECT q_id, question, intention, codebarres_effectif, code_additif FROM qe"""
+
+ORACLE["scan_stream"] = with_(PRODUCTS, EXTERNAL) + SCAN.replace("FROM external)", "FROM external)", 1) + """,
+npart AS (SELECT count(*) AS n FROM part),
+scans AS (SELECT event_id, ts, CAST(3000000000000 + (event_id % n + n) % n AS VARCHAR) AS code FROM events, npart)
+SELECT s.event_id, s.ts, s.code,
+  CASE WHEN sc.code IS NULL THEN 'Inconnu' WHEN sc.product_name IS NULL OR sc.product_name = '' THEN 'Inconnu'
+       ELSE sc.product_name END AS product_name,
+  CASE WHEN sc.code IS NULL THEN 'Inconnu' WHEN sc.brands IS NULL OR sc.brands = '' THEN 'Inconnu'
+       ELSE sc.brands END AS brands,
+  CASE WHEN sc.code IS NULL THEN 'B'
+       WHEN sc.score_numerique <= -1 THEN 'A' WHEN sc.score_numerique <= 2 THEN 'B'
+       WHEN sc.score_numerique <= 10 THEN 'C' WHEN sc.score_numerique <= 18 THEN 'D' ELSE 'E' END
+    AS nutriscore_predit,
+  CASE WHEN sc.nutrition_grades IS NULL OR sc.nutrition_grades = '' THEN 'Non disponible'
+       ELSE sc.nutrition_grades END AS nutriscore_officiel,
+  coalesce(sc.score_numerique, 0) AS score_numerique,
+  coalesce(sc.fat, 0e0) AS fat, coalesce(sc.sugar, 0e0) AS sugar, coalesce(sc.salt, 0e0) AS salt,
+  coalesce(sc.prot, 0e0) AS proteins, coalesce(sc.fiber, 0e0) AS fiber, coalesce(sc.energy, 0e0) AS energy_kj,
+  coalesce(sc.sat, 0e0) AS sat_fat, coalesce(sc.fruits, 0e0) AS fruits_veg,
+  CASE WHEN sc.image_front_url IS NOT NULL AND sc.image_front_url <> '' THEN sc.image_front_url
+       WHEN sc.image_url IS NOT NULL AND sc.image_url <> '' THEN sc.image_url END AS image_url,
+  CASE WHEN sc.code IS NULL THEN 'Produit introuvable sur Open Food Facts.' END AS erreur
+FROM scans s LEFT JOIN sc ON sc.code = trim(s.code)"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nutrilake.plans import answers, cleaning, grading, lookups, misc, model_eval, similar, vectors
+from nutrilake.streaming import questions as question_stream
+from nutrilake.streaming import scans
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -55,4 +57,6 @@ QUERIES: dict[str, QueryFn] = {
     "out_of_fold": model_eval.out_of_fold,
     "split_statistics": model_eval.split_statistics,
     "answers": answers.answers,
+    "scan_stream": scans.scan_stream,
+    "question_stream": question_stream.question_stream,
 }
