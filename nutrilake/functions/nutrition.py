@@ -1,13 +1,19 @@
-"""Nutrition scalar functions (F8-F16, F12): product normalisation, score to
-grade, heuristic grade estimate, coherence check and scan scoring. All are
-column expressions (codegen'd, no UDF)."""
+"""Nutrition functions (F8-F16, F12): product normalisation, score to grade,
+heuristic grade estimate, coherence check and scan scoring.
+
+All are built-in column expressions (codegen'd, no UDF). The multi-step ones
+add their intermediate values as named columns, one projection per step:
+a value used several times (a normalised nutrient, a score) is computed
+once and referenced, instead of its definition being copied into every
+use, which keeps the generated code small."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nutrilake.functions.missing import first_number, first_value
 
@@ -60,38 +66,57 @@ def _steps(x: Column, table: Sequence[tuple[float, int]], strict: bool) -> Colum
     return out.otherwise(F.lit(0))
 
 
-def normalize_product(flat: dict[str, Column | None], nutriments: Column | None = None,
-                      zero_is_missing: bool = True) -> Column:
-    """struct of the 9 normalised fields of a product.
+NORM_FIELDS = ["product_name", "nutrition_grade_fr", "nutrition_score_fr", "sugars_100g", "saturated_fat_100g",
+               "salt_100g", "fiber_100g", "proteins_100g", "fat_100g"]
+
+
+def add_normalized(df: DataFrame, flat: dict[str, Column | None], nutriments: Column | None = None,
+                   zero_is_missing: bool = True, prefix: str = "_n_") -> DataFrame:
+    """the 9 normalised fields of a product as columns ``prefix + field``.
 
     ``flat`` maps reference keys to columns (absent keys -> None). A flat
     nutrient value falls back to ``nutriments[key]`` when it is missing or,
     with ``zero_is_missing`` (the reference's behaviour), when it is 0.0.
+    Each field is its own projected column, so later expressions refer to
+    it by name instead of repeating its definition.
     """
+    present = {k: c for k, c in flat.items() if c is not None}
+    kinds = dict(zip(present, (f.dataType for f in df.select(*[c.alias(f"_k{i}") for i, c in
+                                                               enumerate(present.values())]).schema.fields)))
+
     def get(key: str) -> Column:
         c = flat.get(key)
         return F.lit(None).cast("string") if c is None else c
 
+    def number(key: str) -> Column:
+        # numbers are only missing when null; text follows notion 4 and must parse
+        c = flat.get(key)
+        if c is None:
+            return F.lit(None).cast("double")
+        if isinstance(kinds[key], T.NumericType):
+            return c.cast("double")
+        return first_number(c)
+
     def nutrient(flat_key: str) -> Column:
-        v = first_number(get(flat_key))
+        v = number(flat_key)
         fallback = first_number(nutriments[flat_key]) if nutriments is not None else F.lit(None).cast("double")
         keep = v.isNotNull() & (v != 0) if zero_is_missing else v.isNotNull()
         # a 0.0 fallback stays 0.0 (x or y returns y)
         return F.when(keep, v).otherwise(fallback)
 
     grade = first_value(get("nutrition_grade_fr"), get("nutriscore_grade"), get("nutriscore"))
-    return F.struct(
-        first_value(get("product_name")).alias("product_name"),
-        F.lower(F.coalesce(grade.cast("string"), F.lit(""))).alias("nutrition_grade_fr"),
-        first_number(get("nutrition-score-fr_100g"), get("nutrition_score_fr"), get("nutriscore_score"))
-        .alias("nutrition_score_fr"),
-        nutrient("sugars_100g").alias("sugars_100g"),
-        nutrient("saturated-fat_100g").alias("saturated_fat_100g"),
-        nutrient("salt_100g").alias("salt_100g"),
-        nutrient("fiber_100g").alias("fiber_100g"),
-        nutrient("proteins_100g").alias("proteins_100g"),
-        nutrient("fat_100g").alias("fat_100g"),
-    )
+    score = F.coalesce(number("nutrition-score-fr_100g"), number("nutrition_score_fr"), number("nutriscore_score"))
+    return df.withColumns({
+        prefix + "product_name": first_value(get("product_name")),
+        prefix + "nutrition_grade_fr": F.lower(F.coalesce(grade.cast("string"), F.lit(""))),
+        prefix + "nutrition_score_fr": score,
+        prefix + "sugars_100g": nutrient("sugars_100g"),
+        prefix + "saturated_fat_100g": nutrient("saturated-fat_100g"),
+        prefix + "salt_100g": nutrient("salt_100g"),
+        prefix + "fiber_100g": nutrient("fiber_100g"),
+        prefix + "proteins_100g": nutrient("proteins_100g"),
+        prefix + "fat_100g": nutrient("fat_100g"),
+    })
 
 
 def products_flat(prefix: str = "") -> dict[str, Column]:
@@ -116,20 +141,18 @@ def num_text(x: Column) -> Column:
     return x.cast("double").cast("string")
 
 
-def estimate_grade(norm: Column) -> Column:
-    """struct(grade_estime, score_estime, methode, justification).
+def add_estimate(df: DataFrame, n: str = "_n_", prefix: str = "_e_") -> DataFrame:
+    """F13 on normalised columns (``add_normalized``): adds ``grade_estime``,
+    ``score_estime``, ``methode`` and ``justification`` (with ``prefix``).
 
     Official score present -> its grade; otherwise the heuristic points of
     F13a summed over the nutrients present (a missing nutrient adds 0)."""
-    official = norm["nutrition_score_fr"]
-    sugars, sat, salt = norm["sugars_100g"], norm["saturated_fat_100g"], norm["salt_100g"]
-    fiber, prot = norm["fiber_100g"], norm["proteins_100g"]
-    pts = (F.coalesce(_steps(sugars, HEURISTIC_SUGARS, False), F.lit(0))
-           + F.when(sat.isNotNull(), _steps(sat, HEURISTIC_SAT_FAT, False)).otherwise(0)
-           + F.when(salt.isNotNull(), _steps(salt, HEURISTIC_SALT, False)).otherwise(0)
-           + F.when(fiber.isNotNull(), _steps(fiber, HEURISTIC_FIBER, False)).otherwise(0)
-           + F.when(prot.isNotNull(), _steps(prot, HEURISTIC_PROTEINS, False)).otherwise(0))
-    heur = F.round(pts.cast("double"), 2)
+    official = F.col(n + "nutrition_score_fr")
+    sugars, sat, salt = F.col(n + "sugars_100g"), F.col(n + "saturated_fat_100g"), F.col(n + "salt_100g")
+    fiber, prot = F.col(n + "fiber_100g"), F.col(n + "proteins_100g")
+    pts = (_steps(sugars, HEURISTIC_SUGARS, False) + _steps(sat, HEURISTIC_SAT_FAT, False)
+           + _steps(salt, HEURISTIC_SALT, False) + _steps(fiber, HEURISTIC_FIBER, False)
+           + _steps(prot, HEURISTIC_PROTEINS, False))
     details = F.concat_ws(
         ", ",
         F.when(sugars.isNotNull(), F.concat(F.lit("sucres="), num_text(sugars), F.lit("g/100g"))),
@@ -138,30 +161,33 @@ def estimate_grade(norm: Column) -> Column:
         F.when(fiber.isNotNull(), F.concat(F.lit("fibres="), num_text(fiber), F.lit("g/100g"))),
         F.when(prot.isNotNull(), F.concat(F.lit("proteines="), num_text(prot), F.lit("g/100g"))),
     )
+    df = df.withColumns({prefix + "heur": F.round(pts.cast("double"), 2), prefix + "details": details})
+    heur = F.col(prefix + "heur")
     has = official.isNotNull()
-    grade = F.when(has, score_to_grade(official)).otherwise(score_to_grade(heur))
-    score = F.when(has, official).otherwise(heur)
+    df = df.withColumns({
+        prefix + "score_estime": F.when(has, official).otherwise(heur),
+        prefix + "methode": F.when(has, F.lit("score_officiel_present")).otherwise(F.lit("heuristique_nutriments")),
+    })
+    df = df.withColumn(prefix + "grade_estime", score_to_grade(F.col(prefix + "score_estime")))
     text = F.when(
         has,
         F.concat(F.lit("Le score nutritionnel numerique vaut "), num_text(official),
-                 F.lit(", ce qui correspond au Nutri-Score "), F.upper(grade), F.lit(".")),
+                 F.lit(", ce qui correspond au Nutri-Score "), F.upper(F.col(prefix + "grade_estime")), F.lit(".")),
     ).otherwise(
-        F.concat(F.lit("Estimation heuristique basee sur les nutriments disponibles : "), details,
+        F.concat(F.lit("Estimation heuristique basee sur les nutriments disponibles : "), F.col(prefix + "details"),
                  F.lit(". Score estime = "), num_text(heur), F.lit(".")))
-    return F.struct(
-        grade.alias("grade_estime"),
-        score.alias("score_estime"),
-        F.when(has, F.lit("score_officiel_present")).otherwise(F.lit("heuristique_nutriments")).alias("methode"),
-        text.alias("justification"),
-    )
+    return df.withColumn(prefix + "justification", text).drop(prefix + "heur", prefix + "details")
 
 
-def coherence(norm: Column, estimate: Column, product_present: Column | None = None) -> Column:
-    """struct(statut, message, grade_actuel, grade_estime)."""
-    current = F.when(norm["nutrition_grade_fr"] != "", norm["nutrition_grade_fr"])
-    r_cur, r_est = grade_rank(current), grade_rank(estimate["grade_estime"])
+def add_coherence(df: DataFrame, product_present: Column | None = None, n: str = "_n_", e: str = "_e_",
+                  prefix: str = "_c_") -> DataFrame:
+    """adds ``statut``, ``message`` and ``grade_actuel`` (with ``prefix``)."""
+    df = df.withColumn(prefix + "cur", F.when(F.col(n + "nutrition_grade_fr") != "", F.col(n + "nutrition_grade_fr")))
+    current = F.col(prefix + "cur")
+    df = df.withColumns({prefix + "r_cur": grade_rank(current), prefix + "r_est": grade_rank(F.col(e + "grade_estime"))})
+    r_cur, r_est = F.col(prefix + "r_cur"), F.col(prefix + "r_est")
     gap = F.abs(r_cur - r_est)
-    up_cur, up_est = F.upper(current), F.upper(estimate["grade_estime"])
+    up_cur, up_est = F.upper(current), F.upper(F.col(e + "grade_estime"))
     present = F.lit(True) if product_present is None else product_present
     statut = (F.when(~present, F.lit("inconnu"))
               .when(current.isNull(), F.lit("manquant"))
@@ -177,12 +203,11 @@ def coherence(norm: Column, estimate: Column, product_present: Column | None = N
                .otherwise(F.concat(F.lit("Le Nutri-Score "), up_cur,
                                    F.lit(" semble peu coherent avec l'estimation "), up_est, F.lit("."))))
     comparable = present & current.isNotNull() & r_cur.isNotNull() & r_est.isNotNull()
-    return F.struct(
-        statut.alias("statut"),
-        message.alias("message"),
-        F.when(comparable, current).alias("grade_actuel"),
-        F.when(present, estimate["grade_estime"]).alias("grade_estime"),
-    )
+    return df.withColumns({
+        prefix + "statut": statut,
+        prefix + "message": message,
+        prefix + "grade_actuel": F.when(comparable, current),
+    }).drop(prefix + "cur", prefix + "r_cur", prefix + "r_est")
 
 
 def js_or_zero(x: Column) -> Column:
@@ -195,25 +220,27 @@ def js_or(x: Column, default: Column) -> Column:
     return F.when(x.isNull() | (x == ""), default).otherwise(x)
 
 
-def scan_score(nutriments: Column) -> Column:
-    """F12a-h: struct of the nutrient values used and the predicted grade."""
-    energy = js_or_zero(nutriments["energy-kj_100g"])
-    fat = js_or_zero(nutriments["fat_100g"])
-    sat = js_or_zero(nutriments["saturated-fat_100g"])
-    sugar = js_or_zero(nutriments["sugars_100g"])
-    salt = js_or_zero(nutriments["salt_100g"])
-    fiber = js_or_zero(nutriments["fiber_100g"])
-    prot = js_or_zero(nutriments["proteins_100g"])
-    fruits = js_or_zero(nutriments["fruits-vegetables-nuts-estimate-from-ingredients_100g"])
-    n = (_steps(energy, SCAN_ENERGY, True) + _steps(sugar, SCAN_SUGAR, True)
-         + _steps(sat, SCAN_SAT_FAT, True) + _steps(salt, SCAN_SALT, True))
-    p_fiber, p_prot, p_fruits = (_steps(fiber, SCAN_FIBER, True), _steps(prot, SCAN_PROTEINS, True),
-                                 _steps(fruits, SCAN_FRUITS, True))
-    p = F.when((n >= 11) & (p_fruits <= 1), p_fiber + p_fruits).otherwise(p_fiber + p_prot + p_fruits)
-    score = n - p
-    return F.struct(
-        F.upper(score_to_grade(score)).alias("nutriscore_predit"),
-        score.alias("score_numerique"),
-        fat.alias("fat"), sugar.alias("sugar"), salt.alias("salt"), prot.alias("proteins"),
-        fiber.alias("fiber"), energy.alias("energy_kj"), sat.alias("sat_fat"), fruits.alias("fruits_veg"),
-    )
+SCAN_KEYS = [("energy_kj", "energy-kj_100g"), ("fat", "fat_100g"), ("sat_fat", "saturated-fat_100g"),
+             ("sugar", "sugars_100g"), ("salt", "salt_100g"), ("fiber", "fiber_100g"),
+             ("proteins", "proteins_100g"), ("fruits_veg", "fruits-vegetables-nuts-estimate-from-ingredients_100g")]
+
+
+def add_scan_score(df: DataFrame, nutriments: Column, prefix: str = "_s_") -> DataFrame:
+    """F12a-h: adds the nutrient values used (``fat``, ``sugar``, ... each
+    ``x || 0``), ``score_numerique`` and ``nutriscore_predit`` (with ``prefix``)."""
+    df = df.withColumns({prefix + name: js_or_zero(nutriments[key]) for name, key in SCAN_KEYS})
+
+    def c(name):
+        return F.col(prefix + name)
+    df = df.withColumns({
+        prefix + "_n": (_steps(c("energy_kj"), SCAN_ENERGY, True) + _steps(c("sugar"), SCAN_SUGAR, True)
+                        + _steps(c("sat_fat"), SCAN_SAT_FAT, True) + _steps(c("salt"), SCAN_SALT, True)),
+        prefix + "_pf": _steps(c("fiber"), SCAN_FIBER, True),
+        prefix + "_pp": _steps(c("proteins"), SCAN_PROTEINS, True),
+        prefix + "_pv": _steps(c("fruits_veg"), SCAN_FRUITS, True),
+    })
+    n, pf, pp, pv = c("_n"), c("_pf"), c("_pp"), c("_pv")
+    df = df.withColumn(prefix + "score_numerique",
+                       n - F.when((n >= 11) & (pv <= 1), pf + pv).otherwise(pf + pp + pv))
+    df = df.withColumn(prefix + "nutriscore_predit", F.upper(score_to_grade(c("score_numerique"))))
+    return df.drop(prefix + "_n", prefix + "_pf", prefix + "_pp", prefix + "_pv")

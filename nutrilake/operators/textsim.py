@@ -13,16 +13,18 @@ Top-k similar documents (J9 / J10) are exact without comparing every pair:
 2. A document sharing no rare term with the target can score at most
    ``U = sum over the target's frequent terms of w_target * max_w(term)``.
    When the k-th best candidate beats ``U`` strictly, the top k is final.
-3. Targets left undecided (few rare terms, many frequent ones) fall back to
-   the full inverted-index join over all their terms; targets with fewer than
-   k positive scores are completed with zero-score documents in the
-   tie-break order. Both keep the answer exact.
+3. Targets left undecided (few rare terms, many frequent ones, or fewer
+   than k candidates) are scored exactly against every document in bounded
+   blocks (dense products over each block's vocabulary, numpy in
+   ``cogroup().applyInPandas``), which only emit each target's best k.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +79,60 @@ def _rank_order(sim: str = "sim") -> list[Column]:
     return [F.col(sim).desc(), F.col("_score").asc_nulls_last(), F.col("_cand").asc()]
 
 
+def _block_kernel(k: int):
+    """Score one (ref block, query block) group exactly and keep, per query,
+    the best k eligible references in the final order."""
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"tid": pd.Series(dtype="int64"), "_cand": pd.Series(dtype="int64"),
+                              "sim": pd.Series(dtype="float64"), "_score": pd.Series(dtype="float64")})
+        if q.empty or r.empty:
+            return empty
+        vocab: dict[str, int] = {}
+        for ts in q["terms"]:
+            for t in ts:
+                vocab.setdefault(t, len(vocab))
+        width = max(len(vocab), 1)
+        qm = np.zeros((len(q), width))
+        for i, (ts, ws) in enumerate(zip(q["terms"], q["ws"])):
+            if len(ts):
+                qm[i, [vocab[t] for t in ts]] = ws
+        rm = np.zeros((len(r), width))
+        for j, (ts, ws) in enumerate(zip(r["terms"], r["ws"])):
+            pairs = [(vocab[t], w) for t, w in zip(ts, ws) if t in vocab]
+            if pairs:
+                rm[j, [a for a, _ in pairs]] = [b for _, b in pairs]
+        sims = np.round(qm @ rm.T, SIM_DIGITS)
+        rid = r["_cand"].to_numpy(dtype=np.int64)
+        ccode = r["_ccode"].to_numpy(dtype=object)
+        crank = r["_crank"].to_numpy(dtype=np.int64)
+        rscore = r["_score"].to_numpy(dtype=np.float64)          # NaN = missing
+        score_key = np.where(np.isnan(rscore), np.inf, rscore)    # missing sorts last
+        out_t, out_c, out_s, out_sc = [], [], [], []
+        for i, (tid, tcode, trank) in enumerate(zip(q["tid"], q["_tcode"], q["_trank"])):
+            ok = np.ones(len(r), dtype=bool)
+            if tcode is not None:
+                ok &= np.array([c is None or c != tcode for c in ccode])
+            if trank is not None and not (isinstance(trank, float) and np.isnan(trank)):
+                ok &= crank < int(trank)
+            idx = np.nonzero(ok)[0]
+            if not len(idx):
+                continue
+            order = np.lexsort((rid[idx], score_key[idx], -sims[i, idx]))[:k]
+            sel = idx[order]
+            out_t.append(np.full(len(sel), tid, dtype=np.int64))
+            out_c.append(rid[sel])
+            out_s.append(sims[i, sel])
+            out_sc.append(rscore[sel])
+        if not out_t:
+            return empty
+        return pd.DataFrame({"tid": np.concatenate(out_t), "_cand": np.concatenate(out_c),
+                             "sim": np.concatenate(out_s), "_score": np.concatenate(out_sc)})
+    return fn
+
+
 def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 5,
-                  better_only: bool = False, max_df: int = 1000) -> DataFrame:
+                  better_only: bool = False, max_df: int = 1000, block: int = 2048,
+                  query_block: int = 512) -> DataFrame:
     """Exact top-k most similar documents per target.
 
     targets: (tid, doc) - doc is the target's key in ``vectors``.
@@ -87,25 +141,30 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
              without tokens (they are eligible with similarity 0).
     Candidates exclude the target's trimmed code; with ``better_only`` and a
     target grade in a..e, only strictly better grades (unknown ranks 99).
-    Order: similarity desc, score asc (nulls last), doc asc.
-    Returns (tid, rank, doc, similarite).
-
-    The inputs and the first-pass ranking are checkpointed: each is read by
-    several later stages, and a lost executor then recomputes from the
-    checkpoint rather than from the fit.
+    Order: similarity (rounded to SIM_DIGITS) desc, score asc (nulls last),
+    doc asc. Returns (tid, rank, doc, similarite).
+
+    Pass 1 resolves targets through rare-term candidates and the bound U
+    (module doc). Pass 2 scores the remaining targets exactly against every
+    document in bounded blocks: documents in hash blocks of ``block`` rows,
+    targets in blocks of ``query_block`` rows; each (document block, target
+    block) group is one dense product over the target block's vocabulary,
+    and only the best k per target leave the task. The inputs and the first
+    pass are checkpointed: each is read by several later stages, and a lost
+    executor recomputes from the checkpoint rather than from the fit.
     """
     targets = materialize(targets.select("tid", "doc"))
     vectors = materialize(vectors.select("doc", "term", "df", "w"))
     meta = materialize(meta.select("doc", "code", "grade", "score"))
-    grade_rank = F.coalesce(F.element_at(F.create_map(*sum(
-        [[F.lit(g), F.lit(i)] for i, g in enumerate("abcde")], [])), F.lower(F.col("grade"))), F.lit(99))
+    rank_map = F.create_map(*sum([[F.lit(g), F.lit(i)] for i, g in enumerate("abcde")], []))
     m = meta.select(F.col("doc").alias("_cand"), F.trim(F.col("code").cast("string")).alias("_ccode"),
-                    grade_rank.alias("_crank"), F.col("score").alias("_score"))
+                    F.coalesce(F.element_at(rank_map, F.lower(F.col("grade"))), F.lit(99)).alias("_crank"),
+                    F.col("score").cast("double").alias("_score"))
     tmeta = (targets.join(meta.select("doc", F.trim(F.col("code").cast("string")).alias("_tcode"),
                                       F.lower(F.trim(F.col("grade"))).alias("_tgrade")), "doc", "left")
              .select("tid", "doc", "_tcode",
-                     (F.element_at(F.create_map(*sum([[F.lit(g), F.lit(i)] for i, g in enumerate("abcde")], [])),
-                                   F.col("_tgrade")) if better_only else F.lit(None).cast("int")).alias("_trank")))
+                     (F.element_at(rank_map, F.col("_tgrade")) if better_only
+                      else F.lit(None).cast("int")).alias("_trank")))
 
     def eligible(df: DataFrame) -> DataFrame:
         j = df.join(tmeta.select("tid", "_tcode", "_trank"), "tid").join(m, "_cand")
@@ -113,65 +172,60 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
         cond = cond & (F.col("_trank").isNull() | (F.col("_crank") < F.col("_trank")))
         return j.where(cond)
 
+    # pass 1: candidates through rare terms, exact cosine
     maxw = vectors.groupBy("term").agg(F.max("w").alias("maxw"))
     rare = vectors.where(F.col("df") <= max_df)
+    empty_map = F.create_map().cast("map<string,double>")
     freq_maps = (vectors.where(F.col("df") > max_df).groupBy("doc")
                  .agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("fmap")))
     tvec = targets.join(vectors, "doc").select("tid", "term", "df", F.col("w").alias("tw"))
-
-    # 1. candidates through rare terms, exact cosine
     head = (tvec.where(F.col("df") <= max_df)
             .join(rare.select("term", F.col("doc").alias("_cand"), "w"), "term")
             .groupBy("tid", "_cand").agg(F.sum(F.col("tw") * F.col("w")).alias("rsim")))
     tf_map = targets.join(freq_maps, "doc", "left").select("tid", F.col("fmap").alias("_tmap"))
     cand = (head.join(tf_map, "tid")
             .join(freq_maps.select(F.col("doc").alias("_cand"), F.col("fmap").alias("_cmap")), "_cand", "left")
-            .select("tid", "_cand", (F.col("rsim") + F.coalesce(_dot_maps(F.coalesce("_tmap", F.create_map().cast(
-                "map<string,double>")), F.coalesce("_cmap", F.create_map().cast("map<string,double>"))),
-                F.lit(0.0))).alias("sim")))
-    cand = eligible(cand.withColumn("sim", F.round("sim", SIM_DIGITS)))
-    # 2. bound for documents that share no rare term
+            .select("tid", "_cand", F.round(F.col("rsim") + _dot_maps(F.coalesce("_tmap", empty_map),
+                                                                    F.coalesce("_cmap", empty_map)),
+                                            SIM_DIGITS).alias("sim")))
+    cand = eligible(cand)
     bound = (tvec.where(F.col("df") > max_df).join(maxw, "term").groupBy("tid")
              .agg(F.sum(F.col("tw") * F.col("maxw")).alias("U")))
     w_rank = Window.partitionBy("tid").orderBy(*_rank_order())
-    top1 = materialize(cand.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k))
-    status = (top1.groupBy("tid").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth")))
-    all_t = (targets.select("tid").join(status, "tid", "left").join(bound, "tid", "left")
-             .select("tid", F.coalesce("_n", F.lit(0)).alias("_n"), "_kth", F.coalesce("U", F.lit(0.0)).alias("U")))
-    all_t = materialize(all_t)
-    # ranks use similarities rounded to SIM_DIGITS: a margin keeps the test strict
-    resolved = all_t.where((F.col("_n") >= k) & (F.col("_kth") > F.col("U") + F.lit(10.0 ** -SIM_DIGITS)))
-    # documents outside the candidates can only score 0 when U = 0
-    need_zero_fill_only = all_t.where((F.col("_n") < k) & (F.col("U") == 0))
-    undecided = all_t.join(resolved.select("tid"), "tid", "left_anti") \
-        .join(need_zero_fill_only.select("tid"), "tid", "left_anti").select("tid")
-
-    # 3a. fallback: full inverted join for undecided targets
-    fb = (tvec.join(undecided, "tid")
-          .join(vectors.select("term", F.col("doc").alias("_cand"), "w"), "term")
-          .groupBy("tid", "_cand").agg(F.sum(F.col("tw") * F.col("w")).alias("sim")))
-    fb = eligible(fb.withColumn("sim", F.round("sim", SIM_DIGITS)))
-    positives = (top1.join(resolved.select("tid"), "tid").select("tid", "_cand", "sim", "_score")
-                 .unionByName(top1.join(need_zero_fill_only.select("tid"), "tid")
-                              .select("tid", "_cand", "sim", "_score"))
-                 .unionByName(fb.select("tid", "_cand", "sim", "_score")))
-    positives = materialize(positives)
-    # 3b. zero-score completion: the first documents in (score, doc) order.
-    # At most k documents of one code can be needed, so keep k per (grade,
-    # code), then 3k per grade: enough after removing the < k positives and
-    # the target's own code. Both limits are partial window group limits.
-    n_pos = positives.groupBy("tid").agg(F.count(F.lit(1)).alias("_np"))
-    short = targets.select("tid").join(n_pos, "tid", "left").where(F.coalesce("_np", F.lit(0)) < k).select("tid")
-    order = [F.col("_score").asc_nulls_last(), F.col("_cand").asc()]
-    per_code = m.withColumn("_zr", F.row_number().over(Window.partitionBy("_crank", "_ccode").orderBy(*order))) \
-        .where(F.col("_zr") <= k)
-    first_docs = per_code.withColumn("_zr", F.row_number().over(Window.partitionBy("_crank").orderBy(*order))) \
-        .where(F.col("_zr") <= 3 * k).select("_cand", F.lit(1).alias("_one"))
-    # first_docs holds at most 3k rows per grade rank (6 values): a bounded broadcast
-    zeros = eligible(short.withColumn("_one", F.lit(1)).join(F.broadcast(first_docs), "_one").drop("_one")) \
-        .join(positives.select("tid", "_cand"), ["tid", "_cand"], "left_anti") \
-        .withColumn("sim", F.lit(0.0))
-    allc = positives.unionByName(zeros.select("tid", "_cand", "sim", "_score"))
+    top1 = materialize(cand.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k)
+                       .select("tid", "_cand", "sim", "_score"))
+    status = top1.groupBy("tid").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
+    # a document sharing no rare term scores at most U; ranks use rounded
+    # similarities, so the test keeps a margin of one rounding unit
+    resolved = materialize(
+        targets.select("tid").join(status, "tid").join(bound, "tid", "left")
+        .where((F.col("_n") >= k) & (F.col("_kth") > F.coalesce("U", F.lit(0.0)) + F.lit(10.0 ** -SIM_DIGITS)))
+        .select("tid"))
+
+    # pass 2: every other target against every document, in bounded blocks
+    sparse = vectors.groupBy("doc").agg(F.collect_list(F.struct("term", "w")).alias("tw"))
+    sparse = sparse.select("doc", F.col("tw.term").alias("terms"), F.col("tw.w").alias("ws"))
+    no_terms = F.array().cast("array<string>")
+    no_ws = F.array().cast("array<double>")
+    refs = (m.join(sparse.withColumnRenamed("doc", "_cand"), "_cand", "left")
+            .select("_cand", F.coalesce("terms", no_terms).alias("terms"), F.coalesce("ws", no_ws).alias("ws"),
+                    "_ccode", "_crank", "_score"))
+    todo = targets.join(resolved, "tid", "left_anti")
+    queries = (todo.join(tmeta.select("tid", "_tcode", "_trank"), "tid").join(sparse, "doc", "left")
+               .select("tid", F.coalesce("terms", no_terms).alias("terms"), F.coalesce("ws", no_ws).alias("ws"),
+                       "_tcode", "_trank"))
+    n_refs = meta.select(F.count(F.lit(1))).scalar()
+    n_q = todo.select(F.count(F.lit(1))).scalar()
+    nrb = F.greatest(F.ceil(n_refs / F.lit(block)), F.lit(1)).cast("int")
+    nqb = F.greatest(F.ceil(n_q / F.lit(query_block)), F.lit(1)).cast("int")
+    refs_b = refs.select("*", F.pmod(F.xxhash64("_cand"), nrb).cast("int").alias("rb"),
+                         F.explode(F.sequence(F.lit(0), nqb - 1)).alias("qb"))
+    queries_b = queries.select("*", F.pmod(F.xxhash64("tid"), nqb).cast("int").alias("qb"),
+                               F.explode(F.sequence(F.lit(0), nrb - 1)).alias("rb"))
+    schema = "tid long, _cand long, sim double, _score double"
+    exact = (queries_b.groupBy("rb", "qb").cogroup(refs_b.groupBy("rb", "qb"))
+             .applyInPandas(_block_kernel(k), schema))
+    allc = top1.join(resolved, "tid").unionByName(exact)
     final = allc.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k)
     return final.select("tid", "rank", F.col("_cand").alias("doc"), F.col("sim").alias("similarite"))
 

@@ -170,15 +170,20 @@ def _analyse(s: DataFrame, has_local: Column, has_ext: Column) -> DataFrame:
     nom = F.when(has_local, F.coalesce(F.col("l_product_name"), F.lit(""))).otherwise(F.col("ref2"))
 
     # product used by coherence / estimate: local, else external, else none
-    local_norm = N.normalize_product(N.products_flat("l_"))
+    local_flat = N.products_flat("l_")
     ext_flat = {"product_name": F.col("x_product_name"), "nutriscore_grade": F.col("x_nutrition_grades"),
                 "nutriscore_score": F.col("x_nutrition_score_fr_100g")}
-    ext_norm = N.normalize_product(ext_flat, F.col("x_nutriments"))
-    empty_norm = N.normalize_product({})
-    norm = F.when(has_local, local_norm).when(has_ext, ext_norm).otherwise(empty_norm)
+    keys = set(local_flat) | set(ext_flat)
+    flat = {key: F.when(has_local, local_flat.get(key, F.lit(None)).cast("string"))
+            .when(has_ext, ext_flat.get(key, F.lit(None)).cast("string")) for key in keys}
+    # numeric columns keep their type (numbers are missing only when null)
+    for key in ("sugars_100g", "saturated-fat_100g", "salt_100g", "fiber_100g", "proteins_100g", "fat_100g"):
+        flat[key] = F.when(has_local, local_flat[key])
+    flat["nutriscore_score"] = F.when(~has_local & has_ext, F.col("x_nutrition_score_fr_100g").cast("double"))
+    flat["nutrition-score-fr_100g"] = F.when(has_local, local_flat["nutrition-score-fr_100g"].cast("double"))
     present = has_local | has_ext
-    s = s.withColumn("_norm", norm).withColumn("_est", N.estimate_grade(F.col("_norm")))
-    s = s.withColumn("_coh", N.coherence(F.col("_norm"), F.col("_est"), present))
+    s = N.add_normalized(s, flat, F.when(~has_local & has_ext, F.col("x_nutriments")))
+    s = N.add_coherence(N.add_estimate(s), present)
     est_name = F.when(has_local, F.coalesce(F.col("l_product_name"), F.lit(""))) \
         .when(has_ext, F.coalesce(F.col("x_product_name"), F.lit("ce produit"))).otherwise(F.lit("ce produit"))
     # origin from the product reference source
@@ -242,17 +247,17 @@ def _analyse(s: DataFrame, has_local: Column, has_ext: Column) -> DataFrame:
             .otherwise(F.lit("La similarite est calculee sur le nom, la categorie, les ingredients et la marque "
                              "via TF-IDF."))),
         "coherence": branch(
-            F.col("_coh.message"),
+            F.col("_c_message"),
             F.lit("Conserver le Nutri-Score actuel s'il est coherent, sinon signaler une verification manuelle."),
-            F.when(present, F.col("_est.justification"))
+            F.when(present, F.col("_e_justification"))
             .otherwise(F.lit("Comparaison realisee a partir des nutriments disponibles."))),
         "estimer_nutriscore": branch(
             F.concat(F.lit("Pour "), est_name, F.lit(", le Nutri-Score estime est "),
-                     F.upper(F.col("_est.grade_estime")), F.lit(" (score "),
-                     N.num_text(F.col("_est.score_estime")), F.lit(").")),
+                     F.upper(F.col("_e_grade_estime")), F.lit(" (score "),
+                     N.num_text(F.col("_e_score_estime")), F.lit(").")),
             F.lit("Ajouter le Nutri-Score estime comme proposition d'enrichissement en attendant validation "
                   "humaine."),
-            F.col("_est.justification")),
+            F.col("_e_justification")),
         "rag": branch(
             F.lit("Voici la meilleure synthese disponible a partir du contexte local."),
             F.lit("Enrichir le produit avec les champs manquants identifies dans le contexte."),
@@ -270,3 +275,10 @@ def _analyse(s: DataFrame, has_local: Column, has_ext: Column) -> DataFrame:
 def api_response(df: DataFrame) -> DataFrame:
     """The answer as the service returns it."""
     return df.select(F.col("reponse").alias("response"), F.col("intention").alias("intent"), "question")
+
+
+def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 over L4: for every question, its 4 closest product documents
+    joined by a blank line."""
+    q = tables.questions(spark, sf_dir).select("q_id", "question")
+    return retrieval_context(spark, q, misc.product_documents(tables.products(spark, sf_dir)))

@@ -16,26 +16,26 @@ CLASSES = ["a", "b", "c", "d", "e", "unknown"]
 
 
 def with_estimate(df: DataFrame) -> DataFrame:
-    norm = N.normalize_product(N.products_flat())
-    return df.withColumn("_norm", norm).withColumn("_est", N.estimate_grade(F.col("_norm")))
+    return N.add_estimate(N.add_normalized(df, N.products_flat()))
 
 
 def heuristic_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = with_estimate(tables.products(spark, sf_dir))
-    return p.select("row_id", "code", "_est.*")
+    return p.select("row_id", "code", *[F.col("_e_" + c).alias(c) for c in
+                                        ("grade_estime", "score_estime", "methode", "justification")])
 
 
 def grade_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = with_estimate(tables.products(spark, sf_dir))
-    return p.select("row_id", "code", N.coherence(F.col("_norm"), F.col("_est")).alias("c")).select(
-        "row_id", "code", "c.*")
+    p = N.add_coherence(with_estimate(tables.products(spark, sf_dir)))
+    return p.select("row_id", "code", F.col("_c_statut").alias("statut"), F.col("_c_message").alias("message"),
+                    F.col("_c_grade_actuel").alias("grade_actuel"), F.col("_e_grade_estime").alias("grade_estime"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored grade (lower-cased) against the heuristic estimate."""
     p = with_estimate(tables.products(spark, sf_dir))
     return p.select("row_id", "code", F.lower(F.col("nutrition_grade_fr")).alias("actual"),
-                    F.col("_est.grade_estime").alias("predicted"))
+                    F.col("_e_grade_estime").alias("predicted"))
 
 
 def rule_ok_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +61,16 @@ def overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nutriment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F12 over the product reference source: 14 output columns + code."""
-    ext = tables.external_products(spark, sf_dir)
-    s = N.scan_score(F.col("nutriments"))
+    ext = N.add_scan_score(tables.external_products(spark, sf_dir), F.col("nutriments"))
     return ext.select(
         "code",
         N.js_or(F.col("product_name"), F.lit("Inconnu")).alias("product_name"),
         N.js_or(F.col("brands"), F.lit("Inconnu")).alias("brands"),
-        s["nutriscore_predit"].alias("nutriscore_predit"),
+        F.col("_s_nutriscore_predit").alias("nutriscore_predit"),
         N.js_or(F.col("nutrition_grades"), F.lit("Non disponible")).alias("nutriscore_officiel"),
-        s["score_numerique"].alias("score_numerique"),
-        *[s[c].alias(c) for c in ("fat", "sugar", "salt", "proteins", "fiber", "energy_kj", "sat_fat",
-                                  "fruits_veg")],
+        F.col("_s_score_numerique").alias("score_numerique"),
+        *[F.col("_s_" + c).alias(c) for c in ("fat", "sugar", "salt", "proteins", "fiber", "energy_kj", "sat_fat",
+                                              "fruits_veg")],
         N.js_or(F.col("image_front_url"), N.js_or(F.col("image_url"), F.lit(None).cast("string")))
         .alias("image_url"),
     )

@@ -27,7 +27,7 @@ FOLDS = 5
 def model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.products(spark, sf_dir)
     nut = F.create_map(*sum([[F.lit(key), F.col(c)] for key, c in tables.NUTRIMENT_KEYS], []))
-    return p.select("row_id", *FEATURES, F.lower(N.scan_score(nut)["nutriscore_predit"]).alias(LABEL))
+    return N.add_scan_score(p, nut).select("row_id", *FEATURES, F.lower("_s_nutriscore_predit").alias(LABEL))
 
 
 def _scored(pred: DataFrame) -> DataFrame:

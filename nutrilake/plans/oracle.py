@@ -718,3 +718,35 @@ SELECT s.event_id, s.ts, s.code,
        WHEN sc.image_url IS NOT NULL AND sc.image_url <> '' THEN sc.image_url END AS image_url,
   CASE WHEN sc.code IS NULL THEN 'Produit introuvable sur Open Food Facts.' END AS erreur
 FROM scans s LEFT JOIN sc ON sc.code = trim(s.code)"""
+
+# --- retrieval context and SQL guard ----------------------------------------------------
+
+
+def _tfidf_corpus(corpus_cte: str) -> str:
+    return f"""{corpus_cte},
+ctoks AS (SELECT key, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}')) AS term FROM corpus),
+ctf AS (SELECT key, term, count(*) AS tf FROM ctoks WHERE term NOT IN ({_stop_words_sql()}) GROUP BY key, term),
+cdf AS (SELECT term, count(*) AS df FROM ctf GROUP BY term),
+cn AS (SELECT count(*) AS n FROM corpus),
+cw AS (SELECT key, term, tf * (ln(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1) AS w
+       FROM ctf JOIN cdf USING (term) CROSS JOIN cn),
+cnrm AS (SELECT key, sqrt(sum(w * w)) AS norm FROM cw GROUP BY key),
+cvec AS (SELECT key, term, w / norm AS w FROM cw JOIN cnrm USING (key))"""
+
+
+ORACLE["context_join"] = with_(PRODUCTS, QUESTIONS, DOCS) + ",\n" + _tfidf_corpus("""
+corpus AS (SELECT -(q_id + 1) AS key, question AS text FROM questions_t
+           UNION ALL SELECT row_id, page_content FROM docs)""") + """,
+qs AS (SELECT q_id, -(q_id + 1) AS key FROM questions_t),
+ss AS (SELECT qs.q_id, v2.key AS doc, sum(v1.w * v2.w) AS sim
+       FROM qs JOIN cvec v1 ON v1.key = qs.key JOIN cvec v2 ON v2.term = v1.term AND v2.key >= 0
+       GROUP BY qs.q_id, v2.key),
+pairs AS (SELECT qs.q_id, d.row_id AS doc, round(coalesce(ss.sim, 0e0), 9) AS sim
+          FROM qs CROSS JOIN docs d LEFT JOIN ss ON ss.q_id = qs.q_id AND ss.doc = d.row_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, doc ASC) AS r FROM pairs)
+SELECT rk.q_id, string_agg(d.page_content, chr(10) || chr(10) ORDER BY r) AS contexte_rag
+FROM rk JOIN docs d ON d.row_id = rk.doc WHERE r <= 4 GROUP BY rk.q_id"""
+
+ORACLE["sql_guard"] = with_(PRODUCTS) + """
+SELECT code, product_name, countries_en FROM products
+WHERE countries_en IS NULL OR trim(countries_en) = '' OR lower(trim(countries_en)) IN ('nan', 'null', 'none')"""

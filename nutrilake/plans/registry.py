@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.plans import answers, cleaning, grading, lookups, misc, model_eval, similar, vectors
+from nutrilake.plans import answers, cleaning, grading, impute, lookups, misc, model_eval, similar, vectors
 from nutrilake.streaming import questions as question_stream
 from nutrilake.streaming import scans
 
@@ -57,6 +57,10 @@ QUERIES: dict[str, QueryFn] = {
     "out_of_fold": model_eval.out_of_fold,
     "split_statistics": model_eval.split_statistics,
     "answers": answers.answers,
+    "context_join": answers.context_join,
+    "impute_categories": impute.impute_categories,
+    "impute_categories_report": impute.impute_categories_report,
+    "sql_guard": misc.sql_guard,
     "scan_stream": scans.scan_stream,
     "question_stream": question_stream.question_stream,
 }

@@ -28,17 +28,17 @@ def score_scans(scans: DataFrame, external: DataFrame) -> DataFrame:
     ext = external.select(F.col("code").alias("x_code"), "product_name", "brands", "nutrition_grades",
                           "image_front_url", "image_url", "nutriments")
     j = scans.join(ext, F.trim(F.col("code")) == F.col("x_code"), "left")
-    s = N.scan_score(F.coalesce(F.col("nutriments"), F.create_map().cast("map<string,double>")))
+    j = N.add_scan_score(j, F.coalesce(F.col("nutriments"), F.create_map().cast("map<string,double>")))
     found = F.col("x_code").isNotNull()
     return j.select(
         "event_id", "ts", "code",
         N.js_or(F.col("product_name"), F.lit("Inconnu")).alias("product_name"),
         N.js_or(F.col("brands"), F.lit("Inconnu")).alias("brands"),
-        s["nutriscore_predit"].alias("nutriscore_predit"),
+        F.col("_s_nutriscore_predit").alias("nutriscore_predit"),
         N.js_or(F.col("nutrition_grades"), F.lit("Non disponible")).alias("nutriscore_officiel"),
-        s["score_numerique"].alias("score_numerique"),
-        *[s[c].alias(c) for c in ("fat", "sugar", "salt", "proteins", "fiber", "energy_kj", "sat_fat",
-                                  "fruits_veg")],
+        F.col("_s_score_numerique").alias("score_numerique"),
+        *[F.col("_s_" + c).alias(c) for c in ("fat", "sugar", "salt", "proteins", "fiber", "energy_kj", "sat_fat",
+                                              "fruits_veg")],
         N.js_or(F.col("image_front_url"), N.js_or(F.col("image_url"), F.lit(None).cast("string"))).alias("image_url"),
         F.when(~found, F.lit("Produit introuvable sur Open Food Facts.")).alias("erreur"),
     )
