@@ -31,10 +31,10 @@ def fill_from_neighbours(df: DataFrame, target: str, reference: DataFrame, thres
         df = df.withColumn(target, F.lit(""))
     ref = files.valid_reference(reference, "product_name", target)
     ref = sampling.exact_sample(ref.select("row_id", "product_name", target), "row_id", max_reference, seed="42")
-    ref = materialize(ref.select(F.col("row_id").alias("rid"), F.col(target).alias("_value"),
-                                 embed.hashing_embedding(F.col("product_name")).alias("v")))
+    ref = embed.add_hashing_embedding(ref, F.col("product_name"), "v")
+    ref = materialize(ref.select(F.col("row_id").alias("rid"), F.col(target).alias("_value"), "v"))
     todo = missing.is_blank(F.col(target)) & F.col("product_name").isNotNull()
-    queries = df.where(todo).select("row_id", embed.hashing_embedding(F.lower(F.col("product_name"))).alias("v"))
+    queries = embed.add_hashing_embedding(df.where(todo), F.lower(F.col("product_name")), "v").select("row_id", "v")
     best = knn.ivf_knn(queries, "row_id", "v", ref, "rid", "v", k=1, nprobe=nprobe)
     best = best.join(ref.select("rid", "_value"), "rid").select(F.col("qid").alias("row_id"), "score", "_value")
     out = df.join(best, "row_id", "left")
