@@ -103,30 +103,33 @@ def _block_kernel(k: int):
                 rm[j, [a for a, _ in pairs]] = [b for _, b in pairs]
         sims = np.round(qm @ rm.T, SIM_DIGITS)
         rid = r["_cand"].to_numpy(dtype=np.int64)
-        ccode = r["_ccode"].to_numpy(dtype=object)
-        crank = r["_crank"].to_numpy(dtype=np.int64)
         rscore = r["_score"].to_numpy(dtype=np.float64)          # NaN = missing
-        score_key = np.where(np.isnan(rscore), np.inf, rscore)    # missing sorts last
-        out_t, out_c, out_s, out_sc = [], [], [], []
-        for i, (tid, tcode, trank) in enumerate(zip(q["tid"], q["_tcode"], q["_trank"])):
-            ok = np.ones(len(r), dtype=bool)
-            if tcode is not None:
-                ok &= np.array([c is None or c != tcode for c in ccode])
-            if trank is not None and not (isinstance(trank, float) and np.isnan(trank)):
-                ok &= crank < int(trank)
-            idx = np.nonzero(ok)[0]
-            if not len(idx):
-                continue
-            order = np.lexsort((rid[idx], score_key[idx], -sims[i, idx]))[:k]
-            sel = idx[order]
-            out_t.append(np.full(len(sel), tid, dtype=np.int64))
-            out_c.append(rid[sel])
-            out_s.append(sims[i, sel])
-            out_sc.append(rscore[sel])
-        if not out_t:
+        # tie-break rank of each reference: score asc (missing last), id asc
+        tie = np.empty(len(r), dtype=np.int64)
+        tie[np.lexsort((rid, np.where(np.isnan(rscore), np.inf, rscore)))] = np.arange(len(r))
+        # eligibility: other code (a missing code never clashes), better grade
+        ccode = r["_ccode"].to_numpy(dtype=object)
+        tcode = q["_tcode"].to_numpy(dtype=object)
+        same = (tcode[:, None] == ccode[None, :]) & pd.notna(tcode)[:, None] & pd.notna(ccode)[None, :]
+        trank = pd.to_numeric(q["_trank"], errors="coerce").to_numpy(dtype=np.float64)
+        crank = r["_crank"].to_numpy(dtype=np.float64)
+        worse = ~np.isnan(trank)[:, None] & (crank[None, :] >= np.nan_to_num(trank, nan=0.0)[:, None])
+        # one integer key per pair: rounded similarity first, tie rank second
+        scale = np.int64(len(r))
+        key = -np.rint(sims * 10.0 ** SIM_DIGITS).astype(np.int64) * scale + tie[None, :]
+        key[same | worse] = np.iinfo(np.int64).max
+        kk = min(k, len(r))
+        part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+        pkey = np.take_along_axis(key, part, axis=1)
+        order = np.argsort(pkey, axis=1, kind="stable")
+        sel = np.take_along_axis(part, order, axis=1)
+        valid = np.take_along_axis(pkey, order, axis=1) != np.iinfo(np.int64).max
+        rows = np.repeat(np.arange(len(q)), kk).reshape(len(q), kk)
+        rows, sel = rows[valid], sel[valid]
+        if not len(rows):
             return empty
-        return pd.DataFrame({"tid": np.concatenate(out_t), "_cand": np.concatenate(out_c),
-                             "sim": np.concatenate(out_s), "_score": np.concatenate(out_sc)})
+        return pd.DataFrame({"tid": q["tid"].to_numpy(dtype=np.int64)[rows], "_cand": rid[sel],
+                             "sim": sims[rows, sel], "_score": rscore[sel]})
     return fn
 
 
