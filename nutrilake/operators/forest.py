@@ -29,6 +29,7 @@ def forest_stages(features: Sequence[str], label: str, num_trees: int = 100, max
         RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
                                impurity="entropy", featureSubsetStrategy="sqrt", subsamplingRate=1.0,
                                bootstrap=True, seed=seed, predictionCol="_pred", maxMemoryInMB=1024,
+                               cacheNodeIds=True, checkpointInterval=10,
                                probabilityCol="_prob", rawPredictionCol="_raw"),
     ]
 
