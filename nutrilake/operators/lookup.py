@@ -47,9 +47,11 @@ def _needle_grams(pattern: Column, like: bool) -> Column:
     pieces = F.split(pattern, "[%_]") if like else F.array(pattern)
     longest = F.array_max(F.transform(pieces, lambda p: F.length(p)))
     size = F.least(F.lit(GRAM), longest)
-    return F.array_distinct(F.flatten(F.transform(
+    grams = F.array_distinct(F.flatten(F.transform(
         F.filter(pieces, lambda p: F.length(p) >= size),
         lambda p: _grams(p, size))))
+    # no literal character at all (only wildcards): no gram, every text matches
+    return F.when(longest > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def like_to_regex(pattern: Column) -> Column:

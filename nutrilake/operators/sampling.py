@@ -51,8 +51,10 @@ def split_relative(df: DataFrame, key: str, fraction: float = 0.8, seed: str = "
                    label: str = "partition", first: str = "train", second: str = "test") -> DataFrame:
     """L6 + L7: floor(fraction * rows) rows in md5 order go to ``first``, the
     rest to ``second``; an empty input fails the job."""
+    # An empty input is an error (a one-row probe, checked when the plan is built)
+    if not df.limit(1).count():
+        raise ValueError("empty table: nothing to split")
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
     n_first = F.floor(total * F.lit(fraction)).cast("bigint")
     marked = mark_first(df, key, seed, n_first, "_first")
-    return marked.withColumn(label, F.when(total == 0, F.raise_error(F.lit("empty table: nothing to split")))
-                             .when(F.col("_first"), F.lit(first)).otherwise(F.lit(second))).drop("_first")
+    return marked.withColumn(label, F.when(F.col("_first"), F.lit(first)).otherwise(F.lit(second))).drop("_first")

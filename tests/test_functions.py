@@ -56,7 +56,7 @@ def test_heuristic_estimate(spark):
             "saturated-fat_100g": F.col("sat"), "salt_100g": F.col("salt"), "fiber_100g": F.col("fib"),
             "proteins_100g": F.col("pro")}
     r = N.add_estimate(N.add_normalized(df, flat)).collect()
-    assert r[0]._e_score_estime == 10 + 10 + 8 - 5 - 2 and r[0]._e_grade_estime == "d"
+    assert r[0]._e_score_estime == 10 + 10 + 8 - 5 - 2 and r[0]._e_grade_estime == "e"  # 21 > 18
     assert r[1]._e_grade_estime == "b" and r[1]._e_justification.endswith(": . Score estime = 0.0.")
     assert r[2]._e_methode == "score_officiel_present" and r[2]._e_grade_estime == "a"
 
@@ -119,7 +119,7 @@ def test_like_to_regex_and_substring_matches(spark):
     got = {(r.q, r.row_id) for r in lookup.substring_matches(needles, "q", "n", hay, "row_id", "name", 5,
                                                              like=True).collect()}
     assert {(10, 1), (10, 2), (11, 1)} <= got
-    assert {(12, 2), (12, 3), (12, 5)} <= got      # 't' in chutney, Tea, off? (no: 'off' has no t) -> 50%_off no
+    assert {(12, 2), (12, 3)} <= got and (12, 5) not in got   # 't' in chutney and Tea only
     assert (13, 4) not in got and (13, 1) in got    # a pattern of wildcards matches every non-empty text
     assert (14, 5) in got
 
