@@ -78,3 +78,23 @@ def materialize_table(df: DataFrame, table: str, force: bool = False) -> DataFra
     if force or not spark.catalog.tableExists(table):
         df.write.mode("overwrite").saveAsTable(table)
     return spark.table(table)
+
+
+def bounded_scan(df: DataFrame, n: int | None = None, key: str = "row_id") -> DataFrame:
+    """The first ``n`` rows in file order; unbounded by default."""
+    return df if n is None else df.orderBy(key).limit(n)
+
+
+def fill_missing_text(df: DataFrame, value: str = "") -> DataFrame:
+    """Nulls of string columns -> ``value``; numeric columns keep their
+    nulls (an empty string in a numeric column would break sorting)."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.na.fill(value, subset=text) if text else df
+
+
+def write_csv_overwrite(df: DataFrame, path: str) -> str:
+    """Header, no index, replace ``path``. Spark cannot overwrite a path
+    it is reading in the same job, so chained jobs write a new folder and use
+    it as the next input."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return path

@@ -146,3 +146,12 @@ def test_pair_similarity(spark):
     got = one(spark, textsim.pair_similarity(F.col("a"), F.col("b")), "a string, b string",
               [("red apple", "red apple"), ("red apple", "green pear"), ("", ""), ("a", "b")])
     assert got[0] == 1.0 and got[1] == 0.0 and got[2] is None and got[3] is None
+
+
+def test_sources_helpers(spark):
+    from nutrilake.sources import files
+    df = spark.createDataFrame([(2, None, None), (1, "x", 1.0), (3, "y", None)], "row_id long, s string, d double")
+    assert [r.row_id for r in files.bounded_scan(df, 2).collect()] == [1, 2]
+    assert files.bounded_scan(df).count() == 3
+    filled = {r.row_id: (r.s, r.d) for r in files.fill_missing_text(df).collect()}
+    assert filled[2] == ("", None) and filled[3] == ("y", None)
