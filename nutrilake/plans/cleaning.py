@@ -30,7 +30,7 @@ def distributor_avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = cleaned(spark, sf_dir).agg(
         F.sum("nutrition_score_fr_100g").alias("s"), F.count("nutrition_score_fr_100g").alias("n"))
     per_dist = clean.expand_by_dimension(agg, tables.DISTRIBUTORS, ["Distributeur", "Temps"])
-    return per_dist.select("Distributeur", (F.col("s") / F.col("n")).alias("avg_nutrition_score"))
+    return per_dist.select("Distributeur", F.try_divide(F.col("s").cast("double"), F.col("n")).alias("avg_nutrition_score"))
 
 
 def distributor_avg_score_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:

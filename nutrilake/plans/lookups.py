@@ -33,7 +33,7 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions_enriched(spark, sf_dir)
     return q.select("q_id", "intention", "codebarres_effectif", "code_additif", "reference_deduite",
                     F.size("textes_guillemets").cast("bigint").alias("n_guillemets"),
-                    F.col("textes_guillemets")[0].alias("premier_guillemet"))
+                    F.get(F.col("textes_guillemets"), 0).alias("premier_guillemet"))
 
 
 def _products(spark, sf_dir):

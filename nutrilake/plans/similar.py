@@ -80,7 +80,7 @@ def vote_categories(top: DataFrame, categories: DataFrame) -> DataFrame:
     all_q = top.select("q_id").distinct()
     return all_q.join(agg, "q_id", "left").select(
         "q_id",
-        F.coalesce(F.col("t")[0]["c"], F.lit("Categorie indeterminee")).alias("categorie_suggeree"),
+        F.coalesce(F.get(F.col("t"), 0)["c"], F.lit("Categorie indeterminee")).alias("categorie_suggeree"),
         F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(x["c"], F.lit(":"), x["n"].cast("string"))),
                                 "; "), F.lit("")).alias("categories_preuves"),
         F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(
