@@ -104,7 +104,7 @@ BASE_RULES: tuple[Rule, ...] = (
 #: Further production rules: symbols, repeated lines, odd word lengths, capitals.
 RULES: tuple[Rule, ...] = BASE_RULES + (
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("repeated_lines", lambda f: (10 * f.n_dup_lines > 3 * f.n_lines) & (f.n_dup_lines >= 5)),
     Rule("short_words", lambda f: f.word_chars < 2 * f.n_words),
     Rule("long_words", lambda f: f.word_chars > 20 * f.n_words),
     Rule("capitals", lambda f: f.n_upper > f.n_lower),
@@ -201,7 +201,7 @@ f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR (10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 5) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR n_upper > n_lower) AS kept
 FROM f
 """

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutrilake.llm import bpe, flatfiles, mixing, quality
+from nutrilake.llm import bpe, flatfiles, mixing, quality, toxicity
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -18,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir).select("doc_id", "text"), figures=quality.BASE_FIGURES).drop("text")
 
@@ -42,6 +47,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
