@@ -182,10 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         for batch in batches:
             for part in byte_slices(batch, keep.index(text)):
                 found = codec.encode(part.column(keep.index(text)).fill_null("").to_pylist())
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(pa.field("element", pa.int32(), False)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*keep, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(found)], names=[*keep, ids])
 
     return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
 
@@ -207,11 +204,16 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` and with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: each text encoded, and its ids decoded again."""
-    keep = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """``docs`` without ``text`` and with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: each text encoded, and its ids decoded again.
+
+    With ``ids``, the ids themselves too, in an array column of that name.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *([ids] if ids else [])]
+    keep = [c for c in docs.columns if c not in (text, *names)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())]
-                          + [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")])
+                          + [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")]
+                          + [T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in names[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(path, pattern)
@@ -219,15 +221,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             for part in byte_slices(batch, len(keep)):
                 found = codec.encode(part.column(len(keep)).fill_null("").to_pylist())
                 back = [codec.decode(np.frombuffer(x, "<u4")) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array([len(x) // 4 for x in found], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in found]),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                    names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = [*part.columns[: len(keep)], pa.array([len(x) // 4 for x in found], pa.int64()),
+                       pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                       pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(out + ([id_lists(found)] if ids else []), names=[*keep, *names])
 
     return docs.select(*(f"`{c}`" for c in keep), text).mapInArrow(run, schema)
 
 
+def id_lists(found: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
 def byte_slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``most`` bytes of the column together."""
     import pyarrow.compute as pc

@@ -104,6 +104,25 @@ def fair_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
                 (F.coalesce("copies", F.lit(0)) * F.col("size")).cast("bigint").alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id``, ``source`` and ``text``) as the mix takes them: each as often as it is taken.
+
+    Rows that share id, source and size are told apart by their number among themselves on both sides.
+    """
+    same = ["doc_id", "source", "_size"]
+    number = Window.partitionBy(*same)
+    taken = fair_mix(docs, **options).withColumnRenamed("size", "_size") \
+        .withColumn("_n", F.row_number().over(number.orderBy("upto"))).where("copies > 0") \
+        .select(*(F.col(c).alias(f"_t_{c}") for c in [*same, "_n"]), F.col("copies").cast("int").alias("_copies"))
+    rows = docs.withColumn("_size", word_count(F.col("text"))) \
+        .withColumn("_n", F.row_number().over(number.orderBy(F.xxhash64("text"))))
+    match = F.lit(True)
+    for c in [*same, "_n"]:
+        match = match & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return rows.join(taken, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
+        .select(*(f"`{c}`" for c in docs.columns))
+
+
 def cut_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, parts: int = 256) -> DataFrame:
     """The longest head of ``rows`` in the given order whose ``size`` adds up to at most ``budget``."""
     dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from nutrilake.llm import bpe, flatfiles, mixing, quality, toxicity
+from nutrilake.llm import bpe, flatfiles, minhash, mixing, pii, quality, toxicity
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -18,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -46,12 +49,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.find(docs, pii.learn_field(docs))
+
+
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE = {
     "op4_quality_rules": quality.ORACLE_SQL,
