@@ -36,7 +36,7 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose ids a worker keeps.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 600_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUN = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _SPACE_RUN = re.compile(f" (?:[{_WHITE}]|$)")
@@ -74,24 +74,25 @@ def build_tokenizer(tokens: list[bytes]) -> Tokenizer:
     return tokenizer
 
 
-class Kept(dict):
-    """A bounded memory: what was not used since the last turn but one is forgotten."""
+class Kept:
+    """A bounded memory of ids by string: what was not used since the last turn but one is forgotten."""
 
     def __init__(self, most: int = KEPT_PIECES // 2):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.old[key]
-        return value
-
-    def has(self, key: str) -> bool:
-        return key in self or key in self.old
+        self.most = most
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that are not known; the others are ready in ``new``."""
+        away = keys.difference(self.new)
+        back = [k for k in away if k in self.old]
+        for k in back:
+            self.new[k] = self.old[k]
+        return away.difference(back)
 
     def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
 
 
 class ByteBpe:
@@ -121,13 +122,14 @@ class ByteBpe:
 
     def _learn(self, runs: set[str]) -> None:
         cuts = {run: self.pattern.findall(run) for run in runs}
-        new = list({p for pieces in cuts.values() for p in pieces if not self.pieces.has(p)})
+        new = list(self.pieces.unknown({p for pieces in cuts.values() for p in pieces}))
         for lo in range(0, len(new), 10_000):
             part = new[lo: lo + 10_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces[piece] = array("I", found.ids).tobytes()
+                self.pieces.new[piece] = array("I", found.ids).tobytes()
+        ids = self.pieces.new.__getitem__
         for run, pieces in cuts.items():
-            self.runs[run] = b"".join(map(self.pieces.__getitem__, pieces))
+            self.runs.new[run] = b"".join(map(ids, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -135,10 +137,10 @@ class ByteBpe:
         for text in texts:
             runs = self.cut(text)
             try:
-                out.append(b"".join(map(self.runs.__getitem__, runs)))
+                out.append(b"".join(map(self.runs.new.__getitem__, runs)))
             except KeyError:
-                self._learn({run for run in runs if not self.runs.has(run)})
-                out.append(b"".join(map(self.runs.__getitem__, runs)))
+                self._learn(self.runs.unknown(set(runs)))
+                out.append(b"".join(map(self.runs.new.__getitem__, runs)))
                 self.runs.turn()
                 self.pieces.turn()
         return out

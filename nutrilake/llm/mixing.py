@@ -31,14 +31,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def running_start(value: str) -> Column:
+    """What the ranges before a range add up to; for tables of one row a range, a fixed number of rows."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_start")
+
+
 def source_ranks(sources: DataFrame, key: str, buckets: int = 64) -> DataFrame:
     """Adds ``rank`` (from 0, by code point, null last) to one row a source, without a global window."""
     last = F.col(key).isNull()
     dealt = materialize(sources.repartitionByRange(buckets, last, F.col(key)).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row a range: at most ``buckets`` rows.
-    start = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._part") < F.col("a._part"), "left") \
-        .groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    start = counts.select("_part", running_start("_n"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last())) - 1
     return dealt.join(F.broadcast(start), "_part").withColumn("rank", own + F.col("_start")).drop("_part", "_start")
 
@@ -128,8 +133,7 @@ def cut_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, par
     dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"))
     # One row a range: at most ``parts`` rows.
-    start = sums.alias("a").join(F.broadcast(sums.alias("b")), F.col("b._part") < F.col("a._part"), "left") \
-        .groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_start"))
+    start = sums.select("_part", running_start("_sum"))
     upto = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return dealt.join(F.broadcast(start), "_part").withColumn("_upto", upto + F.col("_start")) \
         .where(F.col("_upto") <= budget).drop("_part", "_start", "_upto")
