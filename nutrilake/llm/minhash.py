@@ -12,11 +12,11 @@ weighted Jaccard similarity. Where a coordinate got no dart, the document
 looks twice as far.
 
 Signatures are joined by bands. Texts with equal words are one node from the
-start. Within a bucket every node is compared with the bucket's smallest, by
+start. Within a bucket every node is compared with the bucket's centre, by
 exact similarity; nodes of a bucket that are then still in other components
-are compared with one another unless their similarities to the smallest node
-already rule a link out (1 - similarity is a metric). No bucket is ever
-spread into all its pairs, and none is cut.
+are compared with one another unless their similarities to the centre already
+rule a link out (1 - similarity is a metric). The centre is the member that
+shares most buckets with others. No bucket is cut.
 
 Texts without words are linked with nothing. Rows that share a doc_id are one
 document: their texts' links are united. Rows without a doc_id are compared
@@ -41,8 +41,11 @@ from nutrilake.session import materialize
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at the similarity is missed by all bands with probability (1 - 0.8^7)^40 < 1e-4.
 BANDS, ROWS = 40, 7
-#: Members of a star that one task compares with its centre.
-STAR_BLOCK = 256
+#: Members of a star that one task compares with its centre; members of a bucket that one task compares with as many others.
+STAR_BLOCK, BUCKET_BLOCK = 256, 512
+#: Coordinates of the longer sketches that members apart from a centre get, and the standard errors below the
+#: similarity at which their estimate still calls for the exact one.
+SKETCH, SLACK = 1024, 3.8
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
 
@@ -129,12 +132,13 @@ def sequence_hashes(texts: Texts) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """``doc_id``, ``words_hash`` (null without words) and ``bands`` (array of long) of every row."""
+    """``doc_id``, ``words_hash`` (null without words), ``bands`` (array of long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in texts_of(batch.column(1), 500_000):
                 doc, element, weight = weighted_elements(texts, words)
-                sig = dart_signatures(doc, element, weight.astype(float), texts.n, bands * rows).reshape(texts.n, bands, rows)
+                sig = dart_signatures(doc, element, weight.astype(float), texts.n, bands * rows)
+                sig = sig.reshape(texts.n, bands, rows)
                 key = np.broadcast_to(np.arange(bands, dtype=U64), (texts.n, bands)).copy()
                 with np.errstate(over="ignore"):
                     for j in range(rows):
@@ -149,6 +153,20 @@ def signature_table(docs: DataFrame, bands: int, rows: int, words: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_hash binary, bands array<long>")
 
 
+def sketch_table(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """``doc_id`` and ``sketch``: a byte of each of ``k`` coordinates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in texts_of(batch.column(1), 200_000):
+                doc, element, weight = weighted_elements(texts, words)
+                sig = dart_signatures(doc, element, weight.astype(float), texts.n, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.lo, texts.n),
+                                                  pa.array([x.tobytes() for x in (sig >> U64(56)).astype(np.uint8)], pa.binary())],
+                                                 names=["doc_id", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch binary")
+
+
 def similarities(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``a``, ``b`` and ``j``, the exact weighted Jaccard similarity of the documents of each pair.
 
@@ -192,6 +210,57 @@ def similarities(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataF
     return grouped.mapInArrow(run, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
+def likely_pairs(known: DataFrame, sketches: DataFrame, similarity: float, k: int) -> DataFrame:
+    """``a`` < ``b``: pairs of a bucket in different components, one of them apart from the centre, that may reach the similarity.
+
+    Neither their similarities ``j`` to the centre nor the agreement of their sketches rules such a pair out. A
+    bucket's members are dealt in blocks, and a task compares a block of those apart with a block of all.
+    """
+    bound = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / k)
+    apart = F.col("a_root") != F.col("b_root")
+    blocks = known.groupBy("bucket").agg(F.ceil(F.count_if(apart) / BUCKET_BLOCK).cast("int").alias("xs"),
+                                         F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("ys"))
+    # Several texts of a doc_id are a row each.
+    rows = known.join(blocks, "bucket").join(sketches.withColumnRenamed("doc_id", "b"), "b")
+    spread = F.xxhash64("b", F.lit(1))
+    one = rows.where(apart).withColumn("x", F.pmod(spread, F.col("xs")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+    all_ = rows.withColumn("y", F.pmod(spread, F.col("ys")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    fields = ["bucket", "x", "y", "side", "b", "j", "b_root", "sketch"]
+    dealt = one.withColumn("side", F.lit(0)).select(*fields).unionByName(all_.withColumn("side", F.lit(1)).select(*fields)) \
+        .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side", "b")
+
+    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
+        side, node, j, root, sketch = zip(*group)
+        side, node, j, root = (np.array(v) for v in (side, node, j, root))
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(group), k)
+        ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        for i in ours:
+            open_ = theirs[(root[theirs] != root[i]) & (np.abs(j[theirs] - j[i]) <= 1 - similarity + 1e-9)]
+            near = open_[(sketch[open_] == sketch[i]).sum(axis=1) >= bound * k]
+            a += np.minimum(node[near], node[i]).tolist()
+            b += np.maximum(node[near], node[i]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = compare(group) if group else ([], [])
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            for bucket, x, y, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != (bucket, x, y):
+                    if group:
+                        yield done()
+                    here, group = (bucket, x, y), []
+                group.append(tuple(rest))
+        yield done()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``class_id`` (smallest doc_id of its class) and ``kept`` (the document is its class's first) for every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -202,8 +271,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     nodes = materialize(nodes)
 
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(placed.join(buckets, "bucket").select("bucket", "a", F.col("node").alias("b"), "n"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(placed.join(sizes, "bucket"))
+    # A bucket's centre is the member that meets most others over all its buckets: an original before its copies.
+    centre = F.struct(F.col("met"), (-F.col("node")).alias("order"))
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    members = shared.join(met, "node")
+    centres = members.groupBy("bucket").agg((-F.max(centre)["order"]).alias("a"))
+    members = materialize(members.join(centres, "bucket").select("bucket", "a", F.col("node").alias("b"), "n"))
     stars = materialize(similarities(members.where("a != b").select("a", "b").distinct(), named, words))
     links = stars.where(F.col("j") >= similarity).select("a", "b")
 
@@ -214,10 +289,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         known = known.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left") \
             .withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
     known = materialize(known.where("a != b").select("bucket", "b", "j", "a_root", "b_root"))
-    apart = known.where("a_root != b_root").select("bucket", F.col("b").alias("x"), F.col("j").alias("x_j"), F.col("b_root").alias("x_root"))
-    further = apart.join(known, "bucket").where((F.col("x_root") != F.col("b_root")) & (F.abs(F.col("x_j") - F.col("j")) <= 1 - similarity + 1e-9)) \
-        .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-    more = similarities(materialize(further), named, words).where(F.col("j") >= similarity).select("a", "b")
+    unsettled = known.groupBy("bucket").agg(F.count_if(F.col("a_root") != F.col("b_root")).alias("x"), F.count("*").alias("n")) \
+        .where("x > 0 and n > 1").select("bucket")
+    known = materialize(known.join(unsettled, "bucket", "left_semi"))
+    near = materialize(named.join(known.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    further = materialize(likely_pairs(known, sketch_table(near, SKETCH, words), similarity, SKETCH))
+    more = similarities(further, near, words).where(F.col("j") >= similarity).select("a", "b")
 
     # Rows of one doc_id with different texts are one document.
     same = signed.where(F.col("words_hash").isNotNull()).groupBy("doc_id") \
