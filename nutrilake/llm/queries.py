@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.llm import bpe, flatfiles, minhash, mixing, pii, quality, toxicity
+from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, toxicity
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -49,6 +49,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pii.find(docs, pii.learn_field(docs))
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE = {
