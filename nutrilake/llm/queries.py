@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, toxicity
+from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, repeats, toxicity
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir).select("doc_id", "text"), figures=quality.BASE_FIGURES).drop("text")
 
@@ -62,6 +66,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
+    "op3_repeated_substrings": op3_repeated_substrings,
     "op4_quality_rules": op4_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
