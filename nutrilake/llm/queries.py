@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, repeats, toxicity
+from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, repeats, toxicity, wrappers
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -34,6 +34,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir).select("doc_id", "text"), figures=quality.BASE_FIGURES).drop("text")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return wrappers.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.fair_mix(documents(spark, sf_dir))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_repeated_substrings": op3_repeated_substrings,
     "op4_quality_rules": op4_quality_rules,
+    "op5_main_text": op5_main_text,
     "op6_source_mix": op6_source_mix,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
