@@ -49,7 +49,7 @@ LENGTH, GRAM = 100, 32
 #: Runs of an anchor in one batch, and in all, from which on its windows are grouped by their own hashes.
 LARGE_IN_BATCH, LARGE_GROUP = 16, 20_000
 #: Byte strings that one suffix array is built over, about.
-ARRAY_STRINGS = 4000
+ARRAY_STRINGS = 2000
 #: A run in one number: start * 1024 + windows * 8 + large * 4 + how (0: to be met, 1: a repeat, 2: to be sorted).
 RUN_SHIFT, COUNT_SHIFT = 10, 3
 
@@ -97,7 +97,7 @@ def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in texts_of(batch.column(1)):
+            for texts in texts_of(batch.column(1), 1_000_000):
                 doc, start, count, meet, kind = runs_of(texts, length, gram)
                 if not len(doc):
                     continue
@@ -157,9 +157,9 @@ def strings_to_sort(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             key, data, name, at = [], [], [], []
             singles = []
-            for doc, n_bytes, packed, runs in zip(*(batch.column(i) for i in range(4))):
-                text, d = unpacked(packed.as_py(), n_bytes.as_py()), doc.as_py()
-                for one in runs.as_py():
+            for doc, n_bytes, packed, runs in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
+                text, d = unpacked(packed.as_py(), n_bytes.as_py()) if runs.is_valid and len(runs) else b"", doc.as_py()
+                for one in runs.as_py() or ():
                     start, count = one["run"] >> RUN_SHIFT, (one["run"] >> COUNT_SHIFT) & 127
                     if one["large"]:
                         singles += [(text[s: s + length], d, s) for s in range(start, start + count)]
@@ -314,30 +314,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (the remaining bytes) of every row."""
     rows = in_order(docs, doc_id, text)
     texts = rows.select("doc", "text")
-    judged = materialize(judged_runs(run_table(texts, length, gram)))
-
-    to_sort = judged.where("how = 2").groupBy("doc").agg(F.collect_list(F.struct("run", "meet", "large")).alias("runs"))
+    judged = judged_runs(run_table(texts, length, gram))
+    found = materialize(judged.groupBy("doc").agg(F.collect_list(F.when(F.col("how") == 1, F.col("run"))).alias("repeats"),
+                                                  F.collect_list(F.when(F.col("how") == 2, F.struct("run", "meet", "large"))).alias("runs")))
+    # Both joins take the same columns of the texts, so that these are shuffled once.
+    columns = ["doc", "doc_id", "n_bytes", "packed"]
     packed = packed_texts(rows)
     # Equal rows give equal strings, of which all but one are dropped again.
-    strings = strings_to_sort(packed.join(to_sort, "doc").select("doc", "n_bytes", "packed", "runs"), length)
-    sorted_ = sorted_marks(strings, length).where("lo < hi")
-
-    start = F.shiftright("run", RUN_SHIFT)
-    count = F.shiftright("run", COUNT_SHIFT).bitwiseAND(127)
-    whole = judged.where("how = 1").select("doc", start.alias("lo"), (start + count - 1 + length).alias("hi"))
-    marks = sorted_.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    strings = strings_to_sort(packed.join(found.select("doc", "runs"), "doc", "left").select(*columns, "runs"), length)
+    marks = sorted_marks(strings, length).where("lo < hi").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {c: [] for c in ("n_removed", "n_spans", "kept_sha256", "kept")}
             n_bytes = batch.column(1).to_pylist()
-            for size, packed_text, lists in zip(n_bytes, batch.column(2), batch.column(3)):
+            for size, packed_text, lists, whole in zip(n_bytes, *(batch.column(i) for i in (2, 3, 4))):
                 raw = unpacked(packed_text.as_py(), size)
                 removed = spans = 0
-                if lists.is_valid and len(lists):
+                if (lists.is_valid and len(lists)) or (whole.is_valid and len(whole)):
                     change = np.zeros(size + 1, np.int64)
-                    np.add.at(change, np.asarray(lists.values.field("lo")), 1)
-                    np.add.at(change, np.asarray(lists.values.field("hi")), -1)
+                    if lists.is_valid:
+                        np.add.at(change, np.asarray(lists.values.field("lo")), 1)
+                        np.add.at(change, np.asarray(lists.values.field("hi")), -1)
+                    if whole.is_valid:
+                        runs = np.asarray(whole.values)
+                        lo = runs >> RUN_SHIFT
+                        np.add.at(change, lo, 1)
+                        np.add.at(change, lo + ((runs >> COUNT_SHIFT) & 127) - 1 + length, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     removed, spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -348,5 +351,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
                  pa.array(out["kept_sha256"], pa.string()), *([pa.array(out["kept"], pa.binary())] if with_text else [])],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    final = packed.join(marks, "doc", "left").select("doc_id", "n_bytes", "packed", "marks")
+    final = packed.join(marks, "doc", "left").join(found.select("doc", "repeats"), "doc", "left") \
+        .select("doc_id", "n_bytes", "packed", "marks", "repeats")
     return final.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
