@@ -70,8 +70,8 @@ def centroids(nodes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if common is None:
         return np.zeros((0, 0))
     d = common["d"]
-    rows = nodes.where(F.size("v") == d).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).collect()
-    x = np.array([r["v"] for r in rows], np.float64)
+    rows = nodes.where(F.size("v") == d).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
+    x = np.asarray(rows["v"].combine_chunks().flatten(), np.float64).reshape(-1, d)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     return spherical_kmeans(x, min(len(x), max(1, math.isqrt(n))))
 
