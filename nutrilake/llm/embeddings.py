@@ -72,6 +72,7 @@ def centroids(nodes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     d = common["d"]
     rows = nodes.where(F.size("v") == d).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
     x = np.asarray(rows["v"].combine_chunks().flatten(), np.float64).reshape(-1, d)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     return spherical_kmeans(x, min(len(x), max(1, math.isqrt(n))))
 
