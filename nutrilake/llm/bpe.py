@@ -36,7 +36,7 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose ids a worker keeps.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUN = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _SPACE_RUN = re.compile(f" (?:[{_WHITE}]|$)")

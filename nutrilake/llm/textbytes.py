@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 #: Byte classes of the word pattern [^\x20\x09-\x0D]+ (fixed values).
 IS_SPACE = np.zeros(256, bool)
