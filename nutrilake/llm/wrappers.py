@@ -143,6 +143,11 @@ def parse(html: str) -> Page:
                 else:
                     stack.append((tag, stack[-1][1]))
     close_text()
+    # Boxes without a name are told apart by what stands in them.
+    parts: dict[int, set[str]] = {}
+    for parent, key in nodes[1:]:
+        parts.setdefault(parent, set()).add(key.partition("|")[0])
+    nodes = [(p, f"{key}>{','.join(sorted(parts[i]))}" if key in ("div", "section") and i in parts else key) for i, (p, key) in enumerate(nodes)]
     return Page(nodes, texts)
 
 
