@@ -256,7 +256,7 @@ def test_main_text_of_pages(spark):
 def test_wrapper_is_a_union_free_expression():
     a, b = (wrappers.wrapper_of(wrappers.parse(h)) for h in ("<div><p>x<p>y</div><nav>m</nav>", "<div><p>x</div><aside>n</aside><nav>m</nav>"))
     w = wrappers.joined(a, b)
-    assert [(p[wrappers.KEY], p[wrappers.MANY]) for p in w[wrappers.PARTS]] == [("div", ""), ("aside", "?"), ("nav", "")]
+    assert [(p[wrappers.KEY], p[wrappers.MANY]) for p in w[wrappers.PARTS]] == [("div>p", ""), ("aside", "?"), ("nav", "")]
     assert w[wrappers.PARTS][0][wrappers.PARTS][0][wrappers.MANY] == "+"
 
 
