@@ -59,11 +59,11 @@ def score_to_grade(score: Column) -> Column:
 
 def _steps(x: Column, table: Sequence[tuple[float, int]], strict: bool) -> Column:
     # NaN compares above every number in Spark but fails every test in Python
-    out = F.when(F.isnan(x), F.lit(0))
-    for thr, pts in table:
-        cond = (x > thr) if strict else (x >= thr)
-        out = out.when(cond, F.lit(pts))
-    return out.otherwise(F.lit(0))
+    # A lookup in literal arrays: a chain of conditions a threshold outgrows the JVM's method limit.
+    rising = sorted(table)
+    bounds, points = F.array(*(F.lit(float(thr)) for thr, _ in rising)), F.array(F.lit(0), *(F.lit(pts) for _, pts in rising))
+    passed = F.size(F.filter(bounds, lambda t: (x > t) if strict else (x >= t)))
+    return F.when(F.isnan(x), F.lit(0)).otherwise(F.element_at(points, passed + 1))
 
 
 NORM_FIELDS = ["product_name", "nutrition_grade_fr", "nutrition_score_fr", "sugars_100g", "saturated_fat_100g",

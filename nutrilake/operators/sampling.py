@@ -30,16 +30,12 @@ def mark_first(df: DataFrame, key: str, seed: str, n: Column, flag: str = "_sele
     cut = cum.where((F.col("_before") < n) & (F.col("_before") + F.col("_cnt") >= n)) \
         .select(F.struct(F.col("_b").alias("b"), (n - F.col("_before")).alias("need")).alias("s"))
     cut_row = cut.scalar()
-    w = Window.partitionBy("_b").orderBy("_h", key)
-    boundary = (h.where(F.col("_b") == cut_row["b"])
-                .withColumn("_r", F.row_number().over(w))
-                .select(F.col(key).alias("_bk"), (F.col("_r") <= cut_row["need"]).alias("_in_cut")))
-    out = h.join(boundary, h[key] == boundary["_bk"], "left")
-    selected = (F.when(cut_row.isNull(), n > 0)  # n = 0, or n >= number of rows
-                .when(F.col("_b") < cut_row["b"], F.lit(True))
-                .when(F.col("_b") > cut_row["b"], F.lit(False))
-                .otherwise(F.coalesce(F.col("_in_cut"), F.lit(False))))
-    return out.withColumn(flag, selected).drop("_h", "_b", "_bk", "_in_cut")
+    ranked = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    boundary = h.where(F.col("_b") == cut_row["b"]).withColumn(flag, ranked <= cut_row["need"])
+    # no boundary: n = 0, or n >= number of rows
+    rest = h.where(cut_row.isNull() | (F.col("_b") != cut_row["b"])) \
+        .withColumn(flag, F.when(cut_row.isNull(), n > 0).otherwise(F.col("_b") < cut_row["b"]))
+    return rest.unionByName(boundary).drop("_h", "_b")
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:

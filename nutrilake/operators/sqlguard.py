@@ -21,4 +21,4 @@ def safe_select(spark: SparkSession, sql: str, args: dict | None = None) -> Data
         df.schema  # analysis happens here: unknown tables or columns raise
         return df
     except Exception as exc:  # AnalysisException, ParseException
-        return spark.createDataFrame([(str(exc).splitlines()[0][:500],)], "error string")
+        return spark.createDataFrame([(str(exc),)], "error string")

@@ -30,7 +30,6 @@ from nutrilake.session import materialize
 from nutrilake.sources import tables
 
 CONTEXT_DOCS = 4
-CONTEXT_CHARS = 2000
 NO_CONTEXT = "Aucune information trouvée dans le dataset."
 DEFAULT_ADDITIVE = "E330"
 EXAMPLES = 5
@@ -41,8 +40,11 @@ def _nb(c: Column) -> Column:
 
 
 def _py_str(c: Column) -> Column:
-    """Python repr of an optional text inside a list."""
-    return F.when(c.isNull(), F.lit("None")).otherwise(F.concat(F.lit("'"), c, F.lit("'")))
+    """Python repr of a text inside a list; a missing text was loaded as ''."""
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    single, double = F.contains(c, F.lit("'")), F.contains(c, F.lit('"'))
+    return F.when(single & ~double, F.concat(F.lit('"'), c, F.lit('"'))) \
+        .otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def retrieval_context(spark: SparkSession, q: DataFrame, docs: DataFrame, k: int = CONTEXT_DOCS) -> DataFrame:
@@ -85,8 +87,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_local = F.col("l_row_id").isNotNull()
 
     # step 3: product reference source and retrieval context
-    s = s.withColumn("code_eff", F.coalesce(F.col("codebarres_effectif"), _nb(F.trim(F.col("l_code")))))
-    ext = tables.external_products(spark, sf_dir)
+    s = s.withColumn("code_eff", F.coalesce(_nb(F.col("codebarres_effectif")), _nb(F.trim(F.col("l_code")))))
+    ext = tables.external_by_code(spark, sf_dir)
     ext = ext.select(*[F.col(c).alias("x_" + c) for c in ext.columns])
     s = s.join(ext, F.col("code_eff") == F.col("x_code"), "left")
     has_ext = F.col("x_code").isNotNull()
@@ -122,8 +124,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .groupBy(F.col("tid").alias("q_id")).agg(F.array_join(F.transform(
                         F.array_sort(F.collect_list(F.struct("rank", "product_name", "nutrition_grade_fr",
                                                              "similarite"))),
-                        lambda x: F.concat(F.coalesce(x["product_name"], F.lit("None")), F.lit(" (Nutri-Score "),
-                                           F.upper(F.coalesce(x["nutrition_grade_fr"], F.lit("?"))),
+                        lambda x: F.concat(F.coalesce(x["product_name"], F.lit("")), F.lit(" (Nutri-Score "),
+                                           F.upper(F.coalesce(x["nutrition_grade_fr"], F.lit(""))),
                                            F.lit(", similarite="), F.round(x["similarite"], 3).cast("string"),
                                            F.lit(")"))), "; ").alias("similar_lines")))
     s = s.join(votes, "q_id", "left").join(better_lines, "q_id", "left")
@@ -143,7 +145,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("produit_externe"),
         F.struct(F.col("a_reponse").alias("reponse"), F.col("a_enrichissement").alias("enrichissement"),
                  F.col("a_justification").alias("justification")).alias("analyse"),
-        F.substring("contexte_rag", 1, CONTEXT_CHARS).alias("contexte_rag"),
+        F.col("contexte_rag"),
         F.struct(F.col("reference_deduite").alias("reference"),
                  F.transform(F.coalesce("cand_list", F.array().cast("array<struct<pos:int,code:string,"
                                                                     "product_name:string>>")),

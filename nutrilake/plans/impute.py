@@ -14,23 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutrilake.functions import missing
-from nutrilake.operators import embed, knn, sampling
+from nutrilake.operators import embed, knn
 from nutrilake.session import materialize
 from nutrilake.sources import files, tables
 
 THRESHOLD = 0.55
-MAX_REFERENCE = 200000
 NPROBE = 16
 
 
 def fill_from_neighbours(df: DataFrame, target: str, reference: DataFrame, threshold: float = THRESHOLD,
-                         max_reference: int = MAX_REFERENCE, nprobe: int = NPROBE) -> DataFrame:
+                         nprobe: int = NPROBE) -> DataFrame:
     """Generic Q2/Q3 step on a table with ``row_id``, ``product_name`` and
     ``target`` (added as '' when absent, P5)."""
     if target not in df.columns:
         df = df.withColumn(target, F.lit(""))
     ref = files.valid_reference(reference, "product_name", target)
-    ref = sampling.exact_sample(ref.select("row_id", "product_name", target), "row_id", max_reference, seed="42")
+    ref = ref.select("row_id", "product_name", target)
     ref = embed.add_hashing_embedding(ref, F.col("product_name"), "v")
     ref = materialize(ref.select(F.col("row_id").alias("rid"), F.col(target).alias("_value"), "v"))
     todo = missing.is_blank(F.col(target)) & F.col("product_name").isNotNull()

@@ -163,7 +163,7 @@ def country_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q11: products without a country -> product reference source by code ->
     country text (countries, else tags, else none) -> filled column."""
     todo = missing_country(spark, sf_dir)
-    ext = tables.external_products(spark, sf_dir).select(
+    ext = tables.external_by_code(spark, sf_dir).select(
         F.col("code").alias("_ecode"), "countries", "countries_tags")
     j = todo.join(ext, F.trim(F.col("code")) == F.col("_ecode"), "left")
     text = lookup.country_text(F.col("countries"), F.col("countries_tags"))

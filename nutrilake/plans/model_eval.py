@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nutrilake.functions import nutrition as N
 from nutrilake.functions.rules import ok_diff
-from nutrilake.operators import forest, sampling
+from nutrilake.operators import forest, sampling, scoring
 from nutrilake.session import materialize
 from nutrilake.sources import tables
 
@@ -55,6 +55,28 @@ def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(forest.predict(model, test, FEATURES, LABEL))
 
 
+def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 + A5: confusion matrix of the holdout predictions."""
+    return scoring.confusion_matrix(forest_holdout(spark, sf_dir), LABEL, "prediction", "abcde")
+
+
+def forest_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 + A6: scores of each class on the holdout."""
+    return scoring.class_scores(forest_holdout(spark, sf_dir), LABEL, "prediction")
+
+
+def forest_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, Q5 + A7: accuracy, error, counts and kappa on the holdout and on the full table."""
+    parts = [scoring.overall_scores(f(spark, sf_dir), LABEL, "prediction").withColumn("rows", F.lit(name))
+             for name, f in (("holdout", forest_holdout), ("full", forest_full))]
+    return parts[0].unionByName(parts[1])
+
+
+def forest_ok_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 + A1: OK and DIFF rows of the holdout."""
+    return forest_holdout(spark, sf_dir).groupBy("comparaison_nutri").agg(F.count(F.lit(1)).alias("n"))
+
+
 def forest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, _ = _fit(spark, sf_dir)
     return _scored(forest.predict(model, model_input(spark, sf_dir), FEATURES, LABEL))

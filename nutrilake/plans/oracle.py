@@ -500,10 +500,11 @@ SELECT conv_id, turn, 'Q=' || text || ' | intention=' ||
        ELSE 'rag' END
   || ' | resume=' || substring(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 1, 260) AS line
 FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM c),
 h AS (
 SELECT a.conv_id, a.turn, b.turn AS bt, b.line,
        row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn) AS i
-FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn < a.turn AND b.turn >= a.turn - 5),
+FROM p a JOIN p b ON b.conv_id = a.conv_id AND b.pos < a.pos AND b.pos >= a.pos - 5),
 g AS (SELECT conv_id, turn, string_agg(CAST(i AS VARCHAR) || '. ' || line, chr(10) ORDER BY bt) AS ctx
       FROM h GROUP BY conv_id, turn)
 SELECT c.conv_id, c.turn, coalesce(g.ctx, 'Aucun historique disponible.') AS contexte

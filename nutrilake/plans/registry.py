@@ -54,6 +54,10 @@ QUERIES: dict[str, QueryFn] = {
     "completion_report": vectors.completion_report,
     "forest_holdout": model_eval.forest_holdout,
     "forest_full": model_eval.forest_full,
+    "forest_confusion": model_eval.forest_confusion,
+    "forest_class_scores": model_eval.forest_class_scores,
+    "forest_overall": model_eval.forest_overall,
+    "forest_ok_diff": model_eval.forest_ok_diff,
     "out_of_fold": model_eval.out_of_fold,
     "split_statistics": model_eval.split_statistics,
     "answers": answers.answers,

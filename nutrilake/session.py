@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,21 +21,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("NUTRILAKE_SHUFFLE_PARTITIONS", "8"))
-    builder = (
-        builder
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.ansi.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("NUTRILAKE_DRIVER_MEMORY", "16g"))
-    )
-    spark = builder.getOrCreate()
+    given = SparkConf()  # what spark-submit or a launcher has set
+    local = (master or given.get("spark.master", "local")).startswith("local")
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.ansi.enabled": "false",
+    }
+    if local:  # a cluster's own sizes stand
+        settings |= {"spark.sql.shuffle.partitions": os.environ.get("NUTRILAKE_SHUFFLE_PARTITIONS", "8"),
+                     "spark.driver.memory": os.environ.get("NUTRILAKE_DRIVER_MEMORY", "16g")}
+    settings = {k: v for k, v in settings.items() if not given.contains(k)}
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

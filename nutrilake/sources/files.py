@@ -7,8 +7,9 @@ for "file order" operations; sinks never overwrite their own input.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,7 @@ def read_reference_tsv(spark: SparkSession, path: str, all_columns: Sequence[str
     skipped. Column pruning in the CSV parser is switched off for this scan
     so that a line with a wrong field count is still detected."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in all_columns])
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    df = (spark.read.schema(schema).option("sep", "\t").option("header", True)
+    df = (spark.read.schema(schema).option("sep", "\t").option("header", True).option("columnPruning", False)
           .option("mode", "DROPMALFORMED").csv(path))
     cols = ([key] if key else []) + [c for c in keep if c != key]
     return df.select(*cols)
@@ -56,8 +56,8 @@ def write_tsv_dump(df: DataFrame, name: str, spark: SparkSession) -> str:
 def write_csv_strings_quoted(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``,`` separator, header, ``"`` quote doubled inside values, only
     string columns quoted, missing -> empty field, fail if the path exists.
-    Lines are built with column expressions and written as text (one header
-    line is the first line of the first part; readers treat it as a header)."""
+    Lines are built with column expressions and written as text; every part
+    file begins with the header, as readers take the first line of each."""
     fields = df.schema.fields
 
     def cell(f: T.StructField):
@@ -68,8 +68,18 @@ def write_csv_strings_quoted(df: DataFrame, path: str, mode: str = "errorifexist
         return F.coalesce(c.cast("string"), F.lit(""))
     header = ",".join('"' + f.name.replace('"', '""') + '"' for f in fields)
     body = df.select(F.concat_ws(",", *[cell(f) for f in fields]).alias("value"))
-    head = df.sparkSession.createDataFrame([(header,)], "value string")
-    head.union(body).write.mode(mode).text(path)
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            if not i:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=batch.schema)
+            yield batch
+
+    if body.isEmpty():
+        body = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+    else:
+        body = body.mapInArrow(with_header, "value string")
+    body.write.mode(mode).text(path)
 
 
 def materialize_table(df: DataFrame, table: str, force: bool = False) -> DataFrame:

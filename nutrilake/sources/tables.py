@@ -186,3 +186,10 @@ def external_products(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*[F.col(c) for _, c in NUTRIMENT_KEYS]),
         ).alias("nutriments"),
     )
+
+
+def external_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The external source with one row a code: the first by its flat fields."""
+    ext = external_products(spark, sf_dir)
+    flat = F.struct(*(c for c, kind in ext.dtypes if "map" not in kind))
+    return ext.groupBy("code").agg(F.min_by(F.struct(*ext.columns), flat).alias("p")).select("p.*")

@@ -17,10 +17,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_available_now(stream: DataFrame, out_path: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_available_now(stream: DataFrame, out_path: str, checkpoint: str, timeout_s: int | None = None) -> None:
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out_path))
-    q.awaitTermination(timeout_s)
+    if timeout_s is None:
+        q.awaitTermination()
+    else:
+        q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError(f"stream into {out_path} did not finish in {timeout_s}s")

@@ -45,7 +45,7 @@ def score_scans(scans: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def scan_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_scans(scan_events(spark, sf_dir), tables.external_products(spark, sf_dir))
+    return score_scans(scan_events(spark, sf_dir), tables.external_by_code(spark, sf_dir))
 
 
 def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,5 @@ def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .write.mode("errorifexists").json(f"{base}/in")
     stream = spark.readStream.schema(SCAN_WIRE_SCHEMA).json(f"{base}/in") \
         .withColumn("ts", F.col("ts").cast("timestamp"))
-    run_available_now(score_scans(stream, tables.external_products(spark, sf_dir)), f"{base}/out", f"{base}/chk")
+    run_available_now(score_scans(stream, tables.external_by_code(spark, sf_dir)), f"{base}/out", f"{base}/chk")
     return spark.read.parquet(f"{base}/out")

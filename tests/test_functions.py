@@ -155,3 +155,34 @@ def test_sources_helpers(spark):
     assert files.bounded_scan(df).count() == 3
     filled = {r.row_id: (r.s, r.d) for r in files.fill_missing_text(df).collect()}
     assert filled[2] == ("", None) and filled[3] == ("y", None)
+
+
+def test_recent_context_with_gaps(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 10, "b"), (1, 20, "c"), (1, 21, "d"), (2, 5, "z")], "c long, t long, x string")
+    out = {(r.c, r.t): r.contexte for r in memory.recent_context(df, "c", "t", F.col("x"), 2).collect()}
+    assert out[(1, 10)] == "1. a" and out[(1, 20)] == "1. a\n2. b" and out[(1, 21)] == "1. b\n2. c"
+    assert out[(1, 1)] == out[(2, 5)] == memory.NO_HISTORY
+
+
+def test_sample_with_repeated_keys(spark):
+    df = spark.createDataFrame([(k,) for k in (1, 1, 1, 2, 2, 3)], "k long")
+    assert [sampling.exact_sample(df, "k", n).count() for n in range(8)] == [0, 1, 2, 3, 4, 5, 6, 6]
+    assert sampling.split_relative(df, "k", 0.5).count() == 6
+
+
+def test_csv_sink_round_trip(spark, tmp_path):
+    from nutrilake.sources import files
+    df = spark.range(1000).selectExpr("id", "concat('a \"q\", ', id) as s", "id / 8 as d").repartition(8)
+    files.write_csv_strings_quoted(df, str(tmp_path / "out"))
+    back = spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert back.count() == 1000 and back.exceptAll(df).isEmpty()
+    files.write_csv_strings_quoted(df.limit(0), str(tmp_path / "none"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "none")).columns == ["id", "s", "d"]
+
+
+def test_tsv_scan_leaves_the_session_alone(spark, tmp_path):
+    from nutrilake.sources import files
+    before = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
+    (tmp_path / "a.tsv").write_text("a\tb\tc\n1\t2\t3\n1\t2\t3\t4\n")
+    assert files.read_reference_tsv(spark, str(tmp_path / "a.tsv"), ["a", "b", "c"], ["b"]).count() == 1
+    assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == before
