@@ -34,11 +34,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
     the ``top_n`` most common values ("value:count" joined by ", ").
 
     Two aggregation passes over the table (the mean absolute deviation needs
-    the mean) plus one grouped count for the frequent values; no per-column
-    job loop and nothing collected to the driver. Quartiles are values of the
-    column (lower quantile) from a mergeable sketch with relative rank error
-    1/accuracy, exact while the column has fewer rows than ``accuracy``; an
-    exact percentile would hold a whole column in one task.
+    the mean) plus one grouped count that gives unique and frequent values;
+    no per-column job loop and nothing collected to the driver. Quartiles are
+    values of the column (lower quantile) from a mergeable sketch whose rank
+    error is at most 1/accuracy of the rows; an exact percentile would hold a
+    whole column in one task.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (columns or df.columns) if c in fields]
@@ -48,7 +48,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs += [F.count_if(x.isNull()).alias(f"m{i}"), F.count_distinct(x).alias(f"u{i}")]
+        aggs.append(F.count_if(x.isNull()).alias(f"m{i}"))
         if c in numeric:
             xd = x.cast("double")
             aggs += [
@@ -77,7 +77,6 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
             F.lit(c).alias("column_name"),
             F.lit(fields[c].simpleString()).alias("column_type"),
             F.col(f"m{i}").alias("n_missing"),
-            F.col(f"u{i}").alias("n_unique"),
             (r(F.col(f"mn{i}")) if num else F.lit(None).cast("double")).alias("min_value"),
             (r(F.col(f"mx{i}")) if num else F.lit(None).cast("double")).alias("max_value"),
             (r(F.col(f"qs{i}")[0]) if num else F.lit(None).cast("double")).alias("q25"),
@@ -96,22 +95,38 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
         ])))
         stats = (stats.join(mad_long, "column_name", "left")
                  .withColumn("mad", F.col("mad_value")).drop("mad_value"))
-    top = most_common_values(df, cols, top_n)
-    return stats.join(top, "column_name", "left")
+    counts = value_counts(df, cols)
+    unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
+    top = _top_values(counts, top_n)
+    return (stats.join(unique, "column_name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+            .join(top, "column_name", "left"))
 
 
-def most_common_values(df: DataFrame, cols: Sequence[str], top_n: int = 10) -> DataFrame:
-    """Top-n values per column as text ``value:count`` joined by ", ";
-    ties broken by value so the list is deterministic. Nulls are not values.
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, n) of every value that is not null.
 
-    The unpivot feeds a (column, value) count with partial aggregation, so a
-    value that holds a third of the rows is pre-counted map-side."""
+    The unpivot feeds a count with partial aggregation, so a value that holds
+    a third of the rows is pre-counted map-side."""
     if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, top_values string")
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    kinds = dict(df.dtypes)
+
+    def text(c: str):  # 0.0 and -0.0 are one value
+        return (F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c)).cast("string")
+
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column_name"), text(c).alias("value")) for c in cols
     ]))).where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_common_values(df: DataFrame, cols: Sequence[str], top_n: int = 10) -> DataFrame:
+    """Top-n values per column as text ``value:count`` joined by ", ";
+    ties broken by value so the list is deterministic. Nulls are not values."""
+    return _top_values(value_counts(df, cols), top_n)
+
+
+def _top_values(counts: DataFrame, top_n: int) -> DataFrame:
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
     ranked = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top_n)
     return ranked.groupBy("column_name").agg(
@@ -133,8 +148,8 @@ def column_domains(df: DataFrame, columns: Sequence[str] | None = None, max_valu
         if _is_numeric(fields[c]):
             aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}")]
         else:
-            aggs += [F.count_distinct(F.col(c)).alias(f"nd{i}")]
-    wide = df.agg(*aggs)
+            continue
+    wide = df.agg(*(aggs or [F.lit(1).alias("_one")]))
     for i, c in enumerate(cols):
         if _is_numeric(fields[c]):
             rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("lower_bound"),
@@ -143,18 +158,17 @@ def column_domains(df: DataFrame, columns: Sequence[str] | None = None, max_valu
         else:
             rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("lower_bound"),
                                  F.lit(None).cast("double").alias("upper_bound"),
-                                 F.col(f"nd{i}").alias("n_values")))
+                                 F.lit(0).cast("bigint").alias("n_values")))
     base = wide.select(F.inline(F.array(*rows)))
     text_cols = [c for c in cols if not _is_numeric(fields[c])]
     if not text_cols:
         return base.withColumn("possible_values", F.lit(None).cast("string"))
-    # distinct values per text column: a grouped distinct (bounded output per
-    # column by the cap), never a collect of the raw column
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in text_cols
-    ]))).where(F.col("value").isNotNull()).distinct()
-    vals = (long.join(base.select("column_name", "n_values").where(F.col("n_values") <= max_values),
-                      "column_name")
+    # distinct values of all text columns in one grouped count; lists only of
+    # columns with few values, never a collect of the raw column
+    counts = value_counts(df, text_cols)
+    seen = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
+    vals = (counts.join(seen.where(F.col("_n") <= max_values).select("column_name"), "column_name")
             .groupBy("column_name")
             .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("possible_values")))
-    return base.join(vals, "column_name", "left")
+    return (base.join(seen, "column_name", "left").withColumn("n_values", F.coalesce("_n", "n_values")).drop("_n")
+            .join(vals, "column_name", "left"))

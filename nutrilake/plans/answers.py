@@ -54,7 +54,11 @@ def retrieval_context(spark: SparkSession, q: DataFrame, docs: DataFrame, k: int
     dd = docs.select(F.col("row_id").alias("key"), F.col("page_content").alias("text"))
     vec = textsim.tfidf_fit(qd.unionByName(dd), "key", "text", textsim.load_stop_words()) \
         .withColumnRenamed("key", "doc")
-    targets = q.select(F.col("q_id").alias("tid"), (-(F.col("q_id") + 1)).alias("doc"))
+    # Equal questions have equal contexts: one target a text.
+    asked = materialize(q.groupBy("question").agg(F.min("q_id").alias("tid")))
+    targets = asked.select("tid", (-(F.col("tid") + 1)).alias("doc"))
+    others = qd.select(F.col("key").alias("doc")).join(targets.select("doc"), "doc", "left_anti")
+    vec = vec.join(others, "doc", "left_anti")
     meta = docs.select(F.col("row_id").alias("doc"), F.lit(None).cast("string").alias("code"),
                        F.lit(None).cast("string").alias("grade"), F.lit(None).cast("int").alias("score"))
     top = textsim.top_k_similar(targets, vec, meta, k, False)
@@ -62,7 +66,8 @@ def retrieval_context(spark: SparkSession, q: DataFrame, docs: DataFrame, k: int
            .groupBy("tid").agg(F.array_join(F.transform(
                F.array_sort(F.collect_list(F.struct("rank", "page_content"))), lambda x: x["page_content"]),
                "\n\n").alias("contexte_rag")))
-    return q.select("q_id").join(ctx.withColumnRenamed("tid", "q_id"), "q_id", "left") \
+    ctx = asked.join(ctx, "tid", "left").select(F.col("question").alias("_text"), "contexte_rag")
+    return q.select("q_id", "question").join(ctx, F.col("question").eqNullSafe(F.col("_text")), "left") \
         .select("q_id", F.coalesce("contexte_rag", F.lit(NO_CONTEXT)).alias("contexte_rag"))
 
 
