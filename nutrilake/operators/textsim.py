@@ -50,8 +50,7 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased tokens of two or more word characters, stop words removed."""
     toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
     if stop_words:
-        sw = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+        toks = F.filter(toks, lambda t: ~t.isin(*stop_words))  # a hash set in the plan
     return toks
 
 
@@ -79,6 +78,14 @@ def _rank_order(sim: str = "sim") -> list[Column]:
     return [F.col(sim).desc(), F.col("_score").asc_nulls_last(), F.col("_cand").asc()]
 
 
+def _flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of every entry of the rows' ``terms`` and ``ws``."""
+    rows = np.repeat(np.arange(len(df)), df["terms"].str.len().to_numpy(dtype=np.int64))
+    empty = [np.zeros(0, object)]
+    return (rows, np.concatenate([*empty, *(np.asarray(t, dtype=object) for t in df["terms"])]),
+            np.concatenate([np.zeros(0), *(np.asarray(w, dtype=np.float64) for w in df["ws"])]))
+
+
 def _block_kernel(k: int):
     """Score one (ref block, query block) group exactly and keep, per query,
     the best k eligible references in the final order."""
@@ -87,20 +94,16 @@ def _block_kernel(k: int):
                               "sim": pd.Series(dtype="float64"), "_score": pd.Series(dtype="float64")})
         if q.empty or r.empty:
             return empty
-        vocab: dict[str, int] = {}
-        for ts in q["terms"]:
-            for t in ts:
-                vocab.setdefault(t, len(vocab))
+        q_row, q_term, q_w = _flat(q)
+        r_row, r_term, r_w = _flat(r)
+        q_col, vocab = pd.factorize(q_term)
         width = max(len(vocab), 1)
         qm = np.zeros((len(q), width))
-        for i, (ts, ws) in enumerate(zip(q["terms"], q["ws"])):
-            if len(ts):
-                qm[i, [vocab[t] for t in ts]] = ws
+        qm[q_row, q_col] = q_w
+        r_col = pd.Index(vocab).get_indexer(r_term)
+        known = r_col >= 0
         rm = np.zeros((len(r), width))
-        for j, (ts, ws) in enumerate(zip(r["terms"], r["ws"])):
-            pairs = [(vocab[t], w) for t, w in zip(ts, ws) if t in vocab]
-            if pairs:
-                rm[j, [a for a, _ in pairs]] = [b for _, b in pairs]
+        rm[r_row[known], r_col[known]] = r_w[known]
         sims = np.round(qm @ rm.T, SIM_DIGITS)
         rid = r["_cand"].to_numpy(dtype=np.int64)
         rscore = r["_score"].to_numpy(dtype=np.float64)          # NaN = missing

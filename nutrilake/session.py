@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +45,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def _let_workers_import(sc: SparkContext) -> None:
+    """Python workers look for this package where the driver has it, if it is there for them too."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    have = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([*have, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
@@ -53,6 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fresh private folder under the system temp dir created.
     """
     sc = spark.sparkContext
+    _let_workers_import(sc)
     current = sc.getCheckpointDir()
     if current:
         return current
