@@ -42,7 +42,7 @@ def source_ranks(sources: DataFrame, key: str, buckets: int = 64) -> DataFrame:
     last = F.col(key).isNull()
     dealt = materialize(sources.repartitionByRange(buckets, last, F.col(key)).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row a range: at most ``buckets`` rows.
+    # One row a range: ``buckets`` rows.
     start = counts.select("_part", running_start("_n"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last())) - 1
     return dealt.join(F.broadcast(start), "_part").withColumn("rank", own + F.col("_start")).drop("_part", "_start")
@@ -128,11 +128,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         .select(*(f"`{c}`" for c in docs.columns))
 
 
-def cut_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, parts: int = 256) -> DataFrame:
+def cut_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, least_parts: int = 256) -> DataFrame:
     """The longest head of ``rows`` in the given order whose ``size`` adds up to at most ``budget``."""
+    parts = max(least_parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"))
-    # One row a range: at most ``parts`` rows.
+    # One row a range, as many as there are shuffle partitions.
     start = sums.select("_part", running_start("_sum"))
     upto = F.sum(size).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return dealt.join(F.broadcast(start), "_part").withColumn("_upto", upto + F.col("_start")) \

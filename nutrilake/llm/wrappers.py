@@ -16,7 +16,7 @@ read along its host's wrapper; a page that has no such part is its own wrapper.
 
 Streams are aligned within each batch first, so that a host reaches the next
 step as one wrapper a batch, however many pages it has; pages meet their
-wrapper under a salted host. Null or empty html gives an empty text; pages
+wrapper in a join whose large hosts Spark splits. Null or empty html gives an empty text; pages
 without a host share one wrapper. Broken markup is read as far as it goes:
 missing end tags close with their parents, and a tag that never ends is text.
 Repeated rows are pages of their own; extra columns are ignored; an empty
@@ -58,7 +58,6 @@ NAMES_OUTSIDE = ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrum
 NAMES_INSIDE = ("article", "main", "content", "post", "entry", "story", "body", "text")
 #: Deeper blocks are read as text of the block they are in.
 DEEPEST = 64
-SALTS = 8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<=\s)(hidden)(?=[\s/>])""")
@@ -344,7 +343,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(by_batch, schema).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(by_host, schema)
 
 
-def main_texts(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     hosted = pages.select("page_id", "url", host_of().alias("host"), "html")
     wrappers = materialize(infer_wrappers(hosted))
@@ -355,10 +354,9 @@ def main_texts(pages: DataFrame, salts: int = SALTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["page_id", "url", "host", "packed"])
 
     kind = dict(hosted.dtypes)["page_id"]
-    packed = hosted.mapInArrow(pack, f"page_id {kind}, url string, host string, packed binary") \
-        .withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-    spread = wrappers.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(salts)))))
-    met = packed.join(spread, ["host", "salt"], "left").select("page_id", "url", "packed", "wrapper")
+    packed = hosted.mapInArrow(pack, f"page_id {kind}, url string, host string, packed binary")
+    # Nothing above the join needs a host's pages together, so that adaptive execution can split a host of any size.
+    met = packed.join(wrappers, "host", "left").select("page_id", "url", "packed", "wrapper")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
