@@ -12,7 +12,8 @@ document that is open at the block's start began.
 end-of-document id). A document may begin with id tokens, which the scan
 reads back as its integer id.
 
-Null and empty texts give documents of no tokens, with one separator each.
+Null and empty texts give documents of no tokens, with one separator each;
+a missing id stays missing.
 Repeated rows are documents of their own. An empty table gives no files and
 an empty result.
 """
@@ -36,17 +37,20 @@ ID_TOKENS = 5
 BLOCK_BYTES = 1 << 20
 
 
-def id_tokens(ids: np.ndarray) -> np.ndarray:
-    """Each 64-bit id as ID_TOKENS digits of 15 bits, highest first."""
+def id_tokens(ids: pa.Array) -> np.ndarray:
+    """Each 64-bit id as ID_TOKENS digits of 15 bits, highest first; a null id has a first digit that no id has."""
     shifts = np.arange(15 * (ID_TOKENS - 1), -1, -15, dtype=np.uint64)
-    return ((ids.astype(np.int64).view(np.uint64)[:, None] >> shifts) & np.uint64(0x7FFF)).astype(">u2")
+    whole = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    digits = ((whole[:, None] >> shifts) & np.uint64(0x7FFF)).astype(">u2")
+    digits[~ids.is_valid().to_numpy(zero_copy_only=False), 0] = 0x7FFF
+    return digits
 
 
-def ids_of(tokens: np.ndarray) -> np.ndarray:
+def ids_of(tokens: np.ndarray) -> pa.Array:
     out = np.zeros(len(tokens), np.uint64)
     for j in range(ID_TOKENS):
         out = (out << np.uint64(15)) | tokens[:, j].astype(np.uint64)
-    return out.view(np.int64)
+    return pa.array(out.view(np.int64), mask=tokens[:, 0] == 0x7FFF)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str, separator: int, doc_id: str = "doc_id",
@@ -63,7 +67,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
         closing = bytes([separator >> 8])
         for batch in batches:
             for part in byte_slices(batch, 1):
-                heads = id_tokens(part.column(0).to_numpy(zero_copy_only=False))
+                heads = id_tokens(part.column(0))
                 found = codec.encode(part.column(1).fill_null("").to_pylist())
                 rows = [h.tobytes() + np.frombuffer(x, "<u4").astype(">u2").tobytes() + closing for h, x in zip(heads, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])

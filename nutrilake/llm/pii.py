@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
     """The patterns' matches that pass their checks, leftmost and non-overlapping within a kind."""
     spans = list(_emails(text)) if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
             spans.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = "".join(_DIGIT.findall(m[0]))
