@@ -5,18 +5,17 @@ frequencies -> weights ``tf * (ln((1+n)/(1+df)) + 1)`` normalised per doc.
 
 Top-k similar documents (J9 / J10) are exact without comparing every pair:
 
-1. Terms with document frequency <= ``max_df`` are *rare*. Every candidate
-   sharing a rare term with the target is found through the rare postings
-   (an equi-join on the term; a posting list holds at most ``max_df`` rows),
-   and its exact cosine is computed (rare part from the join, frequent part
-   from the two small maps of frequent-term weights).
-2. A document sharing no rare term with the target can score at most
-   ``U = sum over the target's frequent terms of w_target * max_w(term)``.
-   When the k-th best candidate beats ``U`` strictly, the top k is final.
-3. Targets left undecided (few rare terms, many frequent ones, or fewer
-   than k candidates) are scored exactly against every document in bounded
-   blocks (dense products over each block's vocabulary, numpy in
-   ``cogroup().applyInPandas``), which only emit each target's best k.
+1. Documents with equal vectors are one *class*, targets with equal needs one
+   *unit*; of a class only the documents stay that can be among the first k.
+   A closed vocabulary has a bounded number of classes, however long the table.
+2. A unit's terms are taken from the rarest up. Classes sharing one of them
+   are found through postings (an equi-join on the term) and scored exactly; a
+   class that shares none of them scores at most the sum of w_target * max_w
+   over the terms left. When the k-th similarity beats that sum, the unit is
+   done; else the k-th similarity tells which further terms it needs.
+3. Units whose postings would be too long are compared with the classes in
+   bounded blocks (products over 1024 terms at a time, numpy in
+   ``cogroup().applyInPandas``), which only emit each unit's best.
 """
 
 from __future__ import annotations
@@ -69,15 +68,6 @@ def tfidf_fit(docs: DataFrame, key: str, text: str, stop_words: list[str] | None
                                         (F.col("w") / F.col("norm")).alias("w")))
 
 
-def _dot_maps(a: Column, b: Column) -> Column:
-    return F.aggregate(F.map_entries(a), F.lit(0.0),
-                       lambda acc, e: acc + e["value"] * F.coalesce(F.element_at(b, e["key"]), F.lit(0.0)))
-
-
-def _rank_order(sim: str = "sim") -> list[Column]:
-    return [F.col(sim).desc(), F.col("_score").asc_nulls_last(), F.col("_cand").asc()]
-
-
 def _flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and weight of every entry of the rows' ``terms`` and ``ws``."""
     rows = np.repeat(np.arange(len(df)), df["terms"].str.len().to_numpy(dtype=np.int64))
@@ -86,59 +76,125 @@ def _flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.concatenate([np.zeros(0), *(np.asarray(w, dtype=np.float64) for w in df["ws"])]))
 
 
-def _block_kernel(k: int):
-    """Score one (ref block, query block) group exactly and keep, per query,
-    the best k eligible references in the final order."""
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"tid": pd.Series(dtype="int64"), "_cand": pd.Series(dtype="int64"),
-                              "sim": pd.Series(dtype="float64"), "_score": pd.Series(dtype="float64")})
-        if q.empty or r.empty:
-            return empty
-        q_row, q_term, q_w = _flat(q)
-        r_row, r_term, r_w = _flat(r)
-        q_col, vocab = pd.factorize(q_term)
-        width = max(len(vocab), 1)
-        qm = np.zeros((len(q), width))
-        qm[q_row, q_col] = q_w
-        r_col = pd.Index(vocab).get_indexer(r_term)
-        known = r_col >= 0
-        rm = np.zeros((len(r), width))
-        rm[r_row[known], r_col[known]] = r_w[known]
-        sims = np.round(qm @ rm.T, SIM_DIGITS)
-        rid = r["_cand"].to_numpy(dtype=np.int64)
-        rscore = r["_score"].to_numpy(dtype=np.float64)          # NaN = missing
-        # tie-break rank of each reference: score asc (missing last), id asc
-        tie = np.empty(len(r), dtype=np.int64)
-        tie[np.lexsort((rid, np.where(np.isnan(rscore), np.inf, rscore)))] = np.arange(len(r))
-        # eligibility: other code (a missing code never clashes), better grade
-        ccode = r["_ccode"].to_numpy(dtype=object)
-        tcode = q["_tcode"].to_numpy(dtype=object)
-        same = (tcode[:, None] == ccode[None, :]) & pd.notna(tcode)[:, None] & pd.notna(ccode)[None, :]
-        trank = pd.to_numeric(q["_trank"], errors="coerce").to_numpy(dtype=np.float64)
-        crank = r["_crank"].to_numpy(dtype=np.float64)
-        worse = ~np.isnan(trank)[:, None] & (crank[None, :] >= np.nan_to_num(trank, nan=0.0)[:, None])
-        # one integer key per pair: rounded similarity first, tie rank second
-        scale = np.int64(len(r))
-        key = -np.rint(sims * 10.0 ** SIM_DIGITS).astype(np.int64) * scale + tie[None, :]
-        key[same | worse] = np.iinfo(np.int64).max
-        kk = min(k, len(r))
+def _products(q: pd.DataFrame, r: pd.DataFrame, width: int = 1024) -> np.ndarray:
+    """Inner products of all rows of q and r, ``width`` terms at a time."""
+    q_row, q_term, q_w = _flat(q)
+    r_row, r_term, r_w = _flat(r)
+    q_col, vocab = pd.factorize(q_term)
+    r_col = pd.Index(vocab).get_indexer(r_term)
+    sims = np.zeros((len(q), len(r)))
+    for lo in range(0, len(vocab), width):
+        qm, rm = np.zeros((len(q), width)), np.zeros((len(r), width))
+        for m, row, col, w in ((qm, q_row, q_col, q_w), (rm, r_row, r_col, r_w)):
+            here = (col >= lo) & (col < lo + width)
+            m[row[here], col[here] - lo] = w[here]
+        sims += qm @ rm.T
+    return sims
+
+
+UNIT = ["ucls", "slot", "need"]
+HITS = "ucls long, slot int, need int, cls long, sim double, b_score double, b_doc long"
+
+
+def _block_kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    """The best ``need`` classes of a block for every unit, in the order of their best eligible document."""
+    empty = pd.DataFrame({c.split()[0]: pd.Series(dtype={"long": "int64", "int": "int32"}.get(c.split()[1], "float64"))
+                          for c in HITS.split(", ")})
+    if q.empty or r.empty:
+        return empty
+    whole = -np.rint(_products(q, r) * 10.0 ** SIM_DIGITS).astype(np.int64)
+    cls = r["cls"].to_numpy(dtype=np.int64)
+    is_open = np.stack(r["is_open"].to_numpy())
+    score = np.stack([np.asarray(x, dtype=np.float64) for x in r["b_score"]])
+    doc = np.stack([np.asarray(x, dtype=np.int64) for x in r["b_doc"]])
+    out = [empty]
+    for (slot, need), rows in q.groupby(["slot", "need"], sort=False).indices.items():
+        able = np.nonzero(is_open[:, slot])[0]
+        kk = min(int(need), len(able))
+        if not kk:
+            continue
+        # one integer key a pair: rounded similarity first, then score (missing last), then id
+        tie = np.empty(len(able), dtype=np.int64)
+        s = score[able, slot]
+        tie[np.lexsort((doc[able, slot], np.where(np.isnan(s), np.inf, s)))] = np.arange(len(able))
+        key = whole[np.ix_(rows, able)] * np.int64(len(able)) + tie[None, :]
         part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-        pkey = np.take_along_axis(key, part, axis=1)
-        order = np.argsort(pkey, axis=1, kind="stable")
-        sel = np.take_along_axis(part, order, axis=1)
-        valid = np.take_along_axis(pkey, order, axis=1) != np.iinfo(np.int64).max
-        rows = np.repeat(np.arange(len(q)), kk).reshape(len(q), kk)
-        rows, sel = rows[valid], sel[valid]
-        if not len(rows):
-            return empty
-        return pd.DataFrame({"tid": q["tid"].to_numpy(dtype=np.int64)[rows], "_cand": rid[sel],
-                             "sim": sims[rows, sel], "_score": rscore[sel]})
-    return fn
+        pick = able[part].reshape(-1)
+        at = np.repeat(rows, kk)
+        out.append(pd.DataFrame({
+            "ucls": q["ucls"].to_numpy(dtype=np.int64)[at], "slot": np.int32(slot), "need": np.int32(need),
+            "cls": cls[pick], "sim": -whole[at, pick] / 10.0 ** SIM_DIGITS, "b_score": score[pick, slot], "b_doc": doc[pick, slot]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _classes(vectors: DataFrame, meta: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents with equal vectors form a class, named by its smallest document.
+
+    Returns documents (doc, cls, code, grade), the classes' vectors (cls,
+    terms, ws), members (cls, crank, code, score, doc) and the classes that
+    have members (cls, terms, ws, is_open, b_score, b_doc). Members
+    are the documents that can be among a target's first k: of a class and
+    grade the first k + 1 codes and their first k documents, so that k are
+    left whichever code the target has. The class arrays tell its first
+    document for each of the five grade limits (better than b, c, d, e; any)."""
+    entries = F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("rounded"), "w")))
+    sparse = vectors.groupBy("doc").agg(entries.alias("tw"))
+    rank_map = F.create_map(*sum([[F.lit(g), F.lit(i)] for i, g in enumerate("abcde")], []))
+    grade = F.lower(F.col("grade"))
+    docs = meta.withColumn("listed", F.lit(True)).join(sparse, "doc", "full").select(
+        "doc", "listed", F.trim(F.col("code").cast("string")).alias("code"), F.trim(grade).alias("grade"),
+        F.coalesce(F.element_at(rank_map, grade), F.lit(99)).alias("crank"), F.col("score").cast("double").alias("score"),
+        F.coalesce(F.col("tw.term"), F.array().cast("array<string>")).alias("terms"),
+        F.coalesce(F.col("tw.w"), F.array().cast("array<double>")).alias("ws"),
+        F.sha2(F.to_json(F.struct(F.col("tw.term").alias("t"), F.col("tw.rounded").alias("w"))), 256).alias("sig"))
+    docs = materialize(docs)
+    named = materialize(docs.groupBy("sig").agg(F.min("doc").alias("cls")))
+    docs = docs.join(named, "sig")
+    vec = docs.where(F.col("doc") == F.col("cls")).select("cls", "terms", "ws")
+
+    order = F.struct(F.col("score").isNull().alias("none"), "score", "doc")
+    own = F.coalesce(F.concat(F.lit("c"), "code"), F.concat(F.lit("d"), F.col("doc").cast("string")))
+    by_code = Window.partitionBy("cls", "crank", "own").orderBy("order")
+    first = (docs.where("listed").select("cls", "crank", "code", "score", "doc", own.alias("own"), order.alias("order"))
+             .withColumn("rn", F.row_number().over(by_code)).where(F.col("rn") <= k))
+    codes = (first.where(F.col("rn") == 1)
+             .withColumn("cn", F.row_number().over(Window.partitionBy("cls", "crank").orderBy("order")))
+             .where(F.col("cn") <= k + 1).select("cls", "crank", "own"))
+    members = materialize(first.join(codes, ["cls", "crank", "own"]).select("cls", "crank", "code", "score", "doc"))
+
+    best = members.groupBy("cls").agg(*[F.min(F.when(F.col("crank") < lim, order)).alias(f"b{i}")
+                                        for i, lim in enumerate(LIMITS)])
+    each = [F.col(f"b{i}") for i in range(len(LIMITS))]
+    best = best.select("cls", F.array(*[b.isNotNull() for b in each]).alias("is_open"),
+                       F.array(*[F.coalesce(b["score"], F.lit(float("nan"))) for b in each]).alias("b_score"),
+                       F.array(*[F.coalesce(b["doc"], F.lit(-1)) for b in each]).alias("b_doc"))
+    return docs.select("doc", "cls", "code", "grade"), vec, members, materialize(vec.join(best, "cls"))
+
+
+LIMITS = [1, 2, 3, 4, 100]  # grade ranks below these are eligible; the last: any
+
+
+def _first_classes(hits: DataFrame) -> DataFrame:
+    order = [F.col("sim").desc(), F.nanvl("b_score", F.lit(float("inf"))), F.col("b_doc")]
+    return (hits.withColumn("rank", F.row_number().over(Window.partitionBy(*UNIT).orderBy(*order)))
+            .where(F.col("rank") <= F.col("need")))
+
+
+def _by_postings(prefix: DataFrame, postings: DataFrame, units: DataFrame, classes: DataFrame) -> DataFrame:
+    """Hits among the classes that share a term of the unit's prefix (UNIT, term)."""
+    pairs = prefix.join(postings.select("term", "cls"), "term").select(*UNIT, "cls").distinct()
+    weights = units.select(*UNIT, F.map_from_arrays("terms", "ws").alias("w"))
+    at = F.col("slot") + 1
+    dot = F.aggregate(F.zip_with("terms", "ws", lambda t, x: x * F.coalesce(F.element_at(F.col("w"), t), F.lit(0.0))),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    return (pairs.join(weights, UNIT).join(classes, "cls").where(F.element_at("is_open", at))
+            .select(*UNIT, "cls", F.round(dot, SIM_DIGITS).alias("sim"),
+                    F.element_at("b_score", at).alias("b_score"), F.element_at("b_doc", at).alias("b_doc")))
 
 
 def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 5,
-                  better_only: bool = False, max_df: int = 1000, block: int = 2048,
-                  query_block: int = 512) -> DataFrame:
+                  better_only: bool = False, postings: int = 256, pair_cost: int = 64,
+                  block: int = 2048, query_block: int = 512) -> DataFrame:
     """Exact top-k most similar documents per target.
 
     targets: (tid, doc) - doc is the target's key in ``vectors``.
@@ -150,90 +206,74 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
     Order: similarity (rounded to SIM_DIGITS) desc, score asc (nulls last),
     doc asc. Returns (tid, rank, doc, similarite).
 
-    Pass 1 resolves targets through rare-term candidates and the bound U
-    (module doc). Pass 2 scores the remaining targets exactly against every
-    document in bounded blocks: documents in hash blocks of ``block`` rows,
-    targets in blocks of ``query_block`` rows; each (document block, target
-    block) group is one dense product over the target block's vocabulary,
-    and only the best k per target leave the task. The inputs and the first
-    pass are checkpointed: each is read by several later stages, and a lost
-    executor recomputes from the checkpoint rather than from the fit.
+    The search is of *units* (class, grade limit, classes needed) against
+    *classes* of equal vectors (module doc). ``postings`` is the number of
+    candidates a unit may take from its rarest terms at first, sixteen times
+    that once its k-th similarity is known; other units are compared in
+    blocks, as are those whose candidates, each ``pair_cost`` times the work of
+    a pair in a block, would cost more than all classes do there. The choice
+    is one of cost alone: every way is exact.
     """
-    targets = materialize(targets.select("tid", "doc"))
-    vectors = materialize(vectors.select("doc", "term", "df", "w"))
-    meta = materialize(meta.select("doc", "code", "grade", "score"))
-    rank_map = F.create_map(*sum([[F.lit(g), F.lit(i)] for i, g in enumerate("abcde")], []))
-    m = meta.select(F.col("doc").alias("_cand"), F.trim(F.col("code").cast("string")).alias("_ccode"),
-                    F.coalesce(F.element_at(rank_map, F.lower(F.col("grade"))), F.lit(99)).alias("_crank"),
-                    F.col("score").cast("double").alias("_score"))
-    tmeta = (targets.join(meta.select("doc", F.trim(F.col("code").cast("string")).alias("_tcode"),
-                                      F.lower(F.trim(F.col("grade"))).alias("_tgrade")), "doc", "left")
-             .select("tid", "doc", "_tcode",
-                     (F.element_at(rank_map, F.col("_tgrade")) if better_only
-                      else F.lit(None).cast("int")).alias("_trank")))
-
-    def eligible(df: DataFrame) -> DataFrame:
-        j = df.join(tmeta.select("tid", "_tcode", "_trank"), "tid").join(m, "_cand")
-        cond = F.col("_ccode").isNull() | F.col("_tcode").isNull() | (F.col("_ccode") != F.col("_tcode"))
-        cond = cond & (F.col("_trank").isNull() | (F.col("_crank") < F.col("_trank")))
-        return j.where(cond)
-
-    # pass 1: candidates through rare terms, exact cosine
-    maxw = vectors.groupBy("term").agg(F.max("w").alias("maxw"))
-    rare = vectors.where(F.col("df") <= max_df)
-    empty_map = F.create_map().cast("map<string,double>")
-    freq_maps = (vectors.where(F.col("df") > max_df).groupBy("doc")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("fmap")))
-    tvec = targets.join(vectors, "doc").select("tid", "term", "df", F.col("w").alias("tw"))
-    head = (tvec.where(F.col("df") <= max_df)
-            .join(rare.select("term", F.col("doc").alias("_cand"), "w"), "term")
-            .groupBy("tid", "_cand").agg(F.sum(F.col("tw") * F.col("w")).alias("rsim")))
-    tf_map = targets.join(freq_maps, "doc", "left").select("tid", F.col("fmap").alias("_tmap"))
-    cand = (head.join(tf_map, "tid")
-            .join(freq_maps.select(F.col("doc").alias("_cand"), F.col("fmap").alias("_cmap")), "_cand", "left")
-            .select("tid", "_cand", F.round(F.col("rsim") + _dot_maps(F.coalesce("_tmap", empty_map),
-                                                                    F.coalesce("_cmap", empty_map)),
-                                            SIM_DIGITS).alias("sim")))
-    cand = eligible(cand)
-    bound = (tvec.where(F.col("df") > max_df).join(maxw, "term").groupBy("tid")
-             .agg(F.sum(F.col("tw") * F.col("maxw")).alias("U")))
-    w_rank = Window.partitionBy("tid").orderBy(*_rank_order())
-    top1 = materialize(cand.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k)
-                       .select("tid", "_cand", "sim", "_score"))
-    status = top1.groupBy("tid").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_kth"))
-    # a document sharing no rare term scores at most U; ranks use rounded
-    # similarities, so the test keeps a margin of one rounding unit
-    resolved = materialize(
-        targets.select("tid").join(status, "tid").join(bound, "tid", "left")
-        .where((F.col("_n") >= k) & (F.col("_kth") > F.coalesce("U", F.lit(0.0)) + F.lit(10.0 ** -SIM_DIGITS)))
-        .select("tid"))
-
-    # pass 2: every other target against every document, in bounded blocks
-    sparse = vectors.groupBy("doc").agg(F.collect_list(F.struct("term", "w")).alias("tw"))
-    sparse = sparse.select("doc", F.col("tw.term").alias("terms"), F.col("tw.w").alias("ws"))
-    no_terms = F.array().cast("array<string>")
-    no_ws = F.array().cast("array<double>")
-    refs = (m.join(sparse.withColumnRenamed("doc", "_cand"), "_cand", "left")
-            .select("_cand", F.coalesce("terms", no_terms).alias("terms"), F.coalesce("ws", no_ws).alias("ws"),
-                    "_ccode", "_crank", "_score"))
-    todo = targets.join(resolved, "tid", "left_anti")
-    queries = (todo.join(tmeta.select("tid", "_tcode", "_trank"), "tid").join(sparse, "doc", "left")
-               .select("tid", F.coalesce("terms", no_terms).alias("terms"), F.coalesce("ws", no_ws).alias("ws"),
-                       "_tcode", "_trank"))
-    n_refs = meta.select(F.count(F.lit(1))).scalar()
-    n_q = todo.select(F.count(F.lit(1))).scalar()
-    nrb = F.greatest(F.ceil(n_refs / F.lit(block)), F.lit(1)).cast("int")
-    nqb = F.greatest(F.ceil(n_q / F.lit(query_block)), F.lit(1)).cast("int")
-    refs_b = refs.select("*", F.pmod(F.xxhash64("_cand"), nrb).cast("int").alias("rb"),
-                         F.explode(F.sequence(F.lit(0), nqb - 1)).alias("qb"))
-    queries_b = queries.select("*", F.pmod(F.xxhash64("tid"), nqb).cast("int").alias("qb"),
-                               F.explode(F.sequence(F.lit(0), nrb - 1)).alias("rb"))
-    schema = "tid long, _cand long, sim double, _score double"
-    exact = (queries_b.groupBy("rb", "qb").cogroup(refs_b.groupBy("rb", "qb"))
-             .applyInPandas(_block_kernel(k), schema))
-    allc = top1.join(resolved, "tid").unionByName(exact)
-    final = allc.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k)
-    return final.select("tid", "rank", F.col("_cand").alias("doc"), F.col("sim").alias("similarite"))
+    docs, shapes, members, classes = _classes(vectors, meta, k)
+    # a target's own code can bar as many classes as hold it
+    held = members.where(F.col("code").isNotNull()).groupBy("code").agg(F.count_distinct("cls").alias("held"))
+    trank = F.array_position(F.array(*map(F.lit, "abcde")), F.col("grade")) - 1
+    found = targets.select("tid", "doc").join(docs, "doc", "left")
+    slot = F.when(F.lit(better_only) & (trank >= 0), trank - 1).otherwise(F.lit(len(LIMITS) - 1)).cast("int")
+    found = (found.join(held, "code", "left")
+             .select("tid", "code", F.coalesce("cls", "doc").alias("ucls"), slot.alias("slot"),
+                     (F.lit(k) + F.coalesce("held", F.lit(1))).cast("int").alias("need")))
+    found = materialize(found.where(F.col("slot") >= 0))  # nothing is better than the best grade
+    no_terms, no_ws = F.array().cast("array<string>"), F.array().cast("array<double>")
+    units = materialize(found.select(*UNIT).distinct().join(shapes.withColumnRenamed("cls", "ucls"), "ucls", "left")
+                        .select(*UNIT, F.coalesce("terms", no_terms).alias("terms"), F.coalesce("ws", no_ws).alias("ws")))
+
+    # rarest terms first: candidates by postings, and what all later terms can add at most
+    lists = classes.select("cls", F.explode(F.arrays_zip("terms", "ws")).alias("e")).select("cls", "e.terms", "e.ws") \
+        .toDF("cls", "term", "w")
+    sizes = lists.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("most"))
+    walk = Window.partitionBy(*UNIT).orderBy("n", "term")
+    steps = (units.select(*UNIT, F.explode(F.arrays_zip("terms", "ws")).alias("e"))
+             .select(*UNIT, F.col("e.terms").alias("term"), F.col("e.ws").alias("w")).join(sizes, "term")
+             .withColumn("add", F.col("w") * F.col("most"))
+             .select(*UNIT, "term", F.sum("n").over(walk).alias("cost"),
+                     F.sum("add").over(walk.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("bound"),
+                     (F.sum("add").over(walk.rowsBetween(Window.currentRow, Window.unboundedFollowing)) - F.col("add")).alias("after")))
+    steps = materialize(steps)
+    slack = F.lit(10.0 ** -SIM_DIGITS)  # ranks use rounded similarities
+    n_classes = classes.select(F.count(F.lit(1))).scalar()
+    worth = F.col("cost") * pair_cost <= n_classes
+    near = steps.where((F.col("cost") <= postings) & worth)
+    hits = materialize(_first_classes(_by_postings(near, lists, units, classes)))
+    status = hits.where(F.col("rank") == F.col("need")).select(*UNIT, F.col("sim").alias("kth"))
+    left = near.groupBy(*UNIT).agg(F.min("after").alias("after"))
+    done = status.join(left, UNIT).where(F.col("kth") > F.col("after") + slack).select(*UNIT)
+    # terms that the k-th similarity still calls for
+    called = steps.join(status, UNIT).where(F.col("bound") + slack >= F.col("kth")).join(done, UNIT, "left_anti")
+    cheap = called.groupBy(*UNIT).agg(F.max("cost").alias("cost")).where((F.col("cost") <= 16 * postings) & worth).select(*UNIT)
+    cheap = materialize(cheap)
+    more = _by_postings(called.join(cheap, UNIT).select(*UNIT, "term"), lists, units, classes)
+
+    rest = materialize(units.join(done, UNIT, "left_anti").join(cheap, UNIT, "left_anti"))
+    nrb = F.greatest(F.ceil(n_classes / F.lit(block)), F.lit(1)).cast("int")
+    nqb = F.greatest(F.ceil(rest.select(F.count(F.lit(1))).scalar() / F.lit(query_block)), F.lit(1)).cast("int")
+    refs_b = classes.select("*", F.pmod(F.xxhash64("cls"), nrb).cast("int").alias("rb"),
+                            F.explode(F.sequence(F.lit(0), nqb - 1)).alias("qb"))
+    units_b = rest.select("*", F.pmod(F.xxhash64(*UNIT), nqb).cast("int").alias("qb"),
+                          F.explode(F.sequence(F.lit(0), nrb - 1)).alias("rb"))
+    blocks = units_b.groupBy("rb", "qb").cogroup(refs_b.groupBy("rb", "qb")).applyInPandas(_block_kernel, HITS)
+    found_classes = hits.drop("rank").join(done, UNIT).unionByName(more).unionByName(blocks)
+
+    # documents of the first classes, then each target without its own code
+    order = [F.col("sim").desc(), F.col("score").asc_nulls_last(), F.col("doc").asc()]
+    enough = F.lit(k) + (F.col("need") - k) * k
+    rows = (_first_classes(found_classes).select(*UNIT, "cls", "sim").join(members, "cls")
+            .where(F.col("crank") < F.element_at(F.array(*map(F.lit, LIMITS)), F.col("slot") + 1))
+            .withColumn("rn", F.row_number().over(Window.partitionBy(*UNIT).orderBy(*order))).where(F.col("rn") <= enough)
+            .withColumnRenamed("code", "ccode"))
+    final = (found.join(rows, UNIT).where(F.col("code").isNull() | F.col("ccode").isNull() | (F.col("code") != F.col("ccode")))
+             .withColumn("rank", F.row_number().over(Window.partitionBy("tid").orderBy(*order))).where(F.col("rank") <= k))
+    return final.select("tid", "rank", "doc", F.col("sim").alias("similarite"))
 
 
 def pair_similarity(a: Column, b: Column) -> Column:
