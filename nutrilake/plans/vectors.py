@@ -7,10 +7,13 @@ complete, FIXTURES B.3); all other rows are the reference.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutrilake.operators import knn
+from nutrilake.session import shared_path
 from nutrilake.sources import tables
 
 # Threshold for the test vectors (the reference's 0.55 accepts nothing on
@@ -45,6 +48,14 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       "score", "neighbour_label")
 
 
+def knn_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + J6: the index written to the shared folder, read again and searched."""
+    q, r = _split(spark, sf_dir)
+    path = knn.save_vector_index(knn.build_index(r, "vec_id", "embedding"), shared_path(spark, "indexes", uuid.uuid4().hex))
+    res = knn.ivf_search(q, "vec_id", "embedding", knn.load_vector_index(spark, path), k=TOP_K, nprobe=4)
+    return res.select(F.col("qid").alias("vec_id"), "rank", F.col("rid").alias("neighbour_id"), "score")
+
+
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, r = _split(spark, sf_dir)
     res = knn.exact_knn(q, "vec_id", "embedding", r, "vec_id", "embedding", k=TOP_K)
