@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutrilake.session import materialize, shared_path
@@ -61,7 +61,6 @@ def split_statistics(model: PipelineModel, features: Sequence[str], levels: int
     """Number of splits per attribute at tree levels 0..levels-1, read
     from the saved forest (tree id, node id, children, split feature)."""
     forest = model.stages[-1]
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     path = shared_path(spark, "models", f"forest-{forest.uid}")
     forest.write().overwrite().save(path)
@@ -82,3 +81,10 @@ def split_statistics(model: PipelineModel, features: Sequence[str], levels: int
     splits = allv.where(F.col("l") >= 0).groupBy(name_of.alias("attribute")).pivot("level", list(range(levels))) \
         .agg(F.count(F.lit(1))).na.fill(0)
     return splits.select("attribute", *[F.col(str(i)).alias(f"splits_level_{i}") for i in range(levels)])
+
+
+def feature_importances(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """M4: (attribute, importance), summing to 1; one row per model feature."""
+    names = list(features) + [f"{c}__missing" for c in features]
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, model.stages[-1].featureImportances.toArray(), strict=True)],
+                                 "attribute string, importance double")

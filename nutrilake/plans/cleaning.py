@@ -49,4 +49,13 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.column_domains(distributed(spark, sf_dir))
+    """Domains of the cleaned products x distributors. An expansion by a fixed
+    dimension adds no product value, so each side is summarised on its own."""
+    dims = clean.expand_by_dimension(cleaned(spark, sf_dir).limit(1).select(), tables.DISTRIBUTORS, ["Distributeur", "Temps"])
+    return profile.column_domains(cleaned(spark, sf_dir)).unionByName(profile.column_domains(dims))
+
+
+def domain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 without a bound: every value of every text column with its count."""
+    c = cleaned(spark, sf_dir)
+    return profile.value_counts(c, [n for n, t in c.dtypes if t == "string"])

@@ -35,19 +35,12 @@ def _scored(pred: DataFrame) -> DataFrame:
         "row_id", LABEL, "prediction", "confidence", "comparaison_nutri")
 
 
-_MODELS: dict = {}
-
-
 def _fit(spark, sf_dir):
-    """Fit once per session and data folder (the three queries share it)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _MODELS:
-        return _MODELS[key]
+    """(model, training rows, held-out rows) of the 80/20 split."""
     data = materialize(sampling.split_relative(model_input(spark, sf_dir), "row_id", 0.8))
     train = data.where(F.col("partition") == "train").drop("partition")
     test = data.where(F.col("partition") == "test").drop("partition")
-    _MODELS[key] = (forest.fit_forest(train, FEATURES, LABEL, num_trees=NUM_TREES), train, test)
-    return _MODELS[key]
+    return forest.fit_forest(train, FEATURES, LABEL, num_trees=NUM_TREES), train, test
 
 
 def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +60,9 @@ def forest_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4, Q5 + A7: accuracy, error, counts and kappa on the holdout and on the full table."""
-    parts = [scoring.overall_scores(f(spark, sf_dir), LABEL, "prediction").withColumn("rows", F.lit(name))
-             for name, f in (("holdout", forest_holdout), ("full", forest_full))]
+    model, _, test = _fit(spark, sf_dir)
+    parts = [scoring.overall_scores(_scored(forest.predict(model, rows, FEATURES, LABEL)), LABEL, "prediction")
+             .withColumn("rows", F.lit(name)) for name, rows in (("holdout", test), ("full", model_input(spark, sf_dir)))]
     return parts[0].unionByName(parts[1])
 
 
@@ -82,10 +76,15 @@ def forest_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(forest.predict(model, model_input(spark, sf_dir), FEATURES, LABEL))
 
 
+def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: importance of each model feature."""
+    return forest.feature_importances(spark, _fit(spark, sf_dir)[0], FEATURES)
+
+
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 re-aimed: k-fold out-of-fold predictions (fold = pmod(hash(row_id), k))."""
+    """M3 re-aimed: k-fold out-of-fold predictions (fold = first 7 hex digits of md5(row_id) mod k)."""
     data = materialize(model_input(spark, sf_dir)
-                       .withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(FOLDS)).cast("int")))
+                       .withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.col("row_id").cast("string")), 1, 7), 16, 10).cast("int"), F.lit(FOLDS))))
     parts = []
     for f in range(FOLDS):
         model = forest.fit_forest(data.where(F.col("fold") != f), FEATURES, LABEL, num_trees=NUM_TREES)

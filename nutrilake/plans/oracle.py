@@ -322,6 +322,10 @@ dist AS (SELECT * FROM cleaned CROSS JOIN distributor)
 
 ORACLE["column_domains"] = _domains_sql()
 
+ORACLE["domain_values"] = with_(PRODUCTS, CLEANED) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM cleaned WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c, t in CLEAN_COLS if t == "string")
+
 # --- questions and lookups -------------------------------------------------------
 
 QUESTIONS = f"""
@@ -667,12 +671,14 @@ vb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) A
 ORACLE["knn_exact"] = with_(VEC) + """
 SELECT qid AS vec_id, rid AS neighbour_id, score, label AS neighbour_label FROM vb WHERE rk = 1"""
 
-# with nlist <= nprobe (400 references give 10 cells) every cell is probed
+# the inverted-file search is exact, with more cells than first probes too
 ORACLE["knn_ivf"] = ORACLE["knn_exact"]
 
 ORACLE["retrieve_topk"] = with_(VEC) + """
 SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, rid AS neighbour_id, score FROM vb WHERE rk <= 5"""
 
+ORACLE["knn_saved_index"] = ORACLE["retrieve_topk"]
+
 IMPUTE = """,
 best AS (SELECT qid, score, label AS nl FROM vb WHERE rk = 1),
 imp AS (

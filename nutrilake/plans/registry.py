@@ -17,6 +17,7 @@ QUERIES: dict[str, QueryFn] = {
     "distributor_avg_score": cleaning.distributor_avg_score,
     "column_profile": cleaning.column_profile,
     "column_domains": cleaning.column_domains,
+    "domain_values": cleaning.domain_values,
     "nutriment_score": grading.nutriment_score,
     "heuristic_grade": grading.heuristic_grade,
     "grade_coherence": grading.grade_coherence,
@@ -49,6 +50,7 @@ QUERIES: dict[str, QueryFn] = {
     "text_pair_similarity": similar.text_pair_similarity,
     "knn_exact": vectors.knn_exact,
     "knn_ivf": vectors.knn_ivf,
+    "knn_saved_index": vectors.knn_saved_index,
     "retrieve_topk": vectors.retrieve_topk,
     "impute_labels": vectors.impute_labels,
     "completion_report": vectors.completion_report,
@@ -58,6 +60,7 @@ QUERIES: dict[str, QueryFn] = {
     "forest_class_scores": model_eval.forest_class_scores,
     "forest_overall": model_eval.forest_overall,
     "forest_ok_diff": model_eval.forest_ok_diff,
+    "forest_importances": model_eval.forest_importances,
     "out_of_fold": model_eval.out_of_fold,
     "split_statistics": model_eval.split_statistics,
     "answers": answers.answers,

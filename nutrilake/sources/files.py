@@ -28,14 +28,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
 
 def read_reference_tsv(spark: SparkSession, path: str, all_columns: Sequence[str], keep: Sequence[str],
                        key: str | None = None) -> DataFrame:
-    """S3: tab-separated dump, only ``keep`` columns as strings, bad lines
-    skipped. Column pruning in the CSV parser is switched off for this scan
-    so that a line with a wrong field count is still detected."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in all_columns])
-    df = (spark.read.schema(schema).option("sep", "\t").option("header", True).option("columnPruning", False)
-          .option("mode", "DROPMALFORMED").csv(path))
+    """S3: tab-separated dump, only ``keep`` columns as strings. Lines with too
+    many fields are skipped; a short line keeps its fields, the others are
+    null. Column pruning in the CSV parser is switched off for this scan so
+    that a wrong field count is seen; only such lines are counted again."""
+    bad, sep = "_wrong_line", "\t"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*all_columns, bad]])
+    df = (spark.read.schema(schema).option("sep", sep).option("header", True).option("columnPruning", False)
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path))
+    # Separators inside quotes do not count. A right line is one field here: its
+    # first column, as Spark does not read the wrong lines' column alone.
+    bare = F.coalesce(F.regexp_replace(bad, r'"(?:[^"\\]|\\.)*"', ""), F.replace(F.col(all_columns[0]), F.lit(sep)), F.lit(""))
     cols = ([key] if key else []) + [c for c in keep if c != key]
-    return df.select(*cols)
+    return df.where(F.size(F.split(bare, sep)) <= len(all_columns)).select(*cols)
 
 
 def valid_reference(df: DataFrame, name: str, target: str) -> DataFrame:

@@ -183,6 +183,8 @@ def test_csv_sink_round_trip(spark, tmp_path):
 def test_tsv_scan_leaves_the_session_alone(spark, tmp_path):
     from nutrilake.sources import files
     before = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
-    (tmp_path / "a.tsv").write_text("a\tb\tc\n1\t2\t3\n1\t2\t3\t4\n")
-    assert files.read_reference_tsv(spark, str(tmp_path / "a.tsv"), ["a", "b", "c"], ["b"]).count() == 1
+    (tmp_path / "a.tsv").write_text('a\tb\tc\n1\t2\t3\n1\t2\t3\t4\n5\t6\n7\n1\t2\t3\t4\t5\n"8\t8"\t"9\t"\n')
+    got = files.read_reference_tsv(spark, str(tmp_path / "a.tsv"), ["a", "b", "c"], ["b", "c"])
+    assert sorted((r.b or "", r.c or "") for r in got.collect()) == [("", ""), ("2", "3"), ("6", ""), ("9\t", "")]
+    assert got.count() == 4
     assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == before

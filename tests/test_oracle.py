@@ -59,6 +59,10 @@ def overall(rows):
     assert 0 < by["holdout"].cohen_kappa < by["holdout"].accuracy
 
 
+def importances(rows):
+    assert len(rows) == 14 and abs(sum(r.importance for r in rows) - 1) < 1e-9
+
+
 def answers(rows):
     assert len({r.q_id for r in rows}) == len(rows) == n_products()
     assert not any("None (Nutri-Score" in r.reponse or "Nutri-Score ?" in r.reponse for r in rows)
@@ -83,6 +87,7 @@ def not_empty(rows):
 PROPERTIES = {
     "forest_holdout": holdout, "forest_full": full, "out_of_fold": out_of_fold, "split_statistics": not_empty,
     "forest_confusion": confusion, "forest_class_scores": class_scores, "forest_overall": overall, "forest_ok_diff": not_empty,
+    "forest_importances": importances,
     "answers": answers, "impute_categories": imputed, "impute_categories_report": report,
 }
 
