@@ -103,7 +103,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = (misc.missing_country_rows(p).orderBy("row_id").limit(EXAMPLES)
                 .agg(F.concat(F.lit("["), F.array_join(F.transform(
                     F.array_sort(F.collect_list(F.struct("row_id", "product_name"))),
-                    lambda x: _py_str(x["product_name"])), ", "), F.lit("]")).alias("exemples")))
+                    lambda x: _py_str(x["product_name"])), ", "), F.lit("]")).alias("exemples"),
+                    F.transform(F.array_sort(F.collect_list(F.struct("row_id", "code", "product_name", "countries_en"))),
+                                lambda x: x.dropFields("row_id")).alias("exemples_liste")))
     # a single row: joined on a constant key as a bounded broadcast
     s = s.withColumn("_one", F.lit(1)).join(F.broadcast(examples.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
@@ -125,15 +127,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     better = textsim.top_k_similar(sim_t, vec, meta, 5, True)
     votes = similar.vote_categories(cat_top.withColumnRenamed("tid", "q_id").withColumnRenamed("doc", "row_id"),
                                     p.select("row_id", "categories_en"))
-    better_lines = (better.join(p.select(F.col("row_id").alias("doc"), "product_name", "nutrition_grade_fr"), "doc")
-                    .groupBy(F.col("tid").alias("q_id")).agg(F.array_join(F.transform(
-                        F.array_sort(F.collect_list(F.struct("rank", "product_name", "nutrition_grade_fr",
-                                                             "similarite"))),
-                        lambda x: F.concat(F.coalesce(x["product_name"], F.lit("")), F.lit(" (Nutri-Score "),
-                                           F.upper(F.coalesce(x["nutrition_grade_fr"], F.lit(""))),
-                                           F.lit(", similarite="), F.round(x["similarite"], 3).cast("string"),
-                                           F.lit(")"))), "; ").alias("similar_lines")))
-    s = s.join(votes, "q_id", "left").join(better_lines, "q_id", "left")
+    shown = p.select(F.col("row_id").alias("doc"), "code", "product_name", "categories_en", "nutrition_grade_fr")
+    # The neighbours themselves are the evidence, for both intents
+    near = (cat_top.unionByName(better).join(shown, "doc").groupBy(F.col("tid").alias("q_id"))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct(
+                "rank", "code", "product_name", "categories_en", "nutrition_grade_fr", "similarite"))),
+                lambda x: x.dropFields("rank")).alias("voisins")))
+    lines = F.array_join(F.transform("voisins", lambda x: F.concat(
+        F.coalesce(x["product_name"], F.lit("")), F.lit(" (Nutri-Score "), F.upper(F.coalesce(x["nutrition_grade_fr"], F.lit(""))),
+        F.lit(", similarite="), F.round(x["similarite"], 3).cast("string"), F.lit(")"))), "; ")
+    s = s.join(votes, "q_id", "left").join(near, "q_id", "left").withColumn("similar_lines", lines)
 
     # analyses per intent
     s = _analyse(s, has_local, has_ext)
@@ -149,7 +152,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(~has_ext, F.lit("Produit introuvable sur Open Food Facts.")).alias("erreur")))
         .alias("produit_externe"),
         F.struct(F.col("a_reponse").alias("reponse"), F.col("a_enrichissement").alias("enrichissement"),
-                 F.col("a_justification").alias("justification")).alias("analyse"),
+                 F.col("a_justification").alias("justification"), *_evidence(has_local | has_ext)).alias("analyse"),
         F.col("contexte_rag"),
         F.struct(F.col("reference_deduite").alias("reference"),
                  F.transform(F.coalesce("cand_list", F.array().cast("array<struct<pos:int,code:string,"
@@ -163,6 +166,38 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     payload.alias("charge_utile"), summary(F.col("a_reponse")).alias("resume"))
 
 
+def _evidence(present: Column) -> list[Column]:
+    """What each analysis rests on (F28, P18); fields of other intents are null."""
+    it = F.col("intention")
+    neighbours = it.isin("categorie", "similarite")
+    no_ref = F.col("ref2") == ""
+    estimate = F.struct(*[F.col("_e_" + c).alias(c) for c in ("grade_estime", "score_estime", "methode", "justification")])
+    return [
+        F.when(it == "additif", F.struct(F.col("add_code").alias("code"), "nom", "role", "description", "source_nom",
+                                         "url_source")).alias("additif"),
+        F.when(neighbours & no_ref & (F.col("n_cand") > 1),
+               F.transform(F.slice("cand_list", 1, 5), lambda x: F.struct(x["code"].alias("code"), x["product_name"].alias("product_name"))))
+        .alias("candidats_ambigus"),
+        F.when((it == "categorie") & ~no_ref, F.coalesce("categorie_suggeree", F.lit("Categorie indeterminee"))).alias("categorie_suggeree"),
+        F.when((it == "categorie") & ~no_ref, F.coalesce("categories_liste", F.array().cast("array<struct<categorie:string,n:bigint>>")))
+        .alias("categories_preuves"),
+        F.when(neighbours & ~no_ref, F.coalesce("voisins", F.array().cast(NEIGHBOURS))).alias("produits_similaires"),
+        F.when((it == "origine") & F.col("code_eff").isNotNull(),
+               F.struct(F.col("code_eff").alias("codebarres"), F.when(F.col("x_code").isNotNull(), F.col("a_pays")).alias("pays"),
+                        F.when(F.col("x_code").isNull(), F.lit("Produit introuvable sur Open Food Facts.")).alias("erreur")))
+        .alias("origine"),
+        F.when((it == "origine") & F.col("code_eff").isNull(), F.col("exemples_liste")).alias("exemples_sans_pays"),
+        F.when(it == "coherence", F.struct(F.col("_c_statut").alias("statut"), F.col("_c_message").alias("message"),
+                                           F.col("_c_grade_actuel").alias("grade_actuel"),
+                                           F.when(present, estimate).alias("estimation"))).alias("coherence"),
+        F.when(it == "estimer_nutriscore", estimate).alias("estimation"),
+    ]
+
+
+NEIGHBOURS = ("array<struct<code:string,product_name:string,categories_en:string,nutrition_grade_fr:string,"
+              "similarite:double>>")
+
+
 def _analyse(s: DataFrame, has_local: Column, has_ext: Column) -> DataFrame:
     it = F.col("intention")
     # additive: code from the question, else from the context, else E330
@@ -276,7 +311,7 @@ def _analyse(s: DataFrame, has_local: Column, has_ext: Column) -> DataFrame:
         for intent, cols in rows.items():
             expr = F.when(it == intent, cols[i]) if expr is None else expr.when(it == intent, cols[i])
         out.append(expr.alias(name))
-    return s.select("*", *out)
+    return s.select("*", *out, pays.alias("a_pays"))
 
 
 def api_response(df: DataFrame) -> DataFrame:

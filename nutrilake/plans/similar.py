@@ -83,6 +83,7 @@ def vote_categories(top: DataFrame, categories: DataFrame) -> DataFrame:
         F.coalesce(F.get(F.col("t"), 0)["c"], F.lit("Categorie indeterminee")).alias("categorie_suggeree"),
         F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(x["c"], F.lit(":"), x["n"].cast("string"))),
                                 "; "), F.lit("")).alias("categories_preuves"),
+        F.transform("t", lambda x: F.struct(x["c"].alias("categorie"), x["n"].alias("n"))).alias("categories_liste"),
         F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(
             F.lit("('"), x["c"], F.lit("', "), x["n"].cast("string"), F.lit(")"))), ", "), F.lit("")),
             F.lit("]")).alias("categories_repr"))

@@ -63,10 +63,32 @@ def importances(rows):
     assert len(rows) == 14 and abs(sum(r.importance for r in rows) - 1) < 1e-9
 
 
+EVIDENCE = {
+    "additif": {"additif"}, "categorie": {"categorie_suggeree", "categories_preuves", "produits_similaires", "candidats_ambigus"},
+    "origine": {"origine", "exemples_sans_pays"}, "similarite": {"produits_similaires", "candidats_ambigus"},
+    "coherence": {"coherence"}, "estimer_nutriscore": {"estimation"}, "rag": set(),
+}
+
+
 def answers(rows):
     assert len({r.q_id for r in rows}) == len(rows) == n_products()
     assert not any("None (Nutri-Score" in r.reponse or "Nutri-Score ?" in r.reponse for r in rows)
-    assert all(json.loads(r.charge_utile)["intention"] == r.intention for r in rows)
+    for r in rows:
+        payload = json.loads(r.charge_utile)
+        part = payload["analyse"]
+        assert payload["intention"] == r.intention and part["reponse"] in r.reponse
+        told = {k for k, v in part.items() if v is not None} - {"reponse", "enrichissement", "justification"}
+        assert told <= EVIDENCE[r.intention], (r.intention, told)
+        if part["additif"]:
+            assert part["reponse"].startswith(part["additif"]["code"] + " correspond a " + part["additif"]["nom"])
+        if part["coherence"]:
+            assert part["coherence"]["message"] == part["reponse"]
+        if part["estimation"]:
+            assert part["estimation"]["justification"] == part["justification"]
+        if part["categorie_suggeree"]:
+            assert part["categorie_suggeree"] in part["reponse"] and len(part["categories_preuves"]) <= 3
+        sims = [x["similarite"] for x in part["produits_similaires"] or []]
+        assert len(sims) <= 5 and sims == sorted(sims, reverse=True)
 
 
 def imputed(rows):
