@@ -4,7 +4,9 @@ The patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers. The field then labels every token that holds a digit or an at sign:
 a token's shape gives its own potential, neighbouring tokens share chain
 potentials, and tokens of a document that repeat one another (equal, or equal
-in their last digits) share skip potentials however far apart they stand.
+in their last digits) share skip potentials however far apart they stand:
+each mention is linked to the first one that a pattern found, of each kind, or
+to the first mention at all where no pattern found one.
 Loopy message passing over all three gives each token's marginals; tokens of
 patterns are held at their kind, and further tokens become spans where a
 marginal is high. Potentials are learnt from the patterns' own labels by
@@ -119,7 +121,7 @@ class Nodes(NamedTuple):
 
 def nodes_of(text: str, spans: list[Span]) -> Nodes:
     out = Nodes([], [], [], [], [], [])
-    last_seen: dict[str, int] = {}
+    mentions: dict[str, list[int]] = {}
     before, at = -2, 0
     for order, m in enumerate(_TOKEN.finditer(text)):
         if not _MARK.search(m[0]):
@@ -137,11 +139,19 @@ def nodes_of(text: str, spans: list[Span]) -> Nodes:
         if order == before + 1:
             out.chain.append((i - 1, i))
         digits = "".join(_DIGIT.findall(core))
-        for key in {core.lower(), f"#{digits[-7:]}" if len(digits) >= 7 else core.lower()}:
-            if key in last_seen and last_seen[key] != i - 1:
-                out.skip.append((last_seen[key], i))
-            last_seen[key] = i
+        # Equal tokens of seven digits or more are also equal in their last ones, so that one key tells both.
+        mentions.setdefault(f"#{digits[-7:]}" if len(digits) >= 7 else core.lower(), []).append(i)
         before = order
+    chained = set(out.chain)
+    for at_key in mentions.values():
+        if len(at_key) > 1:
+            # Stars around the first mention of each kind: linear in mentions, and what no pattern found does not outvote what one did.
+            held: dict[int, int] = {}
+            for i in at_key:
+                if out.label[i]:
+                    held.setdefault(out.label[i], i)
+            edges = {(min(i, hub), max(i, hub)) for hub in held.values() or at_key[:1] for i in at_key if i != hub}
+            out.skip.extend(sorted(edges - chained))
     return out
 
 
@@ -195,7 +205,7 @@ def marginals(field: Field, shapes: np.ndarray, held: np.ndarray, chain: np.ndar
     """Loopy sum-product: each token's label probabilities; tokens with ``held`` above 0 have that label."""
     own = field.unary[shapes].copy()
     at = np.flatnonzero(held)
-    own[at] = -30.0
+    own[at] = -1e9  # more than any number of neighbours can say
     own[at, held[at]] = 0.0
     edges = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
     if not len(edges):

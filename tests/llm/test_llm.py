@@ -435,6 +435,29 @@ def test_field_spreads_labels_over_repeats():
     assert pii.replaced("a b@c.d e", [(2, 0, 7)]) == "a [EMAIL] e"
 
 
+@pytest.mark.parametrize("others", [1, 2, 49])
+@pytest.mark.parametrize("found_at", [0, 1])
+def test_field_links_every_mention(others, found_at):
+    # one mention that a pattern finds and further ones that none does, with plain words between
+    number = "5551234567"
+    mentions = [f"call {number} again"] * others
+    mentions.insert(found_at, "call +15551234567 now")
+    text = " and then ".join(mentions)
+    base = pii.base_spans(text)
+    nodes = pii.nodes_of(text, base)
+    assert len(base) == 1 and not nodes.chain and {x for e in nodes.skip for x in e} == set(range(others + 1))
+    empty = np.zeros((0, 2), np.int64)
+    field = pii.fit_field(np.zeros(0, np.int64), np.zeros(0, np.int64), empty, empty)
+    [(_, spans)] = pii.all_spans(field, [text])
+    assert spans == sorted(base + [(m.start(), 3, m.end()) for m in re.finditer(rf"(?<!\+1){number}", text)])
+
+
+def test_field_chain_edge_stands_for_skip_edge():
+    nodes = pii.nodes_of("a1 a1 word a1", [])
+    assert (nodes.chain, nodes.skip) == ([(0, 1)], [(0, 2)])
+    assert len(pii.nodes_of("x a1 y " * 500, []).skip) == 499
+
+
 def test_personal_data_awkward(spark):
     field = pii.learn_field(awkward(spark))
     got = pii.find(awkward(spark), field).collect()
