@@ -104,6 +104,9 @@ def run_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 name = ids[texts.lo + doc]
                 order = np.lexsort((start, name, kind, meet))
                 name, start, count, meet, kind = (v[order] for v in (name, start, count, meet, kind))
+                # Equal rows are one document: their runs are no repeats of one another.
+                first = np.concatenate([[True], (meet[1:] != meet[:-1]) | (kind[1:] != kind[:-1]) | (name[1:] != name[:-1]) | (start[1:] != start[:-1])])
+                name, start, count, meet, kind = (v[first] for v in (name, start, count, meet, kind))
                 new_meet = np.concatenate([[True], meet[1:] != meet[:-1]])
                 new_kind = new_meet | np.concatenate([[True], kind[1:] != kind[:-1]])
                 # The number of each run's kind within its anchor.
@@ -124,11 +127,13 @@ def judged_runs(runs: DataFrame) -> DataFrame:
     """``doc``, ``run``, ``meet`` and ``large`` of the runs that are repeats (``how`` 1) or must be sorted (``how`` 2)."""
     here = Window.partitionBy("meet")
     earlier = Window.partitionBy("meet", "kind").orderBy("doc", "run")
+    # A run of an equal row in another batch is the same run; its low bits may differ, a repeat's sort first.
+    place = F.struct("doc", F.shiftright("run", COUNT_SHIFT).alias("at"))
     how, large = F.col("run").bitwiseAND(3), F.col("run").bitwiseAND(4) > 0
-    seen = runs.select("*", F.row_number().over(earlier).alias("number"), ((F.min("kind").over(here) != F.max("kind").over(here)) | F.max(large).over(here)).alias("mixed"),
+    seen = runs.select("*", F.lag(place).over(earlier).eqNullSafe(place).alias("again"), (F.first(place).over(earlier) != place).alias("repeat"), ((F.min("kind").over(here) != F.max("kind").over(here)) | F.max(large).over(here)).alias("mixed"),
                        (F.max(large).over(here) | (F.count("*").over(here) > LARGE_GROUP)).alias("large"))
-    verdict = F.when((how == 1) | (F.col("number") > 1), 1).when((how == 2) | F.col("mixed"), 2)
-    return seen.select("doc", "run", "meet", "large", verdict.alias("how")).where(F.col("how").isNotNull())
+    verdict = F.when((how == 1) | F.col("repeat"), 1).when((how == 2) | F.col("mixed"), 2)
+    return seen.where(~F.col("again")).select("doc", "run", "meet", "large", verdict.alias("how")).where(F.col("how").isNotNull())
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -156,9 +161,12 @@ def strings_to_sort(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, data, name, at = [], [], [], []
-            singles = []
+            singles, done = [], set()
             for doc, n_bytes, packed, runs in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
                 text, d = unpacked(packed.as_py(), n_bytes.as_py()) if runs.is_valid and len(runs) else b"", doc.as_py()
+                if d in done:  # an equal row
+                    continue
+                done.add(d)
                 for one in runs.as_py() or ():
                     start, count = one["run"] >> RUN_SHIFT, (one["run"] >> COUNT_SHIFT) & 127
                     if one["large"]:
@@ -168,7 +176,7 @@ def strings_to_sort(joined: DataFrame, length: int) -> DataFrame:
                         data.append(text[start: start + count - 1 + length])
                         name.append(d)
                         at.append(start)
-            singles.sort()
+            singles = sorted(set(singles))  # a run can come by its anchor and alone
             before = None
             for window, d, s in singles:
                 again = window == before

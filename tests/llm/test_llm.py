@@ -185,6 +185,25 @@ def test_repeated_substrings_hot_and_periodic(spark, monkeypatch):
     assert removed(repeats.remove_repeats(docs, 20, 6)) == repeats_by_brute_force(rows, 20)
 
 
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_substrings_equal_rows(spark, monkeypatch, large, parts):
+    # equal rows of one document within a batch and apart, whose text is also in a later document and partly in an earlier one
+    if large:
+        monkeypatch.setattr(repeats, "LARGE_IN_BATCH", 1)
+        monkeypatch.setattr(repeats, "LARGE_GROUP", 2)
+    rng = np.random.default_rng(12)
+    one, two, three = ("".join(rng.choice(list("abcdefgh"), 400)) for _ in range(3))
+    rows = [(2, one), (3, one[150:] + two), (4, two[:250]), (5, three), (6, one[:200] + three[:180]), (8, "ab" * 150)]
+    given = rows * 3 + [(9, one)]
+    order = [int(i) for i in rng.permutation(len(given))]
+    docs = spark.createDataFrame([given[i] for i in order], "doc_id long, text string").repartition(parts)
+    got = repeats.remove_repeats(docs)
+    assert got.count() == len(given)
+    truth = repeats_by_brute_force([*rows, (9, one)], 100)
+    assert truth[5][1] == 0 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == truth[r.doc_id] for r in got.collect())
+
+
 def test_repeated_substrings_awkward(spark):
     got = repeats.remove_repeats(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
