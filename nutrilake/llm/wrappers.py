@@ -8,8 +8,8 @@ texts that differ make a text slot. Each part of the wrapper counts the pages
 it was met on, its text, the part of that in links, and whether the text was
 the same on every page.
 
-The wrapper then tells which part is the article: the part marked as such
-with most text, else what remains without parts that are the same on all
+The wrapper then tells which parts are the article: the widest ones marked as
+such, all of them, else what remains without parts that are the same on all
 pages or mostly links. Menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out by their tags, roles and names. Every page is
 read along its host's wrapper; a page that has no such part is its own wrapper.
@@ -56,7 +56,7 @@ NAMES_OUTSIDE = ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrum
                  "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "reply", "replies", "respond",
                  "disqus", "widget", "pagination", "pager", "toolbar", "hidden", "copyright", "legal")
 NAMES_INSIDE = ("article", "main", "content", "post", "entry", "story", "body", "text")
-#: Deeper blocks are read as text of the block they are in.
+#: Deeper blocks are read as text of the block they are in, unless they are the article or outside it.
 DEEPEST = 64
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S)
@@ -95,6 +95,7 @@ def parse(html: str) -> Page:
     stack: list[tuple[str, int]] = [("", 0)]  # (tag, node)
     piece: list[str] = []
     linked = in_link = 0
+    deep: dict[int, int] = {}  # marks of the nodes below DEEPEST, 3 for outside
 
     def close_text() -> None:
         nonlocal linked
@@ -139,6 +140,11 @@ def parse(html: str) -> Page:
                 if len(stack) <= DEEPEST:
                     nodes.append((stack[-1][1], key_of(tag, m[3])))
                     stack.append((tag, len(nodes) - 1))
+                elif (mark := 3 if outside(key := key_of(tag, m[3])) else inside(key)) > deep.get(stack[-1][1], 0):
+                    # A mark within a stronger or equal one changes nothing, so that depth stays bounded.
+                    nodes.append((stack[-1][1], key))
+                    stack.append((tag, len(nodes) - 1))
+                    deep[len(nodes) - 1] = mark
                 else:
                     stack.append((tag, stack[-1][1]))
     close_text()
@@ -236,11 +242,11 @@ def inside(key: str) -> int:
     """2 if the key marks an article, 1 if its name sounds like one."""
     tag, _, rest = key.partition("|")
     role, _, names = rest.partition("|")
-    return 2 if tag in ("article", "main") or role in ("main", "article") else int(tag != "p" and any(w in NAMES_INSIDE for w in names.split()))
+    return 2 if tag in ("article", "main") or role in ("main", "article") else int(tag not in ("p", "html", "body") and any(w in NAMES_INSIDE for w in names.split()))
 
 
-def article_parts(wrapper: list) -> tuple[tuple[str, ...], frozenset]:
-    """Key path of the article's part, and key paths below it that are left out."""
+def article_parts(wrapper: list) -> tuple[frozenset, frozenset]:
+    """Key paths of the article's parts, and key paths below them that are left out."""
     marked: dict[tuple, list] = {}  # path: [mark, characters]
 
     def weigh(part: list, path: tuple, out: bool) -> int:
@@ -254,46 +260,46 @@ def article_parts(wrapper: list) -> tuple[tuple[str, ...], frozenset]:
         return chars
 
     total = weigh(wrapper, (), False)
-    for mark in (2, 1):
-        found = {path: chars for path, (m, chars) in marked.items() if m == mark and chars > 0.3 * total}
-        if found:
-            # The narrowest part that holds nearly all that the widest holds.
-            most = max(found.values())
-            return max((p for p, c in found.items() if c >= 0.9 * most), key=lambda p: (len(p), found[p], p)), frozenset()
+    for mark, least in ((2, 0), (1, 0.3 * total)):
+        found = {path: chars for path, (m, chars) in marked.items() if m == mark and chars > 0}
+        # The widest parts, side by side; names only sound like an article, so that they must hold a good part together.
+        widest = frozenset(p for p in found if not any(p[:n] in found for n in range(len(p))))
+        if sum(found[p] for p in widest) > least:
+            return widest, frozenset()
     # No part is marked: leave out what is the same everywhere or mostly links.
     dropped = set()
 
     def judge(part: list, path: tuple) -> None:
-        if path and part[CHARS] and ((part[PAGES] >= 3 and part[SAME]) or 2 * part[LINKED] > part[CHARS]):
+        if path and part[CHARS] and path not in marked and ((part[PAGES] >= 3 and part[SAME]) or 2 * part[LINKED] > part[CHARS]):
             dropped.add(path)
         for p in part[PARTS]:
             judge(p, (*path, p[KEY]))
 
     judge(wrapper, ())
-    return (), frozenset(dropped)
+    return frozenset([()]), frozenset(dropped)
 
 
-def main_text(page: Page, path: tuple[str, ...], dropped: frozenset) -> str | None:
-    """The texts under the path in page order, joined by spaces; None if the page has no such part."""
+def main_text(page: Page, parts: frozenset, dropped: frozenset) -> str | None:
+    """The texts under the key paths ``parts`` in page order, joined by spaces; None if the page has no such part."""
     paths: list[tuple | None] = []  # key path of each node, None where it is left out
     under: list[bool] = []
-    seen = not path
+    seen = () in parts
     for parent, key in page.nodes:
         if parent < 0:
             paths.append(())
-            under.append(not path)
+            under.append(() in parts)
             continue
         here = paths[parent]
         here = None if here is None or outside(key) else (*here, key)
         paths.append(None if here in dropped else here)
-        hit = here is not None and (under[parent] or here == path)
+        hit = here is not None and (under[parent] or here in parts)
         under.append(hit)
         seen = seen or hit
     return " ".join(text for node, text, _ in page.texts if under[node] and paths[node] is not None) if seen else None
 
 
 @lru_cache(maxsize=256)
-def _parts_of(wrapper: str) -> tuple[tuple[str, ...], frozenset]:
+def _parts_of(wrapper: str) -> tuple[frozenset, frozenset]:
     return article_parts(json.loads(wrapper))
 
 

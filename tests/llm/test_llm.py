@@ -263,6 +263,30 @@ def test_main_text_without_marks(spark):
     assert {r.text for r in got} == {f"Story {i} is told here at length More {i}" for i in range(5)}
 
 
+def own_text(page):
+    return wrappers.extract(page, wrappers.json.dumps(wrappers.wrapper_of(wrappers.parse(page))))
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=content><h1>Title</h1><div class=post-body><p>{0}</p></div><p>End</p></div>",
+    "<main><h1>Title</h1><article><p>{0}</p></article><p>End</p></main>",
+    "<div><div class=post-intro>Title</div><div class=post-body>{0}</div><div class=post-end>End</div></div><div>Else</div>",
+    "<article class=a>Title</article><article class=b>{0}</article><article class=c>End</article><div>Else</div>",
+    "<article><h1>Title</h1>{0}<nav>Go</nav><p>End</article><div>" + "Else " * 400 + "</div>",
+])
+def test_main_text_drops_nothing_marked(page):
+    story = "A story of some length. " * 20
+    assert own_text(f"<body>{page.format(story)}</body>") == f"Title {story}End"
+
+
+@pytest.mark.parametrize("depth", [10, 80, 3000])
+def test_main_text_at_any_depth(depth):
+    deep = "<div>" * depth
+    assert own_text(deep + "<p>Text <nav><div>Menu</div></nav><p>More<div class=ad-1>Buy<div class=content>this</div></div><form>Ask</form><p>End") == "Text More End"
+    assert own_text("<p>Before</p>" + deep + "<article><h1>Title</h1><footer>Me</footer><p>Story</article><p>After") == "Title Story"
+    assert own_text(deep + "<nav><article>" * depth + "Go") == ""
+
+
 def test_main_text_of_pages(spark):
     html = {r.page_id: r.html for r in read(spark, "pages").collect()}
     got = E.queries()["op5_main_text"](spark, SF_ORACLE).collect()
