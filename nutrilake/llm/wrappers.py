@@ -4,15 +4,16 @@ A page is a stream of tokens: tags that open and close blocks, and text. For
 every host a wrapper is inferred, a union-free regular expression over such
 streams: streams of one host are aligned one after another, and a mismatch
 makes a token or group optional, a repetition makes it a repeated group, and
-texts that differ make a text slot. Each part of the wrapper counts the pages
-it was met on, its text, the part of that in links, and whether the text was
+texts that differ make a text slot. Each part of the wrapper counts the different
+pages it was met on (equal streams are one page), its text, the part of that in links, and whether the text was
 the same on every page.
 
 The wrapper then tells which parts are the article: the widest ones marked as
 such, all of them, else what remains without parts that are the same on all
 pages or mostly links. Menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out by their tags, roles and names. Every page is
-read along its host's wrapper; a page that has no such part is its own wrapper.
+read along its host's wrapper; a page that has no such part, or that is left
+without text where no part is marked, is its own wrapper.
 
 Streams are aligned within each batch first, so that a host reaches the next
 step as one wrapper a batch, however many pages it has; pages meet their
@@ -157,12 +158,16 @@ def parse(html: str) -> Page:
 
 
 # A wrapper is [key, quantifier, pages, characters, characters in links, text hash or null, parts]; quantifiers: "", "?", "+", "*".
+# Pages are the smallest hashes of up to MANY_PAGES different streams, so that copies of a page count once wherever they meet.
 KEY, MANY, PAGES, CHARS, LINKED, SAME, PARTS = range(7)
+#: Different pages from which on a text that is the same on all is no article.
+MANY_PAGES = 3
 
 
 def wrapper_of(page: Page) -> list:
     """A page as the wrapper of itself: repeated neighbours are folded into repeated groups."""
-    own = [[key, "", 1, 0, 0, "", []] for _, key in page.nodes]
+    stream = zlib.crc32(repr(page).encode("utf-8", "surrogatepass"))
+    own = [[key, "", [stream], 0, 0, "", []] for _, key in page.nodes]
     for node, text, linked in page.texts:
         w = own[node]
         w[CHARS] += len(text)
@@ -199,7 +204,7 @@ def folded(parts: list[list]) -> list[list]:
 
 def joined(a: list, b: list, one_page: bool = False) -> list:
     """One wrapper for what two describe; ``one_page``: both stand on the same page."""
-    pages = max(a[PAGES], b[PAGES]) if one_page else a[PAGES] + b[PAGES]
+    pages = a[PAGES] if one_page or a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:MANY_PAGES]
     return [a[KEY], either(a[MANY], b[MANY]), pages, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED],
             a[SAME] if a[SAME] == b[SAME] and not one_page else None if a[SAME] != b[SAME] else a[SAME], aligned(a[PARTS], b[PARTS], one_page)]
 
@@ -270,7 +275,7 @@ def article_parts(wrapper: list) -> tuple[frozenset, frozenset]:
     dropped = set()
 
     def judge(part: list, path: tuple) -> None:
-        if path and part[CHARS] and path not in marked and ((part[PAGES] >= 3 and part[SAME]) or 2 * part[LINKED] > part[CHARS]):
+        if path and part[CHARS] and path not in marked and ((len(part[PAGES]) >= MANY_PAGES and part[SAME]) or 2 * part[LINKED] > part[CHARS]):
             dropped.add(path)
         for p in part[PARTS]:
             judge(p, (*path, p[KEY]))
@@ -305,8 +310,9 @@ def _parts_of(wrapper: str) -> tuple[frozenset, frozenset]:
 
 def extract(html: str, wrapper: str) -> str:
     page = parse(html)
-    found = main_text(page, *_parts_of(wrapper))
-    return found if found is not None else main_text(page, *article_parts(wrapper_of(page))) or ""
+    parts, dropped = _parts_of(wrapper)
+    found = main_text(page, parts, dropped)
+    return found if found or (found is not None and not dropped) else main_text(page, *article_parts(wrapper_of(page))) or ""
 
 
 def merged(wrappers: Iterable[list]) -> list | None:

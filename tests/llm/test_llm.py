@@ -263,6 +263,19 @@ def test_main_text_without_marks(spark):
     assert {r.text for r in got} == {f"Story {i} is told here at length More {i}" for i in range(5)}
 
 
+def test_main_text_of_copies(spark):
+    # copies of one page, in one batch and apart; and three pages, one of which has nothing of its own
+    page = "<body><div class=top>Home</div><div>Story is told here<br>at length</div></body>"
+    other = "<body><div class=top>Home</div><div>Other {0}</div></body>"
+    rows = [(i, f"http://h.example/?print={i}", page) for i in range(8)]
+    rows += [(10 + i, "http://i.example/", other.format(i)) for i in range(4)] + [(20, "http://i.example/", "<body><div class=top>Home</div></body>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in wrappers.main_texts(pages.repartition(parts)).collect()}
+        assert [got[i] for i in range(8)] == ["Home Story is told here at length"] * 8
+        assert [got[10 + i] for i in range(4)] == [f"Other {i}" for i in range(4)] and got[20] == "Home"
+
+
 def own_text(page):
     return wrappers.extract(page, wrappers.json.dumps(wrappers.wrapper_of(wrappers.parse(page))))
 
