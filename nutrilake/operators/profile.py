@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nutrilake.session import materialize
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
 
@@ -28,17 +30,15 @@ def _is_numeric(dt: T.DataType) -> bool:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10,
-                   digits: int = 6, accuracy: int = 100000) -> DataFrame:
+                   digits: int = 6) -> DataFrame:
     """A4: one row per column with name, type, #missing, #unique, min, max,
     quartiles, mean, mean absolute deviation, standard deviation, sum and
     the ``top_n`` most common values ("value:count" joined by ", ").
 
     Two aggregation passes over the table (the mean absolute deviation needs
-    the mean) plus one grouped count that gives unique and frequent values;
-    no per-column job loop and nothing collected to the driver. Quartiles are
-    values of the column (lower quantile) from a mergeable sketch whose rank
-    error is at most 1/accuracy of the rows; an exact percentile would hold a
-    whole column in one task.
+    the mean) plus one grouped count that gives unique and frequent values and
+    the quartiles; no per-column job loop and nothing collected to the driver.
+    Quartiles are exact values of the column (lower quantile) at every size.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (columns or df.columns) if c in fields]
@@ -53,7 +53,6 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
             xd = x.cast("double")
             aggs += [
                 F.min(xd).alias(f"mn{i}"), F.max(xd).alias(f"mx{i}"),
-                F.percentile_approx(xd, [0.25, 0.5, 0.75], accuracy).alias(f"qs{i}"),
                 F.avg(xd).alias(f"av{i}"), F.stddev_samp(xd).alias(f"sd{i}"), F.sum(xd).alias(f"sm{i}"),
             ]
     wide = df.agg(*aggs)
@@ -79,9 +78,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
             F.col(f"m{i}").alias("n_missing"),
             (r(F.col(f"mn{i}")) if num else F.lit(None).cast("double")).alias("min_value"),
             (r(F.col(f"mx{i}")) if num else F.lit(None).cast("double")).alias("max_value"),
-            (r(F.col(f"qs{i}")[0]) if num else F.lit(None).cast("double")).alias("q25"),
-            (r(F.col(f"qs{i}")[1]) if num else F.lit(None).cast("double")).alias("q50"),
-            (r(F.col(f"qs{i}")[2]) if num else F.lit(None).cast("double")).alias("q75"),
+            F.lit(None).cast("double").alias("q25"),
+            F.lit(None).cast("double").alias("q50"),
+            F.lit(None).cast("double").alias("q75"),
             (r(F.col(f"av{i}")) if num else F.lit(None).cast("double")).alias("mean"),
             (F.lit(None).cast("double")).alias("mad"),
             (r(F.col(f"sd{i}")) if num else F.lit(None).cast("double")).alias("stddev"),
@@ -95,13 +94,41 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: i
         ])))
         stats = (stats.join(mad_long, "column_name", "left")
                  .withColumn("mad", F.col("mad_value")).drop("mad_value"))
-    counts = value_counts(df, cols)
+    counts = materialize(value_counts(df, cols))
+    if numeric:
+        quarters = quartiles(counts.where(F.col("column_name").isin(numeric)))
+        found = quarters.select("column_name", *(r(F.col(q)).alias(f"_{q}") for q in QUARTILES))
+        stats = stats.join(found, "column_name", "left").withColumns({q: F.col(f"_{q}") for q in QUARTILES}) \
+            .drop(*(f"_{q}" for q in QUARTILES))
     unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
     top = _top_values(counts, top_n)
     return (stats.join(unique, "column_name", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
             .join(top, "column_name", "left"))
 
 
+QUARTILES = ("q25", "q50", "q75")
+
+
+def quartiles(counts: DataFrame, least_parts: int = 64) -> DataFrame:
+    """``column_name`` and the value at rank ceil(k n / 4), k = 1, 2, 3, of the counted numbers.
+
+    Values are sorted by ranges and the counts of the ranges before are added,
+    so no task holds more than a range of a column's distinct values."""
+    parts = max(least_parts, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbers = counts.select("column_name", F.col("value").cast("double").alias("x"), "n")
+    dealt = materialize(numbers.repartitionByRange(parts, "column_name", "x").withColumn("_part", F.spark_partition_id()))
+    # One row a column and range.
+    sums = dealt.groupBy("column_name", "_part").agg(F.sum("n").alias("_sum"))
+    by_range = Window.partitionBy("column_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = sums.select("column_name", "_part", (F.sum("_sum").over(by_range) - F.col("_sum")).alias("_start"),
+                         F.sum("_sum").over(Window.partitionBy("column_name")).alias("_all"))
+    own = Window.partitionBy("column_name", "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_own", F.sum("n").over(own)).join(F.broadcast(ranges), ["column_name", "_part"])
+    upto = F.col("_own") + F.col("_start")
+    return ranked.groupBy("column_name").agg(
+        *(F.min(F.when(4 * upto >= k * F.col("_all"), F.col("x"))).alias(q) for k, q in enumerate(QUARTILES, 1)))
+
+
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, value, n) of every value that is not null.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nutrilake.functions import missing, nutrition as N, questions as Q
 from nutrilake.functions.rules import ok_diff, rule_engine
-from nutrilake.operators import clean, lookup, memory, sampling, textsim
+from nutrilake.operators import clean, lookup, memory, profile, sampling, textsim
 
 
 def one(spark, expr, schema, rows):
@@ -188,3 +188,17 @@ def test_tsv_scan_leaves_the_session_alone(spark, tmp_path):
     assert sorted((r.b or "", r.c or "") for r in got.collect()) == [("", ""), ("2", "3"), ("6", ""), ("9\t", "")]
     assert got.count() == 4
     assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == before
+
+
+def test_quartiles_are_exact_in_large_columns(spark):
+    # more different values than a sketch of 1/100000 holds exactly, a heavy one, and negative, fractional and missing ones
+    n = 400_003
+    df = spark.range(n).select(
+        ((F.col("id") * 7919) % n - 1000).alias("a"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") / 9 - 5).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.lit("x").alias("d"))
+    got = {r.column_name: (r.q25, r.q50, r.q75) for r in profile.column_profile(df).collect()}
+    for c in ("a", "b"):
+        values = sorted(r[0] for r in df.select(F.col(c).cast("double")).where(F.col(c).isNotNull()).collect())
+        assert got[c] == tuple(round(values[-(-k * len(values) // 4) - 1], 6) for k in (1, 2, 3))
+    assert got["c"] == got["d"] == (None, None, None)
