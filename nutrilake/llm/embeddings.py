@@ -1,7 +1,8 @@
 """Near-duplicate vectors by spherical k-means cells (operator 9).
 
-Equal vectors of a label are one node with a count. Centroids are trained by
-spherical k-means on a bounded sample; every node is then assigned to its
+Equal vectors of a label are one node with a count. Vectors of each length have
+cells of their own. Centroids are trained by spherical k-means on a bounded
+sample, and lengths with few nodes are one cell; every node is then assigned to its
 nearest cells, the first as its own and the others as a visitor, so that a
 pair is compared if either has the other's own cell among its nearest. Within a
 cell and label, blocks of nodes are multiplied with blocks of nodes in double
@@ -9,8 +10,8 @@ precision, and a pair at the threshold or above is a link. A task gives each
 node's number of links and a spanning set of its links, never all pairs.
 
 Vectors that are null, empty or zero, or hold a null or non-finite component,
-and vectors without a label or of another length than most, link with
-nothing: their component is themselves. Rows that share a vec_id are one
+and vectors without a label, link with nothing, and vectors of different
+lengths not with each other: their component is themselves. Rows that share a vec_id are one
 vector in components, and each counts the other as a link if they link.
 Rows without a vec_id are returned without component and are kept. Extra
 columns are ignored; an empty table gives an empty result.
@@ -63,38 +64,48 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
         .where(~F.exists("v", broken) & F.exists("v", lambda x: F.coalesce(x, F.lit(0.0)) != 0.0))
 
 
-def centroids(nodes: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """About sqrt(n) cells from at most ``sample`` nodes by hash order; the most frequent length is the dimension."""
-    n = nodes.count()
-    common = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return np.zeros((0, 0))
-    d = common["d"]
-    rows = nodes.where(F.size("v") == d).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow()
-    x = np.asarray(rows["v"].combine_chunks().flatten(), np.float64).reshape(-1, d)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return spherical_kmeans(x, min(len(x), max(1, math.isqrt(n))))
+def centroids(nodes: DataFrame, sample: int = SAMPLE, least: int = BLOCK) -> dict[int, np.ndarray]:
+    """By vector length, about sqrt(n) cells from at most ``sample`` nodes in all, by hash order; none but one cell for up to ``least`` nodes."""
+    # One row a length.
+    sizes = {r["d"]: r["count"] for r in nodes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()}
+    out = {}
+    for d, n in sizes.items():
+        if n <= least:
+            out[d] = np.zeros((0, d))
+            continue
+        rows = nodes.where(F.size("v") == d).select("node", "v").orderBy(F.xxhash64("node"), "node") \
+            .limit(-(-sample * n // sum(sizes.values()))).select("v").toArrow()
+        x = np.asarray(rows["v"].combine_chunks().flatten(), np.float64).reshape(-1, d)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        out[d] = spherical_kmeans(x, min(len(x), max(1, math.isqrt(n))))
+    return out
 
 
-def assigned(nodes: DataFrame, centres: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """``node``, ``label``, ``copies``, ``unit`` (bytes of doubles) and ``cells``, its nearest cells from the nearest on."""
-    k, d = centres.shape
+def assigned(nodes: DataFrame, centres: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """``node``, ``label``, ``copies``, ``unit`` (bytes of doubles) and ``cells``, its nearest cells from the nearest on.
+
+    Cells are numbered through all lengths, so that no cell has vectors of two."""
+    first = dict(zip(centres, np.cumsum([0, *(max(1, len(c)) for c in centres.values())]).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                x = np.asarray(part.column(3).flatten()).reshape(part.num_rows, d)
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cells = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : min(nearest, k)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([r.tobytes() for r in x], pa.binary()),
-                     pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["node", "label", "copies", "unit", "cells"])
-
-    fitting = nodes.where(F.size("v") == d).select("node", F.col("label").cast("string").alias("label"), "copies", "v")
-    return fitting.mapInArrow(run, "node long, label string, copies long, unit binary, cells array<int>")
+            length = np.diff(np.asarray(batch.column(3).offsets))
+            for d in np.unique(length).tolist():
+                rows = np.flatnonzero(length == d)
+                for lo in range(0, len(rows), 2000):
+                    part = batch.take(pa.array(rows[lo: lo + 2000]))
+                    x = np.asarray(part.column(3).flatten()).reshape(part.num_rows, d)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    k = len(centres[d])
+                    near = np.argsort(-(x @ centres[d].T), axis=1, kind="stable")[:, : min(nearest, k)] if k else np.zeros((len(x), 1), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:3], pa.array([r.tobytes() for r in x], pa.binary()),
+                         pa.array((near + first[d]).tolist(), pa.list_(pa.int32()))], names=["node", "label", "copies", "unit", "cells"])
+
+    given = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v")
+    return given.mapInArrow(run, "node long, label string, copies long, unit binary, cells array<int>")
 
 
 def linked_blocks(cells: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -182,7 +193,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     grouped = usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
     centres = centroids(nodes)
-    if not len(centres):
+    if not centres:
         found = None
     else:
         found = materialize(linked_blocks(materialize(assigned(nodes, centres)), cosine))

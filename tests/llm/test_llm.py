@@ -444,6 +444,20 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [4, 1024])
+def test_embeddings_of_several_lengths(spark, monkeypatch, least):
+    monkeypatch.setattr(embeddings.centroids, "__defaults__", (embeddings.SAMPLE, least))
+    rng = np.random.default_rng(6)
+    rows = []
+    for d, n in ((16, 60), (5, 20), (9, 3)):
+        base = rng.normal(size=(n, d))
+        rows += [(len(rows) + i, [float(x) for x in base[i % n] + 0.001 * rng.normal(size=d)], 0) for i in range(2 * n)]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = [np.array(r[1]) / np.linalg.norm(r[1]) for r in rows]
+    links = [sum(len(u) == len(v) and u @ v >= 0.98 for v in unit) - 1 for u in unit]
+    assert min(links) >= 1 and [got[i].n_links for i in range(len(rows))] == links
+
+
 # 10
 
 BASE = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
