@@ -25,7 +25,7 @@ from nutrilake.sources.tables import read_table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     ensure_checkpoint_dir(spark)
-    judged = quality.cascade(docs)
+    judged = quality.cascade(docs, base=())
     return judged.where("kept").drop("base_failed", "kept")
 
 

@@ -232,6 +232,16 @@ def test_cascade_order_and_verdict(spark):
     assert forward == back == E.queries()["op4_quality_rules"](spark, SF_ORACLE).where("kept").count()
 
 
+def test_pipeline_orders_all_rules(spark, monkeypatch):
+    seen = []
+    cascade = quality.cascade
+    monkeypatch.setattr(quality, "cascade", lambda docs, **given: seen.append(given) or cascade(docs, **given))
+    docs = read(spark, "documents")
+    kept = corpus_pipeline.quality_rules(spark, docs, SF_ORACLE)
+    assert seen == [{"base": ()}] and kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in cascade(docs).where("kept").collect()}
+
+
 def test_quality_awkward(spark):
     got = quality.cascade(awkward(spark), figures=quality.BASE_FIGURES).collect()
     assert len(got) == len(AWKWARD) and "kept" in got[0].asDict()
