@@ -14,7 +14,9 @@ virtual time.
 Null texts have size 0; documents of size 0 are taken 0 words. A null source
 is a source of its own, last in order. Repeated rows (equal in id and text)
 are documents of their own that share a place in the shuffle in either
-order; an empty table gives an empty result.
+order; rows of one id in several sources are documents of each of them, and
+rows without an id are shuffled by their text. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A hex hash of the id; of the text where there is no id."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.md5(text))))
+
+
 def running_start(value: str) -> Column:
     """What the ranges before a range add up to; for tables of one row a range, a fixed number of rows."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,12 +80,11 @@ def fair_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
              weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", bucket_digits: int = 3) -> DataFrame:
     """One row a document: id, source, ``size``, ``source_size``, ``target`` of its source, ``copies`` taken and ``taken`` words.
 
-    ``key`` (a hex hash of the id) is the shuffled order, its first ``bucket_digits`` digits the bucket; ``upto``
+    ``key`` (``shuffle_key``) is the shuffled order, its first ``bucket_digits`` digits the bucket; ``upto``
     tells repeated rows of one id apart.
     """
-    order_key = F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id).cast("string")))
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                                    order_key.alias("key")))
+                                    shuffle_key(F.col(doc_id), F.col(text), seed).alias("key")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = source_ranks(totals, "source")
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -102,24 +108,25 @@ def fair_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     copies = line.where(F.col("size") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))) \
         .withColumn("finish", finish)
     counts = cut_at_budget(copies, ["finish", "source", "key", "doc_id", "copy"], "size", budget) \
-        .groupBy("key", "doc_id", "upto").agg(F.count("*").alias("copies"))
-    mine = counts.select(F.col("key").alias("k"), F.col("doc_id").alias("i"), F.col("upto").alias("u"), "copies")
-    return line.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("upto") == F.col("u")), "left") \
+        .groupBy("source", "key", "doc_id", "upto").agg(F.count("*").alias("copies"))
+    mine = counts.select(F.col("source").alias("s"), F.col("key").alias("k"), F.col("doc_id").alias("i"), F.col("upto").alias("u"), "copies")
+    same = (F.col("key") == F.col("k")) & (F.col("upto") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s"))
+    return line.join(mine, same & (F.col("size") > 0), "left") \
         .select("doc_id", "source", "key", "upto", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"),
                 (F.coalesce("copies", F.lit(0)) * F.col("size")).cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The rows of ``docs`` (with ``doc_id``, ``source`` and ``text``) as the mix takes them: each as often as it is taken.
 
-    Rows that share id, source and size are told apart by their number among themselves on both sides.
+    Rows that share id, source, size and shuffle key are told apart by their number among themselves on both sides.
     """
-    same = ["doc_id", "source", "_size"]
+    same = ["doc_id", "source", "_size", "_key"]
     number = Window.partitionBy(*same)
-    taken = fair_mix(docs, **options).withColumnRenamed("size", "_size") \
+    taken = fair_mix(docs, seed=seed, **options).withColumnsRenamed({"size": "_size", "key": "_key"}) \
         .withColumn("_n", F.row_number().over(number.orderBy("upto"))).where("copies > 0") \
         .select(*(F.col(c).alias(f"_t_{c}") for c in [*same, "_n"]), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))) \
+    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", shuffle_key(F.col("doc_id"), F.col("text"), seed)) \
         .withColumn("_n", F.row_number().over(number.orderBy(F.xxhash64("text"))))
     match = F.lit(True)
     for c in [*same, "_n"]:
@@ -143,7 +150,7 @@ def cut_at_budget(rows: DataFrame, order: list[str], size: str, budget: int, lea
 #: What the production query gives, as DuckDB SQL.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix:' || doc_id) AS key FROM documents),
+                  md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), md5(text)))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source) AS i FROM s),
@@ -158,7 +165,8 @@ q AS (SELECT d.*, source_size, target,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT q.*, copy, (upto + copy * source_size) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0),
 m AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, key, doc_id, copy ROWS UNBOUNDED PRECEDING) AS used FROM c),
-k AS (SELECT doc_id, upto, count(*) AS copies FROM m WHERE used <= (SELECT sum(size) FROM d) GROUP BY doc_id, upto)
+k AS (SELECT source, key, doc_id, upto, count(*) AS copies FROM m WHERE used <= (SELECT sum(size) FROM d) GROUP BY source, key, doc_id, upto)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.copies, 0) * q.size AS BIGINT) AS taken
-FROM q LEFT JOIN k ON q.doc_id = k.doc_id AND q.upto = k.upto
+FROM q LEFT JOIN k ON q.key = k.key AND q.upto = k.upto AND q.doc_id IS NOT DISTINCT FROM k.doc_id
+     AND q.source IS NOT DISTINCT FROM k.source AND q.size > 0
 """
