@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nutrilake.llm import bpe, embeddings, flatfiles, minhash, mixing, pii, quality, repeats, toxicity, wrappers
+from nutrilake.llm import alignment, bpe, embeddings, flatfiles, hashtree, minhash, mixing, pii, quality, repeats, toxicity, whitening, wrappers
 from nutrilake.session import ensure_checkpoint_dir, materialize
 from nutrilake.sources.tables import read_table
 
@@ -68,6 +69,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn_field(docs))
 
 
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hashtree.sharded(documents(spark, sf_dir), hashtree.TREE, hashtree.BIGGER)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path(alignment.A_FILE), public_tokenizers.path(alignment.B_FILE))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -79,8 +94,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op11_hash_tree": op11_hash_tree,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
+    "op11_hash_tree": hashtree.ORACLE_SQL,
 }

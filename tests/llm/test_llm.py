@@ -45,7 +45,7 @@ def read(spark, name, sf=SF_ORACLE):
 
 
 def test_registered(spark):
-    assert {k.split("_")[0] for k in E.queries() if re.match(r"op\d", k)} == {f"op{n}" for n in range(1, 11)} and "pipeline" in E.queries()
+    assert {k.split("_")[0] for k in E.queries() if re.match(r"op\d", k)} == {f"op{n}" for n in range(1, 14)} and "pipeline" in E.queries()
 
 
 @pytest.mark.parametrize("key", [k for k in E.oracle_sql() if re.match(r"op\d", k)])
