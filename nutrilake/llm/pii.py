@@ -47,8 +47,8 @@ _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"\S+")
 _MARK = re.compile("[0-9@]")
 _SHAPE = re.compile(r"[0-9]+|[^\W0-9_]+")
-#: Documents that the potentials are learnt from, at most; buckets of shapes; the marginal that makes a span.
-SAMPLE_DOCS, SHAPES, SURE = 4000, 4096, 0.95
+#: Documents that the potentials are learnt from, and tokens of each, at most; buckets of shapes; the marginal that makes a span.
+SAMPLE_DOCS, SAMPLE_TOKENS, SHAPES, SURE = 4000, 2000, 4096, 0.95
 #: Log odds that a repeated token has the label of its other occurrence, before anything is learnt.
 SAME = 8.0
 _IS_MARK = np.zeros(256, bool)
@@ -131,9 +131,13 @@ def nodes_of(text: str, spans: list[Span]) -> Nodes:
         if not core:
             continue
         i, hi = len(out.start), lo + len(core)
-        while at < len(spans) and spans[at][2] <= lo and all(s[2] <= lo for s in spans[: at + 1]):
+        while at < len(spans) and spans[at][2] <= lo:
             at += 1
-        label = next((s[1] + 1 for s in spans[at:] if s[0] < hi and s[2] > lo), 0)
+        # From the first span that is not over; those that it holds within are few, as a span has at most 19 digits.
+        k, label = at, 0
+        while not label and k < len(spans) and spans[k][0] < hi:
+            label = spans[k][1] + 1 if spans[k][2] > lo else 0
+            k += 1
         for field, value in zip(out, (lo, hi, zlib.crc32(shape(core).encode()) % SHAPES, label)):
             field.append(value)
         if order == before + 1:
@@ -265,21 +269,29 @@ def all_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Spa
     return out
 
 
-def learn_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Potentials from at most ``sample_docs`` documents that hold a digit or an at sign, by hash order of the id."""
+def first_nodes(nodes: Nodes, most: int) -> Nodes:
+    """The first ``most`` nodes and the edges among them."""
+    return Nodes(nodes.start[:most], nodes.end[:most], nodes.shape[:most], nodes.label[:most],
+                 [e for e in nodes.chain if max(e) < most], [e for e in nodes.skip if max(e) < most])
+
+
+def learn_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS,
+                sample_tokens: int = SAMPLE_TOKENS) -> Field:
+    """Potentials from at most ``sample_docs`` documents that hold a digit or an at sign, by hash order of the id, one row an id,
+    and at most the first ``sample_tokens`` nodes of each."""
     ids = docs.where(F.col(text).rlike("[0-9@]") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id")).distinct() \
         .orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [nodes_of(t, base_spans(t)) for t in batch.column(0).to_pylist()]
+            parts = [first_nodes(nodes_of(t, base_spans(t)), sample_tokens) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "shape": [n.shape for n in parts], "label": [n.label for n in parts],
                 "chain": [[x for e in n.chain for x in e] for n in parts], "skip": [[x for e in n.skip for x in e] for n in parts]},
                 schema=pa.schema([(c, pa.list_(pa.int32())) for c in ("shape", "label", "chain", "skip")]))
 
-    # At most sample_docs ids.
-    sample = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select(text)
+    # At most sample_docs ids; rows that share one are merged before they are shuffled.
+    sample = docs.where(F.col(text).rlike("[0-9@]")).join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).groupBy("_id").agg(F.min(text).alias(text)).select(text)
     rows = sample.mapInArrow(read, ", ".join(f"{c} array<int>" for c in ("shape", "label", "chain", "skip"))).collect()
     parts = [Nodes([0] * len(r["shape"]), [], r["shape"], r["label"], list(zip(r["chain"][::2], r["chain"][1::2])),
                    list(zip(r["skip"][::2], r["skip"][1::2]))) for r in rows]
