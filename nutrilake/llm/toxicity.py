@@ -104,8 +104,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int, unlabell
 
     picked = first(labels.where("toxic = 1"), positives).withColumn("positive", F.lit(True)) \
         .unionByName(first(docs, unlabelled).withColumn("positive", F.lit(False)))
-    # At most positives + unlabelled ids.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "positive").repartition(32)
+    # At most positives + unlabelled ids, one row each; rows that share an id are merged before they are shuffled.
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")) \
+        .select("text", "positive").repartition(32)
 
 
 def select_grams(sample: DataFrame, features: int) -> np.ndarray:
