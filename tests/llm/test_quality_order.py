@@ -23,7 +23,7 @@ def test_order_follows_rejections_per_second(spark):
              quality.Rule("rejects short ones", lambda f: f.n_words < 100), quality.Rule("the same", lambda f: f.n_words < 100))
     order = [r.name for r in quality.cascade_order(docs, rules)]
     # The second of two equal rules rejects nothing more, and the slow one that rejects all leaves nothing to the others.
-    assert order[:2] == ["rejects short ones", "rejects all, slowly"]
+    assert order[0] in ("rejects short ones", "the same") and order[1] == "rejects all, slowly"
 
 
 def test_marginal_cost_of_shared_steps(spark):
