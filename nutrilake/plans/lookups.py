@@ -5,12 +5,12 @@ country completion from the product reference source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nutrilake.functions import missing
 from nutrilake.functions import questions as Q
-from nutrilake.operators import lookup
+from nutrilake.operators import keywords, lookup, regexsearch
 from nutrilake.sources import tables
 
 SEARCH_LIMIT = 5
@@ -58,6 +58,41 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(p, "row_id").select("q_id", "pos", "row_id", "product_name")
 
 
+#: Fields of the keyword search and the points of a word found in each.
+SEARCH_FIELDS = {"code": 8, "product_name": 4, "categories": 2, "countries": 1, "nutriscore_grade": 1}
+
+
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each question and its hint, searched in five fields of the product reference source; a page of 5."""
+    q = tables.questions(spark, sf_dir).select("q_id", F.concat_ws(" ", "question", "indice_produit").alias("terms"))
+    ext = tables.external_products(spark, sf_dir).select("code", "product_name", "countries", "categories",
+                                                         F.col("nutrition_grades").alias("nutriscore_grade"))
+    found = keywords.keyword_search(q, "q_id", "terms", ext, "code", SEARCH_FIELDS, SEARCH_LIMIT)
+    return found.join(ext, "code").select("q_id", "pos", "n_words", "points", *ext.columns)
+
+
+def hint_pattern(hint: Column) -> Column:
+    """A pattern over the words of a hint: two of them in order, either of two before a third, one at the start,
+    one with any vowel in it, one letter optional; every eighth kind is the hint itself."""
+    word = F.split(hint, " ")
+
+    def w(i: int) -> Column:
+        return F.coalesce(F.get(word, F.lit(i)), F.lit("zz"))
+    kinds = [F.concat(w(0), F.lit(".*"), w(2)), F.concat(F.lit("("), w(0), F.lit("|"), w(1), F.lit(") "), w(2)), F.concat(F.lit("^"), w(1), F.lit(r"\b")),
+             F.concat(F.substring(w(0), 1, 2), F.lit("[aeiou]."), F.lit("*"), w(3)), F.concat(w(0), F.lit("s? "), F.lit("[a-m]")),
+             F.concat(w(1), F.lit("( [a-z]+){2}$")), F.concat(F.lit("(?:"), w(0), F.lit(" )?"), w(1), F.lit(".+"), w(2))]
+    return F.coalesce(F.get(F.array(*kinds), F.pmod(F.length(hint), F.lit(len(kinds) + 1))), hint)
+
+
+def name_regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern over the words of each question's hint -> first 5 products whose name it matches, in file order."""
+    q = tables.questions(spark, sf_dir).select("q_id", F.trim("indice_produit").alias("hint")).where(F.col("hint") != "") \
+        .select("q_id", hint_pattern(F.col("hint")).alias("pattern"))
+    p = _products(spark, sf_dir).select("row_id", "product_name")
+    m = regexsearch.regex_matches(q, "q_id", "pattern", p, "row_id", "product_name", SEARCH_LIMIT)
+    return m.join(p, "row_id").join(q, "q_id").select("q_id", "pattern", "pos", "row_id", "product_name")
+
+
 def sql_candidates(q: DataFrame, p: DataFrame, n: int = SEARCH_LIMIT) -> DataFrame:
     """P10 in bulk: ``trim(code) = v OR lower(name) LIKE lower('%v%')``,
     first n in file order. ``q`` has (q_id, ref) with ref trimmed, non-empty.

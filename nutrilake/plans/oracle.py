@@ -406,6 +406,29 @@ m AS (SELECT q_id, row_id, product_name, row_number() OVER (PARTITION BY q_id OR
       FROM hints JOIN products ON contains(lower(product_name), h))
 SELECT q_id, CAST(pos AS INTEGER) AS pos, row_id, product_name FROM m WHERE pos <= 5"""
 
+ORACLE["keyword_search"] = with_(PRODUCTS, QUESTIONS) + r""",
+ext AS (SELECT code, product_name, CASE WHEN row_id % 2 = 0 THEN countries_en END AS countries, categories_en AS categories,
+               nutrition_grade_fr AS nutriscore_grade FROM products WHERE row_id % 3 = 0),
+fields AS (SELECT code AS key, code AS f, 8 AS points FROM ext UNION ALL SELECT code, product_name, 4 FROM ext
+           UNION ALL SELECT code, categories, 2 FROM ext UNION ALL SELECT code, countries, 1 FROM ext UNION ALL SELECT code, nutriscore_grade, 1 FROM ext),
+held AS (SELECT key, word, max(points) AS points FROM (SELECT key, points, unnest(regexp_extract_all(lower(f), '[\p{L}\p{N}]+')) AS word FROM fields) GROUP BY key, word),
+asked AS (SELECT DISTINCT q_id, unnest(regexp_extract_all(lower(concat_ws(' ', question, indice_produit)), '[\p{L}\p{N}]+')) AS word FROM questions_t),
+m AS (SELECT q_id, key, count(*) AS n_words, sum(points) AS points FROM asked JOIN held USING (word) GROUP BY q_id, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n_words DESC, points DESC, key) AS pos FROM m)
+SELECT q_id, CAST(pos AS INTEGER) AS pos, CAST(n_words AS INTEGER) AS n_words, CAST(points AS INTEGER) AS points,
+       code, product_name, countries, categories, nutriscore_grade
+FROM r JOIN ext ON ext.code = r.key WHERE pos <= 5"""
+
+ORACLE["name_regex_search"] = with_(PRODUCTS, QUESTIONS) + r""",
+hints AS (SELECT q_id, trim(indice_produit) AS hint, string_split(trim(indice_produit), ' ') AS w FROM questions_t WHERE trim(indice_produit) <> ''),
+ws AS (SELECT q_id, hint, coalesce(w[1], 'zz') AS a, coalesce(w[2], 'zz') AS b, coalesce(w[3], 'zz') AS c, coalesce(w[4], 'zz') AS d FROM hints),
+pats AS (SELECT q_id, CASE length(hint) % 8 WHEN 0 THEN a || '.*' || c WHEN 1 THEN '(' || a || '|' || b || ') ' || c WHEN 2 THEN '^' || b || '\b'
+         WHEN 3 THEN substr(a, 1, 2) || '[aeiou].*' || d WHEN 4 THEN a || 's? [a-m]' WHEN 5 THEN b || '( [a-z]+){2}$'
+         WHEN 6 THEN '(?:' || a || ' )?' || b || '.+' || c ELSE hint END AS pattern FROM ws),
+m AS (SELECT q_id, pattern, row_id, product_name, row_number() OVER (PARTITION BY q_id ORDER BY row_id) AS pos
+      FROM pats JOIN products ON regexp_matches(product_name, pattern, 'i'))
+SELECT q_id, pattern, CAST(pos AS INTEGER) AS pos, row_id, product_name FROM m WHERE pos <= 5"""
+
 ORACLE["sql_search"] = with_(PRODUCTS, QUESTIONS) + """,
 refs AS (SELECT q_id, reference_deduite AS ref FROM qe WHERE reference_deduite <> ''),
 m AS (SELECT q_id, row_id, code, product_name, row_number() OVER (PARTITION BY q_id ORDER BY row_id) AS pos

@@ -29,6 +29,8 @@ QUERIES: dict[str, QueryFn] = {
     "question_intents": lookups.question_intents,
     "barcode_lookup": lookups.barcode_lookup,
     "name_search": lookups.name_search,
+    "name_regex_search": lookups.name_regex_search,
+    "keyword_search": lookups.keyword_search,
     "sql_search": lookups.sql_search,
     "resolve_reference": lookups.resolve_reference,
     "resolve_question": lookups.resolve_question,

@@ -172,6 +172,7 @@ def external_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "code",
         "product_name",
         F.col("brands_tags").alias("brands"),
+        F.col("categories_en").alias("categories"),
         F.when(rid % 2 == 0, F.col("countries_en")).otherwise(F.lit(None).cast("string")).alias("countries"),
         F.when(F.col("countries_en").isNull(), F.lit(None).cast("array<string>"))
         .otherwise(F.array(F.concat(F.lit("en:"), F.lower(F.col("countries_en"))))).alias("countries_tags"),
