@@ -319,6 +319,11 @@ def api_response(df: DataFrame) -> DataFrame:
     return df.select(F.col("reponse").alias("response"), F.col("intention").alias("intent"), "question")
 
 
+def api_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 over Q9: every question's answer as the service returns it."""
+    return api_response(answers(spark, sf_dir))
+
+
 def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4 over L4: for every question, its 4 closest product documents
     joined by a blank line."""

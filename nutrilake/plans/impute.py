@@ -1,7 +1,6 @@
 """Q2: fill blank categories from the most similar product name.
 
-Reference: products with a category (P3, names lower-cased, F30), at most
-200 000 rows by an exact seeded sample (L5). To complete: products whose
+Reference: all products with a category (P3, names lower-cased, F30). To complete: products whose
 category is null or blank (P4). Names are embedded (M6), matched by the
 inverted-file search (M5 + J6, top 1, nprobe 16) and the neighbour's
 category is taken when the cosine reaches 0.55 (F32), else ''. A9 reports
@@ -10,13 +9,15 @@ the completion rate.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutrilake.functions import missing
 from nutrilake.operators import embed, knn
-from nutrilake.session import materialize
-from nutrilake.sources import files, tables
+from nutrilake.session import materialize, shared_path
+from nutrilake.sources import files, staged, tables
 
 THRESHOLD = 0.55
 NPROBE = 16
@@ -50,6 +51,29 @@ def impute_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_from_neighbours(p, "categories_en", p)
 
 
+COMPLETED = "row_id long, code string, product_name string, categories_en string, labels_tags string"
+
+
+def complete_categories(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Q2 as a job: the completed products as CSV at ``path``."""
+    return staged.replace_csv(impute_categories(spark, sf_dir).select("row_id", "code", "product_name", "categories_en"), path)
+
+
+def complete_labels(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Q3 as a job: reads the file of the categories job, adds or fills ``labels_tags`` and replaces the file."""
+    table = staged.read_csv(spark, path, "row_id long, code string, product_name string, categories_en string")
+    filled = fill_from_neighbours(table, "labels_tags", tables.labelled_products(spark, sf_dir))
+    return staged.replace_csv(filled.select("row_id", "code", "product_name", "categories_en", "labels_tags"), path)
+
+
+def impute_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2 into Q3 over one path: the second job reads and replaces what the first wrote."""
+    path = shared_path(spark, "chains", uuid.uuid4().hex)
+    complete_categories(spark, sf_dir, path)
+    complete_labels(spark, sf_dir, path)
+    return staged.read_csv(spark, path, COMPLETED)
+
+
 def impute_categories_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = impute_categories(spark, sf_dir)
     agg = i.agg(F.count_if("to_complete").alias("to_complete"), F.count_if("completed").alias("completed"))

@@ -702,6 +702,93 @@ SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, rid AS neighbour_id, score FR
 
 ORACLE["knn_saved_index"] = ORACLE["retrieve_topk"]
 
+# --- text vectors: the hashed 3-grams of the embedding, murmur3 worked out in SQL -------
+
+M32 = 4294967296
+
+
+def _mixed(column: str, source: str, steps: list[str]) -> str:
+    """Nested SELECTs that apply ``steps`` (over {x}) to a column, each on the value before it."""
+    for step in steps:
+        source = f"(SELECT * REPLACE ({step.replace('{x}', column)} AS {column}) FROM {source})"
+    return source
+
+
+def _mix_block(x: str) -> list[str]:
+    return [f"({x} * 3432918353) % {M32}", f"({x} * 32768) % {M32} + {x} // 131072", f"({x} * 461845907) % {M32}"]
+
+
+def hashed_vectors(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``name`` (key, bucket, w): L2-normalised counts of the 3-grams of lower(text) in 256 buckets."""
+    listed = "k"
+    for step in _mix_block("x"):
+        listed = f"list_transform({listed}, lambda x: {step})"
+    tail = _mixed("tail", f"{name}_b", _mix_block("{x}"))
+    final = _mixed("h", f"{name}_h", ["xor({x}, n::HUGEINT)", "xor({x}, {x} // 65536)", f"({{x}} * 2246822507) % {M32}", "xor({x}, {x} // 8192)",
+                                      f"({{x}} * 3266489909) % {M32}", "xor({x}, {x} // 65536)"])
+    return f"""
+{name}_g AS (SELECT key, substr(t, i, 1) || ' ' || substr(t, i + 1, 1) || ' ' || substr(t, i + 2, 1) AS gram
+             FROM (SELECT key, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT {key} AS key, lower(coalesce({text}, '')) AS t FROM {source}))),
+{name}_a AS (SELECT gram, list_transform(regexp_extract_all(hex(encode(gram)), '..'), lambda x: CAST('0x' || x AS HUGEINT)) AS b
+             FROM (SELECT DISTINCT gram FROM {name}_g)),
+{name}_b AS (SELECT gram, len(b) AS n, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS k,
+                    coalesce(CASE WHEN len(b) % 4 > 0 THEN b[len(b) // 4 * 4 + 1] END, 0::HUGEINT) + coalesce(CASE WHEN len(b) % 4 > 1 THEN b[len(b) // 4 * 4 + 2] END, 0::HUGEINT) * 256
+                    + coalesce(CASE WHEN len(b) % 4 > 2 THEN b[len(b) // 4 * 4 + 3] END, 0::HUGEINT) * 65536 AS tail FROM {name}_a),
+{name}_h AS (SELECT gram, n, xor(list_reduce(list_prepend(42::HUGEINT, {listed}),
+                    lambda h, x: (((xor(h, x) * 8192) % {M32} + xor(h, x) // 524288) * 5 + 3864292196) % {M32}), tail) AS h FROM {tail}),
+{name}_n AS (SELECT key, CAST(h % 256 AS INTEGER) AS bucket, count(*) AS c FROM {name}_g JOIN {final} USING (gram) GROUP BY ALL),
+{name} AS (SELECT key, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS w FROM {name}_n)"""
+
+
+def filled_names(name: str, todo: str, reference: str, value: str) -> str:
+    """CTE ``name`` (qid, score, value): the nearest reference name of each name in ``todo`` (qid, name); equal names are compared once."""
+    return hashed_vectors(f"{name}_q", f"(SELECT DISTINCT name FROM {todo})", "name", "name") + "," + \
+        hashed_vectors(f"{name}_r", f"(SELECT DISTINCT name FROM {reference})", "name", "name") + f""",
+{name}_s AS (SELECT q.key AS qname, r.key AS rname, round(sum(q.w * r.w), 6) AS score FROM {name}_q q JOIN {name}_r r USING (bucket) GROUP BY ALL),
+{name}_o AS (SELECT qid, score, {value} AS value, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rk
+             FROM {todo} t JOIN {name}_s s ON t.name = s.qname JOIN {reference} r ON r.name = s.rname),
+{name} AS (SELECT qid, score, value FROM {name}_o WHERE rk = 1)"""
+
+
+FILLED = """
+ref AS (SELECT row_id AS rid, lower(product_name) AS name, categories_en FROM products
+        WHERE product_name IS NOT NULL AND categories_en IS NOT NULL AND length(product_name) > 0 AND length(categories_en) > 0),
+todo AS (SELECT row_id AS qid, lower(product_name) AS name FROM products
+         WHERE (categories_en IS NULL OR trim(categories_en) = '') AND product_name IS NOT NULL)""" + "," + \
+    filled_names("near", "todo", "ref", "categories_en") + """,
+filled AS (SELECT row_id, code, product_name,
+  CASE WHEN categories_en IS NULL OR trim(categories_en) = '' THEN CASE WHEN score >= 0.55e0 THEN value ELSE '' END ELSE categories_en END AS categories_en,
+  categories_en IS NULL OR trim(categories_en) = '' AS to_complete,
+  (categories_en IS NULL OR trim(categories_en) = '') AND score IS NOT NULL AND score >= 0.55e0 AS completed, score
+  FROM products LEFT JOIN near ON near.qid = products.row_id)"""
+
+ORACLE["impute_categories"] = with_(PRODUCTS, FILLED) + "SELECT * FROM filled"
+
+ORACLE["impute_categories_report"] = with_(PRODUCTS, FILLED) + """
+SELECT count(*) FILTER (WHERE to_complete) AS to_complete, count(*) FILTER (WHERE completed) AS completed,
+       count(*) FILTER (WHERE completed) * 1e2 / nullif(count(*) FILTER (WHERE to_complete), 0) AS pct_completed
+FROM filled"""
+
+ORACLE["impute_chain"] = with_(PRODUCTS, FILLED) + """,
+lab AS (SELECT p_partkey AS rid, lower(CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_name END) AS name,
+               CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN ''
+                    ELSE 'en:' || lower(p_type) || ',en:' || lower(replace(p_brand, '#', '-')) END AS labels_tags FROM part),
+lref AS (SELECT * FROM lab WHERE name IS NOT NULL AND labels_tags IS NOT NULL AND length(name) > 0 AND length(labels_tags) > 0),
+ltodo AS (SELECT row_id AS qid, lower(product_name) AS name FROM filled WHERE product_name IS NOT NULL)""" + "," + \
+    filled_names("lnear", "ltodo", "lref", "labels_tags") + """
+SELECT row_id, code, product_name, nullif(categories_en, '') AS categories_en, CASE WHEN l.score >= 0.55e0 THEN l.value END AS labels_tags
+FROM filled LEFT JOIN lnear l ON l.qid = filled.row_id"""
+
+ORACLE["document_retrieval"] = with_(PRODUCTS, QUESTIONS, DOCS) + """,
+asked AS (SELECT q_id, concat_ws(' ', question, indice_produit) AS asked FROM questions_t)""" + "," + \
+    hashed_vectors("dq", "(SELECT DISTINCT asked FROM asked)", "asked", "asked") + "," + hashed_vectors("dd", "docs", "row_id", "page_content") + """,
+ds AS (SELECT q.key AS asked, d.key AS row_id, round(sum(q.w * d.w), 6) AS score FROM dq q JOIN dd d USING (bucket) GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, row_id) AS rk FROM ds),
+dc AS (SELECT asked, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY rk) AS documents, string_agg(page_content, chr(10) || chr(10) ORDER BY rk) AS contexte
+       FROM dr JOIN docs USING (row_id) WHERE rk <= 5 GROUP BY asked)
+SELECT q_id, coalesce(documents, '') AS documents, coalesce(contexte, 'Aucune information trouvée dans le dataset.') AS contexte
+FROM asked LEFT JOIN dc USING (asked)"""
+
 IMPUTE = """,
 best AS (SELECT qid, score, label AS nl FROM vb WHERE rk = 1),
 imp AS (
@@ -780,3 +867,14 @@ FROM rk JOIN docs d ON d.row_id = rk.doc WHERE r <= 4 GROUP BY rk.q_id"""
 ORACLE["sql_guard"] = with_(PRODUCTS) + """
 SELECT code, product_name, countries_en FROM products
 WHERE countries_en IS NULL OR trim(countries_en) = '' OR lower(trim(countries_en)) IN ('nan', 'null', 'none')"""
+
+ORACLE["cached_table"] = with_(PRODUCTS) + """
+SELECT step, count(*) AS n_rows, CAST(sum(row_id) AS BIGINT) AS row_ids, count(product_name) AS n_names
+FROM products, (VALUES ('made'), ('kept'), ('kept after a failed replacement'), ('replaced')) s(step)
+WHERE step <> 'replaced' OR product_name IS NOT NULL GROUP BY step"""
+
+ORACLE["csv_round_trip"] = with_(PRODUCTS) + """
+SELECT * REPLACE (coalesce(product_name, '') AS product_name, coalesce(brands_tags, '') AS brands_tags, coalesce(categories_en, '') AS categories_en,
+  coalesce(countries_en, '') AS countries_en, coalesce(nutrition_grade_fr, '') AS nutrition_grade_fr) FROM products"""
+
+ORACLE["csv_head"] = with_(PRODUCTS) + "SELECT code, product_name, categories_en FROM products ORDER BY code LIMIT 500"

@@ -54,6 +54,7 @@ QUERIES: dict[str, QueryFn] = {
     "knn_ivf": vectors.knn_ivf,
     "knn_saved_index": vectors.knn_saved_index,
     "retrieve_topk": vectors.retrieve_topk,
+    "document_retrieval": vectors.document_retrieval,
     "impute_labels": vectors.impute_labels,
     "completion_report": vectors.completion_report,
     "forest_holdout": model_eval.forest_holdout,
@@ -68,8 +69,13 @@ QUERIES: dict[str, QueryFn] = {
     "answers": answers.answers,
     "context_join": answers.context_join,
     "impute_categories": impute.impute_categories,
+    "impute_chain": impute.impute_chain,
     "impute_categories_report": impute.impute_categories_report,
     "sql_guard": misc.sql_guard,
+    "cached_table": misc.cached_table,
+    "csv_round_trip": misc.csv_round_trip,
+    "csv_head": misc.csv_head,
+    "api_responses": answers.api_responses,
     "scan_stream": scans.scan_stream,
     "question_stream": question_stream.question_stream,
 }

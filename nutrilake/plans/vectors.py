@@ -7,13 +7,15 @@ complete, FIXTURES B.3); all other rows are the reference.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nutrilake.operators import knn
-from nutrilake.session import shared_path
+from nutrilake.operators import embed, knn
+from nutrilake.plans import misc
+from nutrilake.session import materialize, shared_path
 from nutrilake.sources import tables
 
 # Threshold for the test vectors (the reference's 0.55 accepts nothing on
@@ -22,6 +24,8 @@ THRESHOLD = 0.35
 DEFAULT_THRESHOLD = 0.55
 NPROBE = 16
 TOP_K = 5
+# Fixed value: what a search without a document says.
+NOTHING_FOUND = "Aucune information trouvée dans le dataset."
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +39,9 @@ def _with_label(res: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6e: the nearest of all references. One cell is probed, then all those that its score does not rule out."""
     q, r = _split(spark, sf_dir)
-    res = knn.exact_knn(q, "vec_id", "embedding", r, "vec_id", "embedding", k=1)
+    res = knn.ivf_knn(q, "vec_id", "embedding", r, "vec_id", "embedding", k=1, nprobe=1)
     return _with_label(res, r).select(F.col("qid").alias("vec_id"), F.col("rid").alias("neighbour_id"),
                                       "score", "neighbour_label")
 
@@ -58,10 +63,43 @@ def knn_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, r = _split(spark, sf_dir)
-    res = knn.exact_knn(q, "vec_id", "embedding", r, "vec_id", "embedding", k=TOP_K)
+    res = knn.ivf_knn(q, "vec_id", "embedding", r, "vec_id", "embedding", k=TOP_K, nprobe=NPROBE)
     return res.select(F.col("qid").alias("vec_id"), "rank", F.col("rid").alias("neighbour_id"), "score")
 
 
+def index_folder(spark: SparkSession, sf_dir: str, name: str, tables_read: tuple[str, ...]) -> str:
+    """A folder of the shared storage that belongs to the present files of the tables: new files, another index."""
+    sc, seen = spark.sparkContext, []
+    for table in tables_read:
+        where = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        whole = fs.getFileStatus(where)
+        seen.append(f"{whole.getPath()} {whole.getModificationTime()} {fs.getContentSummary(where).getLength()}")
+    return shared_path(spark, "indexes", f"{name}-{hashlib.md5(' '.join(seen).encode()).hexdigest()}")
+
+
+def document_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q10: the context of each question from its ``TOP_K`` closest product documents by embedding.
+
+    The index over the documents is read if it is there, else built and saved. Equal questions are asked once."""
+    docs = misc.product_documents(tables.products(spark, sf_dir)).select("row_id", "page_content")
+
+    def embedded() -> DataFrame:
+        return embed.add_hashing_embedding(docs, F.col("page_content"), "v").select("row_id", "v")
+    index = knn.load_or_build(spark, index_folder(spark, sf_dir, "product-documents", ("part", "nation")), embedded, "row_id", "v")
+    q = tables.questions(spark, sf_dir).select("q_id", F.concat_ws(" ", "question", "indice_produit").alias("asked"))
+    texts = materialize(q.groupBy("asked").agg(F.min("q_id").alias("tid")))
+    queries = embed.add_hashing_embedding(texts, F.col("asked"), "v").select("tid", "v")
+    found = knn.ivf_search(queries, "tid", "v", index, k=TOP_K, nprobe=NPROBE)
+    context = found.join(docs, F.col("rid") == F.col("row_id")).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "rid", "page_content"))).alias("found"))
+    context = texts.join(context, F.col("tid") == F.col("qid"), "left").select(
+        F.col("asked").alias("_asked"), F.array_join(F.transform("found", lambda d: d["rid"]), ",").alias("documents"),
+        F.array_join(F.transform("found", lambda d: d["page_content"]), "\n\n").alias("contexte"))
+    return q.join(context, F.col("asked") == F.col("_asked")).select("q_id", F.coalesce("documents", F.lit("")).alias("documents"),
+                                                                     F.coalesce("contexte", F.lit(NOTHING_FOUND)).alias("contexte"))
+
+
 def impute(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     """Q2/Q3 on the vectors: a hidden label is filled with the nearest
     reference's label when the cosine reaches ``threshold``, else ''."""

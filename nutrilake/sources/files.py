@@ -1,4 +1,4 @@
-"""File sources and sinks.
+"""File sources and sinks (S1-S5, S7; S8 and S9 are in ``staged``).
 
 CSV/TSV scans use explicit schemas (no inference pass) and keep a ``row_id``
 for "file order" operations; sinks never overwrite their own input.
@@ -18,12 +18,13 @@ from nutrilake.session import shared_path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-             header: bool = True, drop_malformed: bool = False) -> DataFrame:
-    """CSV scan with a fixed schema; ``row_id`` = position in the scan."""
-    r = spark.read.schema(schema).option("header", header).option("sep", sep)
+             header: bool = True, drop_malformed: bool = False, row_id: str | None = "row_id") -> DataFrame:
+    """CSV scan with a fixed schema; ``row_id`` = position in the scan. Quotes inside values are doubled."""
+    r = spark.read.schema(schema).option("header", header).option("sep", sep).option("escape", '"')
     if drop_malformed:
         r = r.option("mode", "DROPMALFORMED")
-    return r.csv(path).withColumn("row_id", F.monotonically_increasing_id())
+    rows = r.csv(path)
+    return rows.withColumn(row_id, F.monotonically_increasing_id()) if row_id else rows
 
 
 def read_reference_tsv(spark: SparkSession, path: str, all_columns: Sequence[str], keep: Sequence[str],
@@ -87,14 +88,6 @@ def write_csv_strings_quoted(df: DataFrame, path: str, mode: str = "errorifexist
     body.write.mode(mode).text(path)
 
 
-def materialize_table(df: DataFrame, table: str, force: bool = False) -> DataFrame:
-    """Keep the saved table if it exists, else (or when forced) replace it."""
-    spark = df.sparkSession
-    if force or not spark.catalog.tableExists(table):
-        df.write.mode("overwrite").saveAsTable(table)
-    return spark.table(table)
-
-
 def bounded_scan(df: DataFrame, n: int | None = None, key: str = "row_id") -> DataFrame:
     """The first ``n`` rows in file order; unbounded by default."""
     return df if n is None else df.orderBy(key).limit(n)
@@ -105,11 +98,3 @@ def fill_missing_text(df: DataFrame, value: str = "") -> DataFrame:
     nulls (an empty string in a numeric column would break sorting)."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.na.fill(value, subset=text) if text else df
-
-
-def write_csv_overwrite(df: DataFrame, path: str) -> str:
-    """Header, no index, replace ``path``. Spark cannot overwrite a path
-    it is reading in the same job, so chained jobs write a new folder and use
-    it as the next input."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return path

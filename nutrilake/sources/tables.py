@@ -189,6 +189,15 @@ def external_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference of the labels job: products with ``labels_tags`` from their kind and brand; every fourth has none, every tenth an empty one."""
+    k = F.col("p_partkey")
+    tags = F.concat(F.lit("en:"), F.lower("p_type"), F.lit(",en:"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
+    return read_table(spark, sf_dir, "part").select(
+        k.alias("row_id"), F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name")).alias("product_name"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 10 == 1, F.lit("")).otherwise(tags).alias("labels_tags"))
+
+
 def external_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The external source with one row a code: the first by its flat fields."""
     ext = external_products(spark, sf_dir)
