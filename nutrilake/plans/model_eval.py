@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nutrilake.functions import nutrition as N
 from nutrilake.functions.rules import ok_diff
-from nutrilake.operators import forest, sampling, scoring
+from nutrilake.operators import forest, gainforest, sampling, scoring
 from nutrilake.session import materialize
 from nutrilake.sources import tables
 
@@ -101,3 +101,24 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, _ = _fit(spark, sf_dir)
     return forest.split_statistics(model, FEATURES)
+
+
+def gain_forest(spark: SparkSession, sf_dir: str) -> tuple[gainforest.Forest, DataFrame, DataFrame]:
+    """(forest by gain ratio, training rows, held-out rows) of the 80/20 split."""
+    data = materialize(sampling.split_relative(model_input(spark, sf_dir), "row_id", 0.8))
+    train = data.where(F.col("partition") == "train").drop("partition")
+    return gainforest.fit(train, FEATURES, LABEL, "row_id", trees=NUM_TREES), train, data.where(F.col("partition") == "test").drop("partition")
+
+
+def gain_forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 with M1 as the learner is set: gain ratio, learnt side for missing values, no depth cap."""
+    model, _, test = gain_forest(spark, sf_dir)
+    return _scored(gainforest.predicted(gainforest.votes(model, test, "row_id"), model.classes))
+
+
+def out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: every training row with the votes of the trees whose bag lacks it."""
+    model, train, _ = gain_forest(spark, sf_dir)
+    told = gainforest.predicted(gainforest.votes(model, train, "row_id", out_of_bag=True), model.classes)
+    share = {c: F.try_divide(F.get("votes", F.lit(i)), F.col("n_votes")) for i, c in enumerate(model.classes)}
+    return told.select("row_id", LABEL, "prediction", "confidence", "n_votes", *(share.get(g, F.lit(0.0)).alias(f"p_{g}") for g in "abcde"))

@@ -65,6 +65,8 @@ QUERIES: dict[str, QueryFn] = {
     "forest_ok_diff": model_eval.forest_ok_diff,
     "forest_importances": model_eval.forest_importances,
     "out_of_fold": model_eval.out_of_fold,
+    "gain_forest_holdout": model_eval.gain_forest_holdout,
+    "out_of_bag": model_eval.out_of_bag,
     "split_statistics": model_eval.split_statistics,
     "answers": answers.answers,
     "context_join": answers.context_join,
