@@ -26,6 +26,7 @@ from functools import reduce
 from itertools import accumulate
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -68,12 +69,20 @@ def totals(rows: DataFrame) -> list[int]:
 
 
 def block_matrix(rows: DataFrame, n: int, sums: list[int], n_rows: int) -> BlockMatrix:
-    """The rows (``row``, ``x``) less the mean, as distributed blocks."""
+    """The rows (``row``, ``x``) less the mean, as distributed blocks.
+
+    Products read the blocks several times; they are kept while they are used, and made again from the checkpointed rows where an
+    executor that held some is lost.
+    """
     # x - S/n, rounded once: the whole parts cancel exactly before the fraction is taken off.
     whole, rest = F.array(*(F.lit(s // n) for s in sums)), F.array(*(F.lit(s % n / n) for s in sums))
     centred = F.zip_with(F.zip_with("x", whole, lambda c, w: (c - w).cast("double")), rest, lambda c, r: c - r)
     vectors = MLUtils.convertVectorColumnsFromML(rows.select(F.col("row").alias("index"), array_to_vector(centred).alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, n_rows, len(sums)).toBlockMatrix(ROWS, COLUMNS)
+    return IndexedRowMatrix(vectors, n_rows, len(sums)).toBlockMatrix(ROWS, COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def forget(blocks: BlockMatrix) -> None:
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def scatter(blocks: BlockMatrix, n_rows: int) -> np.ndarray:
@@ -126,10 +135,13 @@ def whiten_length(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     every = every.withColumn("deviation", squares.try_cast("bigint"))
     if len(values):
         error = identity_error(project(spark, fit_blocks, matrix), len(values))
-        every = every.join(project(spark, block_matrix(every, n, sums, n_all), matrix), "row")
+        blocks = block_matrix(every, n, sums, n_all)
+        every = every.join(materialize(project(spark, blocks, matrix)), "row")
+        forget(blocks)
     else:
         error = None
         every = every.withColumn("w", F.array().cast("array<double>"))
+    forget(fit_blocks)
     kept = min(components, len(sums))
     explained = [float(v) / trace for v in values] + [0.0 if trace > 0 else None] * (kept - len(values))
     one = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("component"), F.get("w", F.lit(i)).alias("whitened"), F.lit(explained[i]).cast("double").alias("explained"))
