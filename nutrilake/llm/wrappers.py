@@ -492,8 +492,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(by_batch, fields).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(by_host, fields)
 
 
-#: Pages of a host that meet its wrapper together; larger hosts are cut into stretches.
-STRETCH = 256
+#: Pages of a host that meet its wrapper together; larger hosts are cut into stretches. Large hosts that are broadcast, at most.
+STRETCH, FEW_HOSTS = 256, 100_000
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -524,8 +524,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     packed = hosted.mapInArrow(pack, f"page_id {kind}, url string, host string, packed binary")
     stretches = F.ceil(F.col("n") / STRETCH).cast("int")
-    large = wrappers.where(F.col("n") > STRETCH).select("host", stretches.alias("_stretches"))
-    rows = packed.join(large, "host", "left") \
+    large = materialize(wrappers.where(F.col("n") > STRETCH).select("host", stretches.alias("_stretches")))
+    # Large hosts are few; should they not be, the pages are joined with them by a shuffle.
+    rows = packed.join(F.broadcast(large) if large.count() <= FEW_HOSTS else large, "host", "left") \
         .select("page_id", "url", "host", F.lit(True).alias("is_page"), "packed",
                 F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_stretches", F.lit(1))).cast("int").alias("stretch"))
 

@@ -82,8 +82,10 @@ def test_wrapper_does_not_grow_with_templates():
     assert wrappers.extract(page(7), json.dumps(wrapper)) == " ".join(f"text 7 {k}" for k in range(20))
 
 
-def test_large_hosts_in_stretches(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100])
+def test_large_hosts_in_stretches(spark, monkeypatch, few):
     monkeypatch.setattr(wrappers, "STRETCH", 4)
+    monkeypatch.setattr(wrappers, "FEW_HOSTS", few)
     pages, want = zip(*map(unmarked, range(30)))
     rows = [(i, f"http://h{i % 7 // 5}.example/{i}", p) for i, p in enumerate(pages)] + [(99, "http://h0.example/", None), (98, "http://other.example/", "")]
     got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
