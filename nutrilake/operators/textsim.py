@@ -15,7 +15,9 @@ Top-k similar documents (J9 / J10) are exact without comparing every pair:
    done; else the k-th similarity tells which further terms it needs.
 3. Units whose postings would be too long are compared with the classes in
    bounded blocks (products over 1024 terms at a time, numpy in
-   ``cogroup().applyInPandas``), which only emit each unit's best.
+   ``cogroup().applyInPandas``), which only emit each unit's best. Blocks
+   hold classes of like heaviest terms, and a block whose largest weights cannot reach a
+   unit's k-th similarity is not looked at.
 """
 
 from __future__ import annotations
@@ -175,7 +177,8 @@ LIMITS = [1, 2, 3, 4, 100]  # grade ranks below these are eligible; the last: an
 
 
 def _first_classes(hits: DataFrame) -> DataFrame:
-    order = [F.col("sim").desc(), F.nanvl("b_score", F.lit(float("inf"))), F.col("b_doc")]
+    # A missing score is NaN in the JVM and null where it comes from pandas.
+    order = [F.col("sim").desc(), F.coalesce(F.nanvl("b_score", F.lit(float("inf"))), F.lit(float("inf"))), F.col("b_doc")]
     return (hits.withColumn("rank", F.row_number().over(Window.partitionBy(*UNIT).orderBy(*order)))
             .where(F.col("rank") <= F.col("need")))
 
@@ -192,6 +195,41 @@ def _by_postings(prefix: DataFrame, postings: DataFrame, units: DataFrame, class
                     F.element_at("b_score", at).alias("b_score"), F.element_at("b_doc", at).alias("b_doc")))
 
 
+def _compared(pairs: DataFrame, units: DataFrame, refs: DataFrame, query_block: int) -> DataFrame:
+    """Hits of every (UNIT, rb): the unit against the classes of the block, ``query_block`` units of a block in a group."""
+    groups = pairs.groupBy("rb").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("nqb"))
+    q = units.join(pairs, UNIT).join(groups, "rb").withColumn("qb", F.pmod(F.xxhash64(*UNIT), F.col("nqb")).cast("int")).drop("nqb")
+    r = refs.join(groups, "rb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1))).drop("nqb")
+    return q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(_block_kernel, HITS)
+
+
+def _by_blocks(units: DataFrame, classes: DataFrame, block: int, query_block: int) -> DataFrame:
+    """Hits of units that rare terms do not settle, without a look at every block.
+
+    Classes are dealt into blocks of about ``block`` by their heaviest terms, so that a block holds
+    few different ones. What a unit can reach in a block is at most the sum of its weights times the
+    block's largest weight of each term. A unit is compared with the block
+    where that is highest, and then with those where it is not below the k-th similarity found there;
+    a unit whose k-th similarity is 0, or that has no k yet, with all of them.
+    """
+    heaviest = F.array_join(F.slice(F.transform(F.sort_array(F.arrays_zip("ws", "terms"), asc=False), lambda e: e["terms"]), 1, 4), " ")
+    refs = materialize(classes.withColumn("_key", heaviest).repartitionByRange(max(1, -(-classes.count() // block)), "_key", "cls")
+                       .withColumn("rb", F.spark_partition_id()).drop("_key"))
+    most = refs.select("rb", F.inline(F.arrays_zip("terms", "ws"))).groupBy("rb", "terms").agg(F.max("ws").alias("most"))
+    reach = units.select(*UNIT, F.inline(F.arrays_zip("terms", "ws"))).join(most, "terms").groupBy(*UNIT, "rb").agg(F.sum(F.col("ws") * F.col("most")).alias("bound"))
+    reach = materialize(reach)
+    own = materialize(reach.groupBy(*UNIT).agg(F.max_by("rb", F.struct("bound", -F.col("rb"))).alias("rb")))
+    first = materialize(_compared(own, units, refs, query_block))
+    kth = _first_classes(first).where(F.col("rank") == F.col("need")).select(*UNIT, F.col("sim").alias("kth"))
+    slack = 10.0 ** -SIM_DIGITS
+    settled = materialize(kth.where(F.col("kth") > slack))
+    called = reach.join(settled, UNIT).where(F.col("bound") + slack >= F.col("kth")).select(*UNIT, "rb")
+    last = refs.agg(F.max("rb")).first()[0] or 0
+    every = units.select(*UNIT).join(settled, UNIT, "left_anti").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    more = called.unionByName(every).join(own, [*UNIT, "rb"], "left_anti")
+    return first.unionByName(_compared(materialize(more), units, refs, query_block))
+
+
 def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 5,
                   better_only: bool = False, postings: int = 256, pair_cost: int = 64,
                   block: int = 2048, query_block: int = 512) -> DataFrame:
@@ -210,7 +248,7 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
     *classes* of equal vectors (module doc). ``postings`` is the number of
     candidates a unit may take from its rarest terms at first, sixteen times
     that once its k-th similarity is known; other units are compared in
-    blocks, as are those whose candidates, each ``pair_cost`` times the work of
+    blocks (``_by_blocks``), as are those whose candidates, each ``pair_cost`` times the work of
     a pair in a block, would cost more than all classes do there. The choice
     is one of cost alone: every way is exact.
     """
@@ -255,13 +293,7 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
     more = _by_postings(called.join(cheap, UNIT).select(*UNIT, "term"), lists, units, classes)
 
     rest = materialize(units.join(done, UNIT, "left_anti").join(cheap, UNIT, "left_anti"))
-    nrb = F.greatest(F.ceil(n_classes / F.lit(block)), F.lit(1)).cast("int")
-    nqb = F.greatest(F.ceil(rest.select(F.count(F.lit(1))).scalar() / F.lit(query_block)), F.lit(1)).cast("int")
-    refs_b = classes.select("*", F.pmod(F.xxhash64("cls"), nrb).cast("int").alias("rb"),
-                            F.explode(F.sequence(F.lit(0), nqb - 1)).alias("qb"))
-    units_b = rest.select("*", F.pmod(F.xxhash64(*UNIT), nqb).cast("int").alias("qb"),
-                          F.explode(F.sequence(F.lit(0), nrb - 1)).alias("rb"))
-    blocks = units_b.groupBy("rb", "qb").cogroup(refs_b.groupBy("rb", "qb")).applyInPandas(_block_kernel, HITS)
+    blocks = _by_blocks(rest, classes, block, query_block)
     found_classes = hits.drop("rank").join(done, UNIT).unionByName(more).unionByName(blocks)
 
     # documents of the first classes, then each target without its own code

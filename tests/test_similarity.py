@@ -55,3 +55,22 @@ def test_top_k_of_nothing(spark):
     got = textsim.top_k_similar(spark.createDataFrame([], "tid long, doc long"), textsim.tfidf_fit(docs, "doc", "text"),
                                 spark.createDataFrame([], "doc long, code string, grade string, score double"), K)
     assert got.count() == 0
+
+
+def test_blocks_out_of_reach_are_not_compared(spark, monkeypatch):
+    """Forty subjects of their own words and some common ones: a unit meets few blocks, and loses nothing."""
+    rnd = random.Random(11)
+    texts = [" ".join([f"s{i % 40}x{j}" for j in rnd.sample(range(5), 3)] + rnd.choices(["all", "foods", "good"], k=2)) for i in range(600)]
+    docs = list(enumerate(texts))
+    vectors = textsim.tfidf_fit(spark.createDataFrame(docs, "doc long, text string"), "doc", "text").persist()
+    meta = [(i, f"c{i}", "abcde"[i % 5], float(i % 7)) for i, _ in docs]
+    targets = [(i, i) for i in range(0, 600, 7)]
+    met = []
+    compared = textsim._compared
+    monkeypatch.setattr(textsim, "_compared", lambda pairs, units, refs, n: met.append((pairs.count(), refs.select("rb").distinct().count(), units.count()))
+                        or compared(pairs, units, refs, n))
+    got = textsim.top_k_similar(spark.createDataFrame(targets, "tid long, doc long"), vectors,
+                                spark.createDataFrame(meta, "doc long, code string, grade string, score double"), K, pair_cost=10 ** 9, block=20, query_block=16)
+    assert {tuple(r) for r in got.collect()} == brute(vectors.collect(), meta, targets, False)
+    blocks, units = met[0][1], met[0][2]
+    assert blocks > 15 and units > 50 and sum(pairs for pairs, _, _ in met) < 0.5 * blocks * units
