@@ -55,6 +55,7 @@ QUERIES: dict[str, QueryFn] = {
     "knn_saved_index": vectors.knn_saved_index,
     "retrieve_topk": vectors.retrieve_topk,
     "document_retrieval": vectors.document_retrieval,
+    "embed_model": vectors.embed_model,
     "impute_labels": vectors.impute_labels,
     "completion_report": vectors.completion_report,
     "forest_holdout": model_eval.forest_holdout,

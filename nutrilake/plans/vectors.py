@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,15 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select(F.col("qid").alias("vec_id"), "rank", F.col("rid").alias("neighbour_id"), "score")
 
 
+def embed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6/U4: every product name and category through the model UDF, 64 tokens at most. Equal texts are embedded once."""
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    udf = embed.model_embedder(lambda: embed.TokenModel(vocabulary, pattern))
+    p = tables.products(spark, sf_dir).select("row_id", F.concat_ws(" ", "product_name", "categories_en").alias("embedded"))
+    texts = p.select("embedded").distinct().withColumn("vector", udf("embedded"))
+    return p.join(texts, "embedded").select("row_id", "embedded", "vector")
+
+
 def index_folder(spark: SparkSession, sf_dir: str, name: str, tables_read: tuple[str, ...]) -> str:
     """A folder of the shared storage that belongs to the present files of the tables: new files, another index."""
     sc, seen = spark.sparkContext, []
