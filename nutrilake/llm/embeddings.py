@@ -35,20 +35,25 @@ COSINE = 0.98
 SAMPLE, ROUNDS, NEAREST = 20_000, 10, 4
 #: Nodes of one label and cell that are compared with as many others in one task.
 BLOCK = 1024
+#: Products of vectors with centroids that are held at once.
+PRODUCTS = 4_000_000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
     """Unit centroids of the unit rows of ``x``; a cell left empty takes the row that fits its own worst."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)]
+    cell, fit = np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        fit = x @ centres.T
-        cell = fit.argmax(axis=1)
+        for lo in range(0, len(x), step := max(1, PRODUCTS // k)):
+            near = x[lo: lo + step] @ centres.T
+            cell[lo: lo + step] = near.argmax(axis=1)
+            fit[lo: lo + step] = near.max(axis=1)
         total = np.zeros_like(centres)
         np.add.at(total, cell, x)
         size = np.linalg.norm(total, axis=1)
         empty = np.flatnonzero(size < 1e-12)
-        worst = np.argsort(fit[np.arange(len(x)), cell])[: len(empty)]
+        worst = np.argsort(fit)[: len(empty)]
         total[empty], size[empty] = x[worst], 1.0
         centres = total / size[:, None]
     return centres
@@ -93,8 +98,8 @@ def assigned(nodes: DataFrame, centres: dict[int, np.ndarray], nearest: int = NE
             length = np.diff(np.asarray(batch.column(3).offsets))
             for d in np.unique(length).tolist():
                 rows = np.flatnonzero(length == d)
-                for lo in range(0, len(rows), 2000):
-                    part = batch.take(pa.array(rows[lo: lo + 2000]))
+                for lo in range(0, len(rows), step := min(2000, max(1, PRODUCTS // max(1, len(centres[d]))))):
+                    part = batch.take(pa.array(rows[lo: lo + step]))
                     x = np.asarray(part.column(3).flatten()).reshape(part.num_rows, d)
                     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
