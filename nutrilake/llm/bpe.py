@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces whose ids a worker keeps.
-KEPT_PIECES = 200_000
+#: Bytes of strings and ids that a worker keeps, what an entry takes besides, and the longest string that is kept.
+KEPT_BYTES, ENTRY_BYTES, LONGEST_KEPT = 160_000_000, 180, 200
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUN = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _SPACE_RUN = re.compile(f" (?:[{_WHITE}]|$)")
@@ -75,24 +75,36 @@ def build_tokenizer(tokens: list[bytes]) -> Tokenizer:
 
 
 class Kept:
-    """A bounded memory of ids by string: what was not used since the last turn but one is forgotten."""
+    """A memory of ids by string, bounded in bytes: what was not used since the last turn but one is forgotten, long strings at once."""
 
-    def __init__(self, most: int = KEPT_PIECES // 2):
+    def __init__(self, most: int = KEPT_BYTES // 4):
         self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
+        self.long: list[str] = []
+
+    def add(self, key: str, ids: bytes) -> None:
+        self.new[key] = ids
+        if len(key) > LONGEST_KEPT:
+            self.long.append(key)
+        else:
+            self.bytes += ENTRY_BYTES + len(key) + len(ids)
 
     def unknown(self, keys: set[str]) -> set[str]:
         """Those of ``keys`` that are not known; the others are ready in ``new``."""
         away = keys.difference(self.new)
         back = [k for k in away if k in self.old]
         for k in back:
-            self.new[k] = self.old[k]
+            self.add(k, self.old[k])
         return away.difference(back)
 
     def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+        for key in self.long:
+            del self.new[key]
+        self.long.clear()
+        if self.bytes > self.most:
+            self.old, self.new, self.bytes = self.new, {}, 0
 
 
 class ByteBpe:
@@ -126,10 +138,10 @@ class ByteBpe:
         for lo in range(0, len(new), 10_000):
             part = new[lo: lo + 10_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.pieces.new[piece] = array("I", found.ids).tobytes()
+                self.pieces.add(piece, array("I", found.ids).tobytes())
         ids = self.pieces.new.__getitem__
         for run, pieces in cuts.items():
-            self.runs.new[run] = b"".join(map(ids, pieces))
+            self.runs.add(run, b"".join(map(ids, pieces)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
