@@ -71,6 +71,32 @@ def weighted_elements(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.
     return owner[at], runs[at], np.diff(np.concatenate([at, [len(runs)]]))
 
 
+#: Cells whose darts are thrown at once.
+CELLS = 1 << 20
+
+
+def _darts(d: np.ndarray, e: np.ndarray, w: np.ndarray, high: np.ndarray, deep: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Slot (row and coordinate), place in time and name of every dart that falls into the regions of the given elements."""
+    cells = high * deep
+    which = np.repeat(np.arange(len(d)), cells)
+    cell = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
+    up, rank = cell // deep[which], cell % deep[which]
+    with np.errstate(over="ignore"):
+        seed = mix64(e[which] ^ mix64(up.astype(U64) * U64(0x9E3779B97F4A7C15) + rank.astype(U64)))
+    darts = np.searchsorted(_CDF, unit(seed))
+    at = np.repeat(np.arange(len(which)), darts)
+    with np.errstate(over="ignore"):
+        dart = mix64(seed[at] + (np.arange(len(at)) - np.repeat(np.cumsum(darts) - darts, darts)).astype(U64) + U64(1))
+    owner = d[which[at]]
+    place = rank[at] + unit(mix64(dart ^ U64(0xA5A5A5A5A5A5A5A5)))
+    seen = place < limit[owner]
+    partial = w[which[at]] < up[at] + 1  # only a cell that the weight ends in
+    if partial.any():
+        seen &= ~partial | (up[at] + unit(mix64(dart ^ U64(0x5A5A5A5A5A5A5A5A))) < w[which[at]])
+    dart, place = dart[seen], place[seen]
+    return owner[seen] * k + (dart % U64(k)).astype(np.int64), place, dart
+
+
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """Signatures (n x k) of weighted sets; rows of empty sets are 0. Weights may be any numbers above 0."""
     out = np.zeros((n, k), U64)
@@ -83,31 +109,18 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
         mine = number[doc] >= 0
         d, e, w = number[doc[mine]], element[mine], weight[mine]
         limit = reach[open_rows]
-        # Unit cells of (weight, rank) that the region of each element touches.
+        # Unit cells of (weight, rank) that the region of each element touches, a block of cells at a time.
         high, deep = np.ceil(w).astype(np.int64), np.ceil(limit).astype(np.int64)[d]
-        cells = high * deep
-        which = np.repeat(np.arange(len(d)), cells)
-        cell = np.arange(len(which)) - np.repeat(np.cumsum(cells) - cells, cells)
-        up, rank = cell // deep[which], cell % deep[which]
-        with np.errstate(over="ignore"):
-            seed = mix64(e[which] ^ mix64(up.astype(U64) * U64(0x9E3779B97F4A7C15) + rank.astype(U64)))
-        darts = np.searchsorted(_CDF, unit(seed))
-        at = np.repeat(np.arange(len(which)), darts)
-        with np.errstate(over="ignore"):
-            dart = mix64(seed[at] + (np.arange(len(at)) - np.repeat(np.cumsum(darts) - darts, darts)).astype(U64) + U64(1))
-        owner = d[which[at]]
-        place = rank[at] + unit(mix64(dart ^ U64(0xA5A5A5A5A5A5A5A5)))
-        seen = place < limit[owner]
-        partial = w[which[at]] < up[at] + 1  # only a cell that the weight ends in
-        if partial.any():
-            seen &= ~partial | (up[at] + unit(mix64(dart ^ U64(0x5A5A5A5A5A5A5A5A))) < w[which[at]])
-        dart, place = dart[seen], place[seen]
-        slot = owner[seen] * k + (dart % U64(k)).astype(np.int64)
-        best = np.full(len(open_rows) * k, np.inf)
-        np.minimum.at(best, slot, place)
-        first = place == best[slot]
-        found = np.zeros(len(open_rows) * k, U64)
-        found[slot[first]] = dart[first]
+        upto = np.cumsum(high * deep)
+        best, found = np.full(len(open_rows) * k, np.inf), np.zeros(len(open_rows) * k, U64)
+        lo = 0
+        while lo < len(d):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CELLS, side="right")))
+            slot, place, dart = _darts(d[lo:hi], e[lo:hi], w[lo:hi], high[lo:hi], deep[lo:hi], limit, k)
+            np.minimum.at(best, slot, place)
+            first = place == best[slot]
+            found[slot[first]] = dart[first]
+            lo = hi
         full = np.isfinite(best.reshape(-1, k)).all(axis=1)
         out[open_rows[full]] = found.reshape(-1, k)[full]
         open_rows = open_rows[~full]
