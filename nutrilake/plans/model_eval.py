@@ -8,14 +8,16 @@ of the absent carbohydrates column.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nutrilake.functions import nutrition as N
 from nutrilake.functions.rules import ok_diff
 from nutrilake.operators import forest, gainforest, sampling, scoring
+from nutrilake.plans.vectors import index_folder
 from nutrilake.session import materialize
-from nutrilake.sources import tables
+from nutrilake.sources import staged, tables
 
 FEATURES = ["fat_100g", "saturated_fat_100g", "energy_100g", "sugars_100g", "fiber_100g", "proteins_100g",
             "salt_100g"]
@@ -36,11 +38,17 @@ def _scored(pred: DataFrame) -> DataFrame:
 
 
 def _fit(spark, sf_dir):
-    """(model, training rows, held-out rows) of the 80/20 split."""
+    """(model, training rows, held-out rows) of the 80/20 split. The model is fitted once for the present files of the tables and
+    saved in the shared folder; the other queries load it."""
     data = materialize(sampling.split_relative(model_input(spark, sf_dir), "row_id", 0.8))
     train = data.where(F.col("partition") == "train").drop("partition")
     test = data.where(F.col("partition") == "test").drop("partition")
-    return forest.fit_forest(train, FEATURES, LABEL, num_trees=NUM_TREES), train, test
+    path = index_folder(spark, sf_dir, f"forest-{NUM_TREES}", ("part", "nation"))
+    staged.recover(spark, path)
+    if not staged.exists(spark, path):
+        model = forest.fit_forest(train, FEATURES, LABEL, num_trees=NUM_TREES)
+        staged.replace(spark, path, model.save)
+    return PipelineModel.load(path), train, test
 
 
 def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
