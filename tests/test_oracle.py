@@ -102,6 +102,24 @@ def report(rows):
     assert abs(rows[0].pct_completed - 100 * rows[0].completed / rows[0].to_complete) < 1e-9
 
 
+def out_of_bag(rows):
+    n = math.floor(0.8 * n_products())
+    assert len({r.row_id for r in rows}) == len(rows) == n
+    assert all(abs(sum(r[f"p_{g}"] for g in "abcde") - 1) < 1e-9 and r[f"p_{r.prediction}"] == r.confidence == max(r[f"p_{g}"] for g in "abcde") for r in rows)
+    # A bag of the full size lacks a row with probability 1/e.
+    assert abs(sum(r.n_votes for r in rows) / (100 * n) - math.exp(-1)) < 0.01
+    assert sum(r.nutrition_grade_fr == r.prediction for r in rows) > 1.2 * Counter(r.nutrition_grade_fr for r in rows).most_common(1)[0][1]
+
+
+def responses(rows):
+    assert len(rows) == n_products() and all(r.response and r.intent in EVIDENCE and r.question for r in rows)
+
+
+def embedded(rows):
+    assert len(rows) == n_products()
+    assert all(len(r.vector) == 64 and abs(sum(x * x for x in r.vector) - bool(r.embedded)) < 1e-5 for r in rows)
+
+
 def not_empty(rows):
     assert rows
 
@@ -109,7 +127,7 @@ def not_empty(rows):
 PROPERTIES = {
     "forest_holdout": holdout, "forest_full": full, "out_of_fold": out_of_fold, "split_statistics": not_empty,
     "forest_confusion": confusion, "forest_class_scores": class_scores, "forest_overall": overall, "forest_ok_diff": not_empty,
-    "forest_importances": importances,
+    "forest_importances": importances, "gain_forest_holdout": holdout, "out_of_bag": out_of_bag, "api_responses": responses, "embed_model": embedded,
     "answers": answers, "impute_categories": imputed, "impute_categories_report": report,
 }
 
