@@ -878,3 +878,95 @@ SELECT * REPLACE (coalesce(product_name, '') AS product_name, coalesce(brands_ta
   coalesce(countries_en, '') AS countries_en, coalesce(nutrition_grade_fr, '') AS nutrition_grade_fr) FROM products"""
 
 ORACLE["csv_head"] = with_(PRODUCTS) + "SELECT code, product_name, categories_en FROM products ORDER BY code LIMIT 500"
+
+# --- the answers, one branch an intent ----------------------------------------------------
+
+ANSWERED = ",\nctx AS (SELECT * FROM (" + ORACLE["context_join"] + "))," + """
+fq AS (SELECT q_id, row_id AS j5_row FROM (""" + ORACLE["resolve_question"] + """)),
+coh AS (SELECT row_id, message FROM (""" + ORACLE["grade_coherence"] + """)),
+refs AS (SELECT q_id, reference_deduite AS ref FROM qe WHERE reference_deduite <> ''),
+cands AS (SELECT q_id, row_id, code, product_name, row_number() OVER (PARTITION BY q_id ORDER BY row_id) AS pos
+          FROM refs JOIN products ON trim(code) = ref OR lower(product_name) LIKE lower('%' || ref || '%')),
+cagg AS (SELECT q_id, count(*) AS n_cand, min(row_id) AS first_cand,
+                '[' || string_agg('{''code'': ''' || code || ''', ''product_name'': ''' || coalesce(product_name, '') || '''}', ', ' ORDER BY pos) || ']' AS listed
+         FROM cands WHERE pos <= 5 GROUP BY q_id),
+st AS (SELECT qe.*, coalesce(n_cand, 0) AS n_cand, listed, CASE WHEN n_cand = 1 THEN first_cand ELSE j5_row END AS local_row
+       FROM qe LEFT JOIN cagg USING (q_id) LEFT JOIN fq USING (q_id)),
+lo AS (SELECT st.*, p.row_id IS NOT NULL AS has_local, p.product_name AS l_name,
+              coalesce(CASE WHEN trim(codebarres_effectif) <> '' THEN codebarres_effectif END, CASE WHEN trim(p.code) <> '' THEN trim(p.code) END) AS code_eff,
+              CASE WHEN indice_produit <> '' THEN indice_produit WHEN p.row_id IS NOT NULL THEN coalesce(p.product_name, '') ELSE '' END AS ref2
+       FROM st LEFT JOIN products p ON p.row_id = st.local_row),
+ex AS (SELECT lo.*, e.code IS NOT NULL AS has_ext, contexte_rag,
+              coalesce(CASE WHEN e.countries <> '' THEN e.countries END, CASE WHEN len(e.countries_tags) > 0 THEN array_to_string(e.countries_tags, ', ') END, '') AS country,
+              coalesce(code_additif, 'E' || nullif(regexp_extract(upper(contexte_rag), '\\bE\\s?([0-9]{3,4}[a-z]?)\\b', 1), ''), 'E330') AS add_code
+       FROM lo LEFT JOIN external e ON e.code = lo.code_eff LEFT JOIN ctx USING (q_id)),
+ar AS (SELECT q_id, intention, ref2 AS ref FROM ex WHERE intention IN ('categorie', 'similarite') AND ref2 <> ''),
+ac AS (SELECT q_id, min(row_id) AS code_row FROM ar JOIN products ON trim(code) = trim(ref) GROUP BY q_id),
+an AS (SELECT q_id, min(row_id) AS name_row FROM ar JOIN products ON contains(lower(product_name), lower(ref)) GROUP BY q_id),
+tg AS (SELECT q_id, intention, coalesce(code_row, name_row) AS doc FROM ar LEFT JOIN ac USING (q_id) LEFT JOIN an USING (q_id) WHERE coalesce(code_row, name_row) IS NOT NULL),
+cat5 AS (WITH targets AS (SELECT q_id AS tid, doc FROM tg WHERE intention = 'categorie')""" + _topk_sql(False) + """
+         SELECT tid AS q_id, rnk, cand FROM ranked WHERE rnk <= 5),
+sim5 AS (WITH targets AS (SELECT q_id AS tid, doc FROM tg WHERE intention = 'similarite')""" + _topk_sql(True) + """
+         SELECT tid AS q_id, rnk, cand, sim FROM ranked WHERE rnk <= 5),
+ln AS (SELECT q_id, string_agg(coalesce(product_name, '') || ' (Nutri-Score ' || upper(coalesce(nutrition_grade_fr, '')) || ', similarite='
+                               || CAST(round(sim, 3) AS VARCHAR) || ')', '; ' ORDER BY rnk) AS similar_lines FROM sim5 JOIN products ON row_id = cand GROUP BY q_id),
+vp AS (SELECT q_id, rnk, string_split(coalesce(p.categories_en, ''), ',') AS cs FROM cat5 JOIN products p ON p.row_id = cand),
+vc AS (SELECT q_id, rnk, trim(unnest(cs)) AS c, unnest(range(len(cs))) AS i FROM vp),
+vn AS (SELECT q_id, c, count(*) AS n, min(rnk * 100000 + i) AS fs FROM vc WHERE c <> '' AND lower(c) NOT IN ('null', 'undefined') GROUP BY q_id, c),
+v3 AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, fs ASC) AS pos FROM vn),
+vo AS (SELECT q_id, min_by(c, pos) AS suggested, '[' || string_agg('(''' || c || ''', ' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY pos) || ']' AS proof
+       FROM v3 WHERE pos <= 3 GROUP BY q_id),
+e5 AS (SELECT '[' || string_agg('''' || coalesce(product_name, '') || '''', ', ' ORDER BY row_id) || ']' AS examples
+       FROM (SELECT row_id, product_name FROM todo ORDER BY row_id LIMIT 5)),
+x AS (SELECT q_id, add_code AS code_additif FROM ex),
+sh AS (SELECT x.q_id, """ + ADDITIVE_SHEET + """ FROM x LEFT JOIN additives_t a ON a.code = x.code_additif),
+al AS (SELECT ex.*, examples, similar_lines, coalesce(suggested, 'Categorie indeterminee') AS suggested, coalesce(proof, '[]') AS proof, nom, role, description, source_nom, url_source,
+              ref2 = '' AS no_ref, coalesce(e.grade_estime, 'b') AS grade_estime, coalesce(e.score_estime, 0e0) AS score_estime,
+              coalesce(e.justification, 'Estimation heuristique basee sur les nutriments disponibles : . Score estime = 0.0.') AS justification,
+              CASE WHEN has_local THEN c.message ELSE 'Informations produit manquantes.' END AS message,
+              CASE WHEN has_ext AND country <> '' THEN country ELSE 'information non trouvee' END AS pays,
+              CASE WHEN has_local THEN coalesce(l_name, '') ELSE 'ce produit' END AS est_name
+       FROM ex CROSS JOIN e5 LEFT JOIN ln USING (q_id) LEFT JOIN vo USING (q_id) LEFT JOIN sh USING (q_id)
+            LEFT JOIN est2 e ON e.row_id = local_row LEFT JOIN coh c ON c.row_id = local_row),
+said AS (SELECT q_id, question, intention,
+  CASE intention
+    WHEN 'additif' THEN add_code || ' correspond a ' || nom || '. Son role principal est : ' || role || '. ' || description
+    WHEN 'categorie' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Plusieurs produits correspondent a la demande, je ne peux pas proposer une categorie unique sans precision.'
+      WHEN no_ref THEN 'Je n''ai pas trouve de produit cible explicite pour proposer une categorie.'
+      ELSE 'Pour ' || CASE WHEN has_local THEN coalesce(l_name, '') ELSE ref2 END || ', la categorie la plus plausible est : ' || suggested || '.' END
+    WHEN 'origine' THEN CASE WHEN code_eff IS NOT NULL THEN 'Le code-barres ' || code_eff || ' renvoie le pays d''origine suivant : ' || pays || '.'
+      ELSE 'Aucun code-barres explicite n''a ete detecte dans la question.' END
+    WHEN 'similarite' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Je detecte plusieurs produits possibles, donc je ne peux pas calculer une similarite ciblee sans precision.'
+      WHEN no_ref THEN 'Je n''ai pas trouve de produit de reference pour la recherche de similarite.'
+      WHEN similar_lines IS NOT NULL THEN 'Produits similaires mieux notes trouves : ' || similar_lines ELSE 'Aucun produit similaire mieux note n''a ete trouve.' END
+    WHEN 'coherence' THEN message
+    WHEN 'estimer_nutriscore' THEN 'Pour ' || est_name || ', le Nutri-Score estime est ' || upper(grade_estime) || ' (score ' || CAST(score_estime AS VARCHAR) || ').'
+    ELSE 'Voici la meilleure synthese disponible a partir du contexte local.' END AS a,
+  CASE intention
+    WHEN 'additif' THEN 'Ajouter une fiche additif structuree avec code, nom, role et source fiable. Source retenue : ' || source_nom || ' (' || url_source || ').'
+    WHEN 'categorie' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Preciser le code-barres ou le nom exact du produit parmi les candidats proposes.'
+      WHEN no_ref THEN 'Fournir un nom produit ou un code-barres.' ELSE 'Renseigner le champ categories_en avec ' || suggested || ' puis demander une validation humaine.' END
+    WHEN 'origine' THEN CASE WHEN code_eff IS NOT NULL THEN 'Completer le champ countries_en avec la valeur retournee par l''API Open Food Facts si elle est validee.'
+      ELSE 'Fournir un code-barres ou un produit cible pour completer le pays d''origine via l''API Open Food Facts.' END
+    WHEN 'similarite' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Donner le code-barres exact du produit a comparer.' WHEN no_ref THEN 'Fournir un nom de produit ou un code-barres.'
+      ELSE 'Ajouter au produit courant une liste de recommandations alternatives mieux notees.' END
+    WHEN 'coherence' THEN 'Conserver le Nutri-Score actuel s''il est coherent, sinon signaler une verification manuelle.'
+    WHEN 'estimer_nutriscore' THEN 'Ajouter le Nutri-Score estime comme proposition d''enrichissement en attendant validation humaine.'
+    ELSE 'Enrichir le produit avec les champs manquants identifies dans le contexte.' END AS b,
+  CASE intention
+    WHEN 'additif' THEN 'La reponse s''appuie sur la fiche locale de l''additif et sur une source externe referencee : ' || url_source || '.'
+    WHEN 'categorie' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Ambiguite detectee en SQL local: ' || listed WHEN no_ref THEN 'Aucune reference exploitable dans la question.'
+      ELSE 'La proposition vient des produits les plus proches dans la base, dont les categories dominantes sont : ' || proof || '.' END
+    WHEN 'origine' THEN CASE WHEN code_eff IS NOT NULL THEN 'Le pays provient de l''API Open Food Facts interrogee a partir du code-barres.'
+      ELSE 'Exemples locaux de produits a completer : ' || examples END
+    WHEN 'similarite' THEN CASE WHEN no_ref AND n_cand > 1 THEN 'Ambiguite detectee en SQL local: ' || listed WHEN no_ref THEN 'Aucune reference exploitable dans la question.'
+      ELSE 'La similarite est calculee sur le nom, la categorie, les ingredients et la marque via TF-IDF.' END
+    WHEN 'coherence' THEN CASE WHEN has_local OR has_ext THEN justification ELSE 'Comparaison realisee a partir des nutriments disponibles.' END
+    WHEN 'estimer_nutriscore' THEN justification
+    ELSE coalesce(CASE WHEN trim(contexte_rag) <> '' THEN contexte_rag END, 'Aucun contexte local supplementaire disponible.') END AS c
+  FROM al)"""
+
+ORACLE["api_responses"] = with_(PRODUCTS, QUESTIONS, EXTERNAL, ESTIMATE, ADDITIVES_SQL, TFIDF, MISSING_COUNTRY) + ANSWERED + """
+SELECT 'Réponse' || chr(10) || a || chr(10) || chr(10) || 'Proposition d''enrichissement' || chr(10) || b || chr(10) || chr(10) || 'Justification' || chr(10) || c AS response,
+       intention AS intent, question FROM said"""
+
