@@ -62,7 +62,7 @@ BOXES = ("html", "head", "body", "div", "section", "article", "main", "nav", "he
          "dialog", "hgroup", "select", "button", "object", "video", "audio", "canvas", "map", "label", "legend", "option", "search")
 OUTSIDE = ("head", "nav", "footer", "aside", "form", "fieldset", "menu", "dialog", "select", "button", "object", "video", "audio", "canvas",
            "label", "legend", "option", "search", "header")
-ROLES_OUTSIDE = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar")
+ROLES_OUTSIDE = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar", "hidden")
 #: Words in class or id that often name what is not the article, and what is: a prior, not a verdict.
 NAMES_OUTSIDE = ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "ad",
                  "ads", "adv", "advert", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie",
@@ -87,19 +87,21 @@ class Page(NamedTuple):
 
 
 def key_of(tag: str, attributes: str) -> str:
-    """A block's name in wrappers: its tag and, if it has them, role and words of class and id without digits; headings without any are ``h``, other text blocks ``p``."""
+    """A block's name in wrappers: its tag and, if it has them, role (``hidden`` if it is not shown) and words of class and id without digits; headings without any are ``h``, other text blocks ``p``."""
     plain = "h" if tag in HEADINGS else "p" if tag in FLOW else tag
     if "=" not in attributes and "hidden" not in attributes:
         return plain
-    role, names = "", []
+    role, names, unseen = "", [], False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "role":
             role = value.lower()
         elif name in ("class", "id"):
             names += [w.lower() for w in _WORD.findall(value)]
-        elif hidden or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            names.append("hidden")
+        elif tag not in ("html", "body") and (hidden or (name == "aria-hidden" and value.lower() == "true")
+                                              or (name == "style" and "display:none" in value.replace(" ", "").lower())):
+            unseen = True
+    role = "hidden" if unseen else role
     return plain if not role and not names else f"{tag}|{role}|{' '.join(sorted(set(names)))}"
 
 
@@ -303,6 +305,12 @@ def inside(key: str) -> int:
     return 2 if tag in ("article", "main") or role in ("main", "article") else int(tag not in ("p", "html", "body") and any(w in NAMES_INSIDE for w in names.split()))
 
 
+def around(key: str) -> bool:
+    """May the block stand around the whole page, as a form or as what a script shows later?"""
+    tag, _, rest = key.partition("|")
+    return tag == "form" or rest.partition("|")[0] == "hidden"
+
+
 class Spot:
     """All parts of a wrapper with one path of keys, and what becomes of their text."""
 
@@ -337,18 +345,17 @@ class Spot:
         for kid in self.kids.values():
             kid.weigh()
             self.heading = self.heading or kid.heading
-            if not outside(kid.key) or (kid.key.partition("|")[0] == "form"):
+            if not outside(kid.key) or around(kid.key):
                 self.whole, self.marked, self.free = self.whole + kid.whole, self.marked + kid.marked, self.free + kid.free
         if inside(self.key) == 2:
             self.marked = self.free = self.whole
-        if named_outside(self.key) or self.key.partition("|")[0] == "form":
+        if named_outside(self.key) or around(self.key):
             self.free = 0
 
     def judge(self, total: int, marked: int) -> None:
         """Sets ``out``. ``marked``: the text in marked parts if all of it is in boxes whose names speak against them, else 0."""
-        tag = self.key.partition("|")[0].partition(">")[0]
         holds = 2 * self.marked > marked > 0 or 10 * self.whole >= 8 * total > 0
-        if tag == "form":
+        if around(self.key):
             self.out = not holds
         elif outside(self.key):
             self.out = True

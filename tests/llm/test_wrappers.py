@@ -25,6 +25,8 @@ def texts_of(pages, infer=True):
     '<html class="no-js hidden-xs"><body><h1>Title {1}</h1><p>{0}</p></body></html>',
     '<body><form id="aspnet"><article><h1>Title {1}</h1><p>{0}</p></article></form></body>',
     '<body class="has-popup"><div class="overlay search-page"><h1>Title {1}</h1><p>{0}</p></div><div class="ad">Buy</div></body>',
+    '<body><div style="display: none"><article><h1>Title {1}</h1><p>{0}</p></article></div></body>',
+    '<body aria-hidden="true"><article><h1>Title {1}</h1><p>{0}</p><p hidden>Not seen {1}</p><span><p style="display:none">Nor this {1}</p></span></article></body>',
     '<body><article><h2 class="search-result-title">Title {1}</h2><p class="legal">{0}</p></article></body>',
     '<body><article><h1>Title {1}</h1><p>{0}</p></article><ol class="comments"><li><article class="comment">I say</article></ol></body>',
 ])
