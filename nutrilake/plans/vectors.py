@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +69,7 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6/U4: every product name and category through the model UDF, 64 tokens at most. Equal texts are embedded once."""
+    import public_tokenizers  # only this query needs it
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     udf = embed.model_embedder(lambda: embed.TokenModel(vocabulary, pattern))
     p = tables.products(spark, sf_dir).select("row_id", F.concat_ws(" ", "product_name", "categories_en").alias("embedded"))
