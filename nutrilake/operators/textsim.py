@@ -195,6 +195,9 @@ def _by_postings(prefix: DataFrame, postings: DataFrame, units: DataFrame, class
                     F.element_at("b_score", at).alias("b_score"), F.element_at("b_doc", at).alias("b_doc")))
 
 
+FEW_BLOCKS = 16
+
+
 def _compared(pairs: DataFrame, units: DataFrame, refs: DataFrame, query_block: int) -> DataFrame:
     """Hits of every (UNIT, rb): the unit against the classes of the block, ``query_block`` units of a block in a group."""
     groups = pairs.groupBy("rb").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("nqb"))
@@ -210,10 +213,15 @@ def _by_blocks(units: DataFrame, classes: DataFrame, block: int, query_block: in
     few different ones. What a unit can reach in a block is at most the sum of its weights times the
     block's largest weight of each term. A unit is compared with the block
     where that is highest, and then with those where it is not below the k-th similarity found there;
-    a unit whose k-th similarity is 0, or that has no k yet, with all of them.
+    a unit whose k-th similarity is 0, or that has no k yet, with all of them. Fewer than ``FEW_BLOCKS``
+    blocks are all compared at once, as that is less work than the bounds.
     """
+    n_blocks = max(1, -(-classes.count() // block))
+    if n_blocks < FEW_BLOCKS:
+        refs = classes.withColumn("rb", F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).cast("int"))
+        return _compared(units.select(*UNIT, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("rb")), units, refs, query_block)
     heaviest = F.array_join(F.slice(F.transform(F.sort_array(F.arrays_zip("ws", "terms"), asc=False), lambda e: e["terms"]), 1, 4), " ")
-    refs = materialize(classes.withColumn("_key", heaviest).repartitionByRange(max(1, -(-classes.count() // block)), "_key", "cls")
+    refs = materialize(classes.withColumn("_key", heaviest).repartitionByRange(n_blocks, "_key", "cls")
                        .withColumn("rb", F.spark_partition_id()).drop("_key"))
     most = refs.select("rb", F.inline(F.arrays_zip("terms", "ws"))).groupBy("rb", "terms").agg(F.max("ws").alias("most"))
     reach = units.select(*UNIT, F.inline(F.arrays_zip("terms", "ws"))).join(most, "terms").groupBy(*UNIT, "rb").agg(F.sum(F.col("ws") * F.col("most")).alias("bound"))

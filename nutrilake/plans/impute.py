@@ -30,14 +30,17 @@ def fill_from_neighbours(df: DataFrame, target: str, reference: DataFrame, thres
     if target not in df.columns:
         df = df.withColumn(target, F.lit(""))
     ref = files.valid_reference(reference, "product_name", target)
-    ref = ref.select("row_id", "product_name", target)
+    # Equal names are one reference, their first row, and one query: more would not change a result.
+    ref = ref.groupBy("product_name").agg(F.min(F.struct("row_id", F.col(target).alias("_t"))).alias("r")) \
+        .select("r.row_id", "product_name", F.col("r._t").alias(target))
     ref = embed.add_hashing_embedding(ref, F.col("product_name"), "v")
     ref = materialize(ref.select(F.col("row_id").alias("rid"), F.col(target).alias("_value"), "v"))
     todo = missing.is_blank(F.col(target)) & F.col("product_name").isNotNull()
-    queries = embed.add_hashing_embedding(df.where(todo), F.lower(F.col("product_name")), "v").select("row_id", "v")
+    asked = materialize(df.where(todo).groupBy(F.lower("product_name").alias("_name")).agg(F.min("row_id").alias("row_id")))
+    queries = embed.add_hashing_embedding(asked, F.col("_name"), "v").select("row_id", "v")
     best = knn.ivf_knn(queries, "row_id", "v", ref, "rid", "v", k=1, nprobe=nprobe)
-    best = best.join(ref.select("rid", "_value"), "rid").select(F.col("qid").alias("row_id"), "score", "_value")
-    out = df.join(best, "row_id", "left")
+    best = best.join(ref.select("rid", "_value"), "rid").join(asked, F.col("qid") == F.col("row_id")).select("_name", "score", "_value")
+    out = df.join(best, todo & (F.lower("product_name") == F.col("_name")), "left")
     mask = missing.is_blank(F.col(target))
     accepted = mask & F.col("score").isNotNull() & (F.col("score") >= threshold)
     return out.select(*[c for c in df.columns if c != target],
