@@ -7,6 +7,7 @@ checkpoint folder that a cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -88,6 +89,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of stages whose results are checkpointed.
+
+    It does so when the driver's references to them are collected, which on a driver with
+    free memory may be long after they are of use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """Path inside the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark)
