@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from nutrilake.llm.components import components
 from nutrilake.llm.textbytes import U64, Texts, mix64, ngram_hashes, texts_of, unit
-from nutrilake.session import materialize
+from nutrilake.session import materialize, release
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair at the similarity is missed by all bands with probability (1 - 0.8^7)^40 < 1e-4.
@@ -294,9 +294,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     members = materialize(members.join(centres, "bucket").select("bucket", "a", F.col("node").alias("b"), "n"))
     stars = materialize(similarities(members.where("a != b").select("a", "b").distinct(), named, words))
     links = stars.where(F.col("j") >= similarity).select("a", "b")
+    release(docs.sparkSession)
 
     # Buckets that still hold several components: their members outside the smallest node's component.
     roots = components(links)
+    release(docs.sparkSession)
     known = members.where("n > 2").join(stars, ["a", "b"], "left").withColumn("j", F.coalesce("j", F.lit(1.0)))
     for side in ("a", "b"):
         known = known.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left") \
@@ -305,8 +307,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     unsettled = known.groupBy("bucket").agg(F.count_if(F.col("a_root") != F.col("b_root")).alias("x"), F.count("*").alias("n")) \
         .where("x > 0 and n > 1").select("bucket")
     known = materialize(known.join(unsettled, "bucket", "left_semi"))
+    release(docs.sparkSession)
     near = materialize(named.join(known.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     further = materialize(likely_pairs(known, sketch_table(near, SKETCH, words), similarity, SKETCH))
+    release(docs.sparkSession)
     more = similarities(further, near, words).where(F.col("j") >= similarity).select("a", "b")
 
     # Rows of one doc_id with different texts are one document.
@@ -315,6 +319,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     united = signed.join(same, "doc_id", "left_semi").join(nodes.select("words_hash", "node"), "words_hash") \
         .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     classes = components(links.unionByName(more).unionByName(united))
+    release(docs.sparkSession)
 
     owner = signed.select("doc_id", "words_hash").join(nodes.select("words_hash", "node"), "words_hash", "left") \
         .withColumn("node", F.coalesce("node", "doc_id"))
