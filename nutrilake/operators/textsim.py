@@ -14,7 +14,7 @@ Top-k similar documents (J9 / J10) are exact without comparing every pair:
    over the terms left. When the k-th similarity beats that sum, the unit is
    done; else the k-th similarity tells which further terms it needs.
 3. Units whose postings would be too long are compared with the classes in
-   bounded blocks (products over 1024 terms at a time, numpy in
+   bounded blocks, as one if they differ only in terms whose postings have been looked at (products over 1024 terms at a time, numpy in
    ``cogroup().applyInPandas``), which only emit each unit's best. Blocks
    hold classes of like heaviest terms, and a block whose largest weights cannot reach a
    unit's k-th similarity is not looked at.
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nutrilake.session import materialize
+from nutrilake.session import materialize, release
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 SIM_DIGITS = 9
@@ -55,19 +55,36 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return toks
 
 
+#: Terms whose document frequency is broadcast, at most.
+FREQUENT = 100_000
+
+
 def tfidf_fit(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """A10: (key, term, w) with L2-normalised smooth-idf weights.
 
-    A document without tokens has no rows (a zero vector)."""
+    A document without tokens has no rows (a zero vector). The tokens are
+    shuffled once, by document; only terms that are not among the frequent
+    ones travel by term to meet their document frequency."""
     n = docs.select(F.count(F.lit(1))).scalar()
-    tf = (docs.select(F.col(key).alias("doc"), F.explode(tokens(F.col(text), stop_words)).alias("term"))
-          .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = (tf.join(dfreq, "term")
-         .withColumn("w", F.col("tf") * (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + F.lit(1.0))))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, "doc").select(F.col("doc").alias(key), "term", "df",
-                                        (F.col("w") / F.col("norm")).alias("w")))
+    read = docs.select(F.col(key).alias("doc"), tokens(F.col(text), stop_words).alias("toks")).repartition("doc")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select("doc", F.explode("toks").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dfreq = materialize(counted(read).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    often = max(2, -(-(dfreq.agg(F.sum("df")).first()[0] or 0) // FREQUENT))
+    frequent = F.broadcast(dfreq.where(F.col("df") >= often))  # FREQUENT terms at most, by the choice of ``often``
+    read = read.where(F.col("doc").isNotNull())
+    tf = counted(read)
+    w = F.col("tf") * (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + F.lit(1.0))
+    entries = F.collect_list(F.struct("term", "df", w.alias("w")))
+    common = tf.join(frequent, "term").groupBy("doc").agg(entries.alias("common"))
+    scarce = tf.join(frequent, "term", "left_anti").join(dfreq.where(F.col("df") < often), "term").groupBy("doc").agg(entries.alias("scarce"))
+    none = F.array().cast("array<struct<term:string,df:bigint,w:double>>")
+    held = read.select("doc").distinct().join(common, "doc", "left").join(scarce, "doc", "left") \
+        .select("doc", F.array_sort(F.concat(F.coalesce("common", none), F.coalesce("scarce", none))).alias("held"))
+    norm = F.sqrt(F.aggregate("held", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return (held.select("doc", "held", norm.alias("norm")).select("doc", "norm", F.inline("held"))
+            .select(F.col("doc").alias(key), "term", "df", (F.col("w") / F.col("norm")).alias("w")))
 
 
 def _flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,15 +95,15 @@ def _flat(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.concatenate([np.zeros(0), *(np.asarray(w, dtype=np.float64) for w in df["ws"])]))
 
 
-def _products(q: pd.DataFrame, r: pd.DataFrame, width: int = 1024) -> np.ndarray:
-    """Inner products of all rows of q and r, ``width`` terms at a time."""
+def _products(q: pd.DataFrame, r_flat: tuple[np.ndarray, np.ndarray, np.ndarray], n_r: int, width: int = 1024) -> np.ndarray:
+    """Inner products of all rows of q and the ``n_r`` rows of r, ``width`` terms at a time."""
     q_row, q_term, q_w = _flat(q)
-    r_row, r_term, r_w = _flat(r)
+    r_row, r_term, r_w = r_flat
     q_col, vocab = pd.factorize(q_term)
     r_col = pd.Index(vocab).get_indexer(r_term)
-    sims = np.zeros((len(q), len(r)))
+    sims = np.zeros((len(q), n_r))
     for lo in range(0, len(vocab), width):
-        qm, rm = np.zeros((len(q), width)), np.zeros((len(r), width))
+        qm, rm = np.zeros((len(q), width)), np.zeros((n_r, width))
         for m, row, col, w in ((qm, q_row, q_col, q_w), (rm, r_row, r_col, r_w)):
             here = (col >= lo) & (col < lo + width)
             m[row[here], col[here] - lo] = w[here]
@@ -98,35 +115,41 @@ UNIT = ["ucls", "slot", "need"]
 HITS = "ucls long, slot int, need int, cls long, sim double, b_score double, b_doc long"
 
 
-def _block_kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-    """The best ``need`` classes of a block for every unit, in the order of their best eligible document."""
-    empty = pd.DataFrame({c.split()[0]: pd.Series(dtype={"long": "int64", "int": "int32"}.get(c.split()[1], "float64"))
-                          for c in HITS.split(", ")})
-    if q.empty or r.empty:
-        return empty
-    whole = -np.rint(_products(q, r) * 10.0 ** SIM_DIGITS).astype(np.int64)
-    cls = r["cls"].to_numpy(dtype=np.int64)
-    is_open = np.stack(r["is_open"].to_numpy())
-    score = np.stack([np.asarray(x, dtype=np.float64) for x in r["b_score"]])
-    doc = np.stack([np.asarray(x, dtype=np.int64) for x in r["b_doc"]])
-    out = [empty]
-    for (slot, need), rows in q.groupby(["slot", "need"], sort=False).indices.items():
-        able = np.nonzero(is_open[:, slot])[0]
-        kk = min(int(need), len(able))
-        if not kk:
-            continue
-        # one integer key a pair: rounded similarity first, then score (missing last), then id
-        tie = np.empty(len(able), dtype=np.int64)
-        s = score[able, slot]
-        tie[np.lexsort((doc[able, slot], np.where(np.isnan(s), np.inf, s)))] = np.arange(len(able))
-        key = whole[np.ix_(rows, able)] * np.int64(len(able)) + tie[None, :]
-        part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
-        pick = able[part].reshape(-1)
-        at = np.repeat(rows, kk)
-        out.append(pd.DataFrame({
-            "ucls": q["ucls"].to_numpy(dtype=np.int64)[at], "slot": np.int32(slot), "need": np.int32(need),
-            "cls": cls[pick], "sim": -whole[at, pick] / 10.0 ** SIM_DIGITS, "b_score": score[pick, slot], "b_doc": doc[pick, slot]}))
-    return pd.concat(out, ignore_index=True)
+def _block_kernel(query_block: int):
+    """The best ``need`` classes of a block for every unit, in the order of their best eligible document;
+    ``query_block`` units are compared at once."""
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c.split()[0]: pd.Series(dtype={"long": "int64", "int": "int32"}.get(c.split()[1], "float64"))
+                              for c in HITS.split(", ")})
+        if q.empty or r.empty:
+            return empty
+        r_flat = _flat(r)
+        cls = r["cls"].to_numpy(dtype=np.int64)
+        is_open = np.stack(r["is_open"].to_numpy())
+        score = np.stack([np.asarray(x, dtype=np.float64) for x in r["b_score"]])
+        doc = np.stack([np.asarray(x, dtype=np.int64) for x in r["b_doc"]])
+        out = [empty]
+        for lo in range(0, len(q), query_block):
+            some = q.iloc[lo: lo + query_block]
+            whole = -np.rint(_products(some, r_flat, len(r)) * 10.0 ** SIM_DIGITS).astype(np.int64)
+            for (slot, need), rows in some.groupby(["slot", "need"], sort=False).indices.items():
+                able = np.nonzero(is_open[:, slot])[0]
+                kk = min(int(need), len(able))
+                if not kk:
+                    continue
+                # one integer key a pair: rounded similarity first, then score (missing last), then id
+                tie = np.empty(len(able), dtype=np.int64)
+                s = score[able, slot]
+                tie[np.lexsort((doc[able, slot], np.where(np.isnan(s), np.inf, s)))] = np.arange(len(able))
+                key = whole[np.ix_(rows, able)] * np.int64(len(able)) + tie[None, :]
+                part = np.argpartition(key, kk - 1, axis=1)[:, :kk]
+                pick = able[part].reshape(-1)
+                at = np.repeat(rows, kk)
+                out.append(pd.DataFrame({
+                    "ucls": some["ucls"].to_numpy(dtype=np.int64)[at], "slot": np.int32(slot), "need": np.int32(need),
+                    "cls": cls[pick], "sim": -whole[at, pick] / 10.0 ** SIM_DIGITS, "b_score": score[pick, slot], "b_doc": doc[pick, slot]}))
+        return pd.concat(out, ignore_index=True)
+    return fn
 
 
 def _classes(vectors: DataFrame, meta: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -196,14 +219,17 @@ def _by_postings(prefix: DataFrame, postings: DataFrame, units: DataFrame, class
 
 
 FEW_BLOCKS = 16
+#: Query blocks that meet one copy of a block of classes.
+BLOCKS_A_COPY = 16
 
 
 def _compared(pairs: DataFrame, units: DataFrame, refs: DataFrame, query_block: int) -> DataFrame:
-    """Hits of every (UNIT, rb): the unit against the classes of the block, ``query_block`` units of a block in a group."""
-    groups = pairs.groupBy("rb").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("nqb"))
+    """Hits of every (UNIT, rb): the unit against the classes of the block, ``BLOCKS_A_COPY`` times ``query_block`` units of a
+    block in a group, as each group gets a copy of the block."""
+    groups = pairs.groupBy("rb").agg(F.ceil(F.count("*") / F.lit(BLOCKS_A_COPY * query_block)).cast("int").alias("nqb"))
     q = units.join(pairs, UNIT).join(groups, "rb").withColumn("qb", F.pmod(F.xxhash64(*UNIT), F.col("nqb")).cast("int")).drop("nqb")
     r = refs.join(groups, "rb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1))).drop("nqb")
-    return q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(_block_kernel, HITS)
+    return q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(_block_kernel(query_block), HITS)
 
 
 def _by_blocks(units: DataFrame, classes: DataFrame, block: int, query_block: int) -> DataFrame:
@@ -238,6 +264,31 @@ def _by_blocks(units: DataFrame, classes: DataFrame, block: int, query_block: in
     return first.unionByName(_compared(materialize(more), units, refs, query_block))
 
 
+def _by_shared_blocks(rest: DataFrame, near: DataFrame, hits: DataFrame, classes: DataFrame, block: int, query_block: int) -> DataFrame:
+    """Hits of the units ``rest``: those found by the postings of ``near`` and, over the unit's other terms, by blocks.
+
+    A class that holds one of a unit's near terms is among ``hits`` if it is among the unit's first; any
+    other class is as similar to the unit as to the unit without these terms. So units that differ only
+    in near terms (a code, say) are compared with the blocks as one. A class found both ways counts
+    with the higher similarity, which is the whole one."""
+    known = near.groupBy(*UNIT).agg(F.collect_set("term").alias("known"))
+    e = F.arrays_zip("terms", "ws")
+    others = F.when(F.col("known").isNull(), e).otherwise(F.filter(e, lambda x: ~F.array_contains("known", x["terms"])))
+    sig = F.sha2(F.to_json(F.transform("others", lambda x: F.struct(x["terms"].alias("t"), F.round(x["ws"], 12).alias("w")))), 256)
+    rest = materialize(rest.join(known, UNIT, "left").select(*UNIT, others.alias("others"))
+                       .select(*UNIT, F.col("others.terms").alias("terms"), F.col("others.ws").alias("ws"), sig.alias("sig")))
+    alike = ["sig", "slot", "need"]
+    as_one = rest.groupBy(*alike).agg(F.min("ucls").alias("one"))
+    same = materialize(rest.select(*UNIT, "sig").join(as_one, alike).select(*UNIT, "one"))
+    units = materialize(rest.join(same.where(F.col("ucls") == F.col("one")), UNIT, "left_semi").select(*UNIT, "terms", "ws"))
+    first = materialize(_first_classes(_by_blocks(units, classes, block, query_block)).drop("rank"))
+    release(first.sparkSession)
+    each = same.join(first.withColumnRenamed("ucls", "one"), ["one", "slot", "need"]).drop("one")
+    both = each.unionByName(hits.drop("rank").join(same.select(*UNIT), UNIT, "left_semi"))
+    return both.groupBy(*UNIT, "cls").agg(F.max("sim").alias("sim"), F.max(F.when(~F.isnan("b_score"), F.col("b_score"))).alias("b_score"),
+                                          F.max("b_doc").alias("b_doc"))
+
+
 def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 5,
                   better_only: bool = False, postings: int = 256, pair_cost: int = 64,
                   block: int = 2048, query_block: int = 512) -> DataFrame:
@@ -300,9 +351,9 @@ def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: in
     cheap = materialize(cheap)
     more = _by_postings(called.join(cheap, UNIT).select(*UNIT, "term"), lists, units, classes)
 
-    rest = materialize(units.join(done, UNIT, "left_anti").join(cheap, UNIT, "left_anti"))
-    blocks = _by_blocks(rest, classes, block, query_block)
-    found_classes = hits.drop("rank").join(done, UNIT).unionByName(more).unionByName(blocks)
+    rest = units.join(done, UNIT, "left_anti").join(cheap, UNIT, "left_anti")
+    settled = hits.drop("rank").join(done, UNIT)
+    found_classes = settled.unionByName(more).unionByName(_by_shared_blocks(rest, near, hits, classes, block, query_block))
 
     # documents of the first classes, then each target without its own code
     order = [F.col("sim").desc(), F.col("score").asc_nulls_last(), F.col("doc").asc()]

@@ -1,5 +1,6 @@
 """Exact text similarity by either way of search, against brute force."""
 
+import math
 import random
 
 import pytest
@@ -74,3 +75,46 @@ def test_blocks_out_of_reach_are_not_compared(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(vectors.collect(), meta, targets, False)
     blocks, units = met[0][1], met[0][2]
     assert blocks > 15 and units > 50 and sum(pairs for pairs, _, _ in met) < 0.5 * blocks * units
+
+
+def test_targets_that_differ_in_a_code_are_compared_as_one(spark, monkeypatch):
+    words = ["red", "blue", "round", "flat", "sweet", "dry"]
+    docs = [(i, f"code{i:03d} thing {words[i % 6]} {words[i // 6 % 6]}" + " thing" * (i % 4)) for i in range(90)]
+    asked = [(-1 - i, f"which thing is code{i:03d}") for i in range(0, 90, 3)] + [(-500, "which red thing"), (-501, "nothing known")]
+    vectors = textsim.tfidf_fit(spark.createDataFrame(docs + asked, "doc long, text string"), "doc", "text")
+    meta = spark.createDataFrame([(i, None, None, None) for i, _ in docs], "doc long, code string, grade string, score int")
+    seen, blocks = [], textsim._by_blocks
+
+    def counted(units, *rest):
+        seen.append(units.count())
+        return blocks(units, *rest)
+    monkeypatch.setattr(textsim, "_by_blocks", counted)
+    got = textsim.top_k_similar(spark.createDataFrame([(d, d) for d, _ in asked], "tid long, doc long"), vectors, meta, 4, False,
+                                pair_cost=1, postings=4, block=16, query_block=2).collect()
+    held = {}
+    for r in vectors.collect():
+        held.setdefault(r.doc, {})[r.term] = r.w
+    want = set()
+    for a, _ in asked:
+        sims = sorted((-round(sum(w * held.get(d, {}).get(t, 0.0) for t, w in held[a].items()), 9), d) for d, _ in docs)
+        want |= {(a, rank + 1, d) for rank, (_, d) in enumerate(sims[:4])}
+    assert {(r.tid, r["rank"], r.doc) for r in got} == want
+    assert sum(seen) <= 4
+
+
+def test_weights_with_few_and_many_frequent_terms(spark, monkeypatch):
+    docs = [(1, "aa bb bb cc"), (1, "aa dd"), (2, "aa ee"), (3, ""), (4, None), (None, "aa bb"), (5, "bb ff gg")]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    got = []
+    for frequent in (1, 100_000):
+        monkeypatch.setattr(textsim, "FREQUENT", frequent)
+        got.append({(r.doc, r.term): (r.df, round(r.w, 12)) for r in textsim.tfidf_fit(df, "doc", "text").collect()})
+    assert got[0] == got[1]
+    held, n = {1: {"aa": 2, "bb": 2, "cc": 1, "dd": 1}, 2: {"aa": 1, "ee": 1}, 5: {"bb": 1, "ff": 1, "gg": 1}}, len(docs)
+    dfreq = {"aa": 3, "bb": 3, "cc": 1, "dd": 1, "ee": 1, "ff": 1, "gg": 1}  # a missing key counts, but has no vector
+    want = {}
+    for d, tf in held.items():
+        w = {t: f * (math.log((1 + n) / (1 + dfreq[t])) + 1) for t, f in tf.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(d, t): (dfreq[t], round(x / norm, 12)) for t, x in w.items()}
+    assert got[0] == want
