@@ -45,10 +45,14 @@ def field_words(fields: dict[str, int]) -> Column:
     return F.flatten(F.array(*found))
 
 
-def inverted_index(products: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """Postings (word, points, key) with ``held``, all words of the product and their points."""
-    held = products.select(F.col(key).alias("_key"), field_words(fields).alias("held"))
-    return held.select("_key", "held", F.inline("held"))
+def held_words(products: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
+    """Rows (_row, _key, ``held``): all words of a product and their points, kept once a product."""
+    return materialize(products.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), field_words(fields).alias("held")))
+
+
+def inverted_index(held: DataFrame) -> DataFrame:
+    """Postings (word, points, _row, _key) of ``held_words``."""
+    return held.select("_row", "_key", F.inline("held"))
 
 
 def request_units(requests: DataFrame, request_id: str, text: str, index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,21 +80,25 @@ def keyword_search(requests: DataFrame, request_id: str, text: str, products: Da
 
     ``key`` is unique; rows that share a ``request_id`` are one request with the words of all; null texts have no words.
     """
-    index = materialize(inverted_index(products, key, fields))
+    held = held_words(products, key, fields)
+    index = inverted_index(held)
     of_request, units = request_units(requests, request_id, text, index)
     units = materialize(units)
     best = Window.partitionBy("word").orderBy(F.col("points").desc(), "_key")
     pages = index.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= page_size).drop("_n")
     by_page = units.withColumn("word", F.explode("rare")).join(pages, "word")
     by_rarest = units.where(F.size("rare") > 1).withColumn("word", F.get("rare", F.lit(0))).join(index, "word")
-    columns = ["unit", "rare", "_key", "held"]
-    first = materialize(_ranked(by_page.select(*columns).unionByName(by_rarest.select(*columns)), page_size))
+    columns = ["unit", "rare", "_row"]  # a product's words meet a unit once it is a candidate
+
+    def with_words(candidates: DataFrame) -> DataFrame:
+        return candidates.distinct().join(held, "_row")
+    first = materialize(_ranked(with_words(by_page.select(*columns).unionByName(by_rarest.select(*columns))), page_size))
     # Words of the last product of a full page; one word is what the pages of words have settled.
     reached = first.where(F.col("pos") == page_size).select("unit", F.col("n_words").alias("reached"))
     more = units.join(reached, "unit", "left") \
         .withColumn("_n", F.size("rare") - F.greatest(F.coalesce("reached", F.lit(2)), F.lit(2))) \
         .where(F.col("_n") > 0).select("unit", "rare", F.explode(F.slice("rare", F.lit(2), F.col("_n"))).alias("word"))
-    second = _ranked(more.join(index, "word").select(*columns), page_size)
+    second = _ranked(with_words(more.join(index, "word").select(*columns)), page_size)
     order = Window.partitionBy("unit").orderBy(F.col("n_words").desc(), F.col("points").desc(), "_key")
     both = first.unionByName(second).drop("pos").distinct().withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= page_size)
     return of_request.join(both, "unit").select(F.col("_qid").alias(request_id), "pos", F.col("_key").alias(key), "n_words", "points")
