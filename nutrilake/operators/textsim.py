@@ -57,6 +57,8 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
 
 #: Terms whose document frequency is broadcast, at most.
 FREQUENT = 100_000
+#: Documents whose terms a task counts, at most about.
+TASK_DOCS = 16384
 
 
 def tfidf_fit(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -65,8 +67,9 @@ def tfidf_fit(docs: DataFrame, key: str, text: str, stop_words: list[str] | None
     A document without tokens has no rows (a zero vector). The tokens are
     shuffled once, by document; only terms that are not among the frequent
     ones travel by term to meet their document frequency."""
-    n = docs.select(F.count(F.lit(1))).scalar()
-    read = docs.select(F.col(key).alias("doc"), tokens(F.col(text), stop_words).alias("toks")).repartition("doc")
+    n_docs = docs.count()
+    n, parts = F.lit(n_docs), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // TASK_DOCS))
+    read = docs.select(F.col(key).alias("doc"), tokens(F.col(text), stop_words).alias("toks")).repartition(parts, "doc")
 
     def counted(rows: DataFrame) -> DataFrame:
         return rows.select("doc", F.explode("toks").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -78,7 +81,8 @@ def tfidf_fit(docs: DataFrame, key: str, text: str, stop_words: list[str] | None
     w = F.col("tf") * (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + F.lit(1.0))
     entries = F.collect_list(F.struct("term", "df", w.alias("w")))
     common = tf.join(frequent, "term").groupBy("doc").agg(entries.alias("common"))
-    scarce = tf.join(frequent, "term", "left_anti").join(dfreq.where(F.col("df") < often), "term").groupBy("doc").agg(entries.alias("scarce"))
+    scarce = tf.join(frequent, "term", "left_anti").join(dfreq.where(F.col("df") < often), "term") \
+        .repartition(parts, "doc").groupBy("doc").agg(entries.alias("scarce"))
     none = F.array().cast("array<struct<term:string,df:bigint,w:double>>")
     held = read.select("doc").distinct().join(common, "doc", "left").join(scarce, "doc", "left") \
         .select("doc", F.array_sort(F.concat(F.coalesce("common", none), F.coalesce("scarce", none))).alias("held"))
