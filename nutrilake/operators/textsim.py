@@ -273,8 +273,8 @@ def _by_shared_blocks(rest: DataFrame, near: DataFrame, hits: DataFrame, classes
 
     A class that holds one of a unit's near terms is among ``hits`` if it is among the unit's first; any
     other class is as similar to the unit as to the unit without these terms. So units that differ only
-    in near terms (a code, say) are compared with the blocks as one. A class found both ways counts
-    with the higher similarity, which is the whole one."""
+    in near terms (a code, say) are compared with the blocks as one. A class found both ways
+    counts with the postings' similarity, which is the whole one."""
     known = near.groupBy(*UNIT).agg(F.collect_set("term").alias("known"))
     e = F.arrays_zip("terms", "ws")
     others = F.when(F.col("known").isNull(), e).otherwise(F.filter(e, lambda x: ~F.array_contains("known", x["terms"])))
@@ -284,13 +284,12 @@ def _by_shared_blocks(rest: DataFrame, near: DataFrame, hits: DataFrame, classes
     alike = ["sig", "slot", "need"]
     as_one = rest.groupBy(*alike).agg(F.min("ucls").alias("one"))
     same = materialize(rest.select(*UNIT, "sig").join(as_one, alike).select(*UNIT, "one"))
-    units = materialize(rest.join(same.where(F.col("ucls") == F.col("one")), UNIT, "left_semi").select(*UNIT, "terms", "ws"))
-    first = materialize(_first_classes(_by_blocks(units, classes, block, query_block)).drop("rank"))
+    units = rest.join(same.where(F.col("ucls") == F.col("one")), UNIT, "left_semi").select(*UNIT, "terms", "ws")
+    first = materialize(_first_classes(_by_blocks(materialize(units.dropDuplicates(UNIT)), classes, block, query_block)).drop("rank"))
     release(first.sparkSession)
     each = same.join(first.withColumnRenamed("ucls", "one"), ["one", "slot", "need"]).drop("one")
-    both = each.unionByName(hits.drop("rank").join(same.select(*UNIT), UNIT, "left_semi"))
-    return both.groupBy(*UNIT, "cls").agg(F.max("sim").alias("sim"), F.max(F.when(~F.isnan("b_score"), F.col("b_score"))).alias("b_score"),
-                                          F.max("b_doc").alias("b_doc"))
+    by_postings = hits.drop("rank").join(same.select(*UNIT), UNIT, "left_semi")
+    return each.join(by_postings.select(*UNIT, "cls"), [*UNIT, "cls"], "left_anti").unionByName(by_postings)
 
 
 def top_k_similar(targets: DataFrame, vectors: DataFrame, meta: DataFrame, k: int = 5,

@@ -118,3 +118,18 @@ def test_weights_with_few_and_many_frequent_terms(spark, monkeypatch):
         norm = math.sqrt(sum(x * x for x in w.values()))
         want |= {(d, t): (dfreq[t], round(x / norm, 12)) for t, x in w.items()}
     assert got[0] == want
+
+
+def test_repeated_documents_keep_their_rows(spark):
+    """A document listed twice is among a target's first k twice, by postings and by blocks alike."""
+    docs = [(i, f"code{i:03d} red thing" + " thing" * (i % 3)) for i in range(12)]
+    asked = [(-1, "red code003"), (-2, "red code900")]
+    vectors = textsim.tfidf_fit(spark.createDataFrame(docs + asked, "doc long, text string"), "doc", "text")
+    meta = spark.createDataFrame([(i, None, None, None) for i, _ in docs for _ in range(2)], "doc long, code string, grade string, score int")
+    got = []
+    for pair_cost in (1, 10 ** 9):
+        top = textsim.top_k_similar(spark.createDataFrame([(d, d) for d, _ in asked], "tid long, doc long"), vectors, meta, 4, False,
+                                    pair_cost=pair_cost, postings=2, block=4, query_block=2)
+        got.append(sorted((r.tid, r["rank"], r.doc, round(r.similarite, 9)) for r in top.collect()))
+    assert got[0] == got[1] and len(got[0]) == 8
+    assert [d for t, _, d, _ in got[0] if t == -1].count(3) > 1
