@@ -281,14 +281,18 @@ def _by_shared_blocks(rest: DataFrame, near: DataFrame, hits: DataFrame, classes
     sig = F.sha2(F.to_json(F.transform("others", lambda x: F.struct(x["terms"].alias("t"), F.round(x["ws"], 12).alias("w")))), 256)
     rest = materialize(rest.join(known, UNIT, "left").select(*UNIT, others.alias("others"))
                        .select(*UNIT, F.col("others.terms").alias("terms"), F.col("others.ws").alias("ws"), sig.alias("sig")))
-    alike = ["sig", "slot", "need"]
-    as_one = rest.groupBy(*alike).agg(F.min("ucls").alias("one"))
-    same = materialize(rest.select(*UNIT, "sig").join(as_one, alike).select(*UNIT, "one"))
-    units = rest.join(same.where(F.col("ucls") == F.col("one")), UNIT, "left_semi").select(*UNIT, "terms", "ws")
-    first = materialize(_first_classes(_by_blocks(materialize(units.dropDuplicates(UNIT)), classes, block, query_block)).drop("rank"))
+    # a unit whose class is listed twice has two rows; it is compared as often as before it was shared
+    own = rest.groupBy(*UNIT, "sig").agg(F.count("*").cast("int").alias("m"))
+    alike = ["sig", "slot", "need", "m"]
+    same = materialize(own.join(own.groupBy(*alike).agg(F.min("ucls").alias("one")), alike).select(*UNIT, "m", "one"))
+    units = materialize(rest.join(same.where(F.col("ucls") == F.col("one")), UNIT, "left_semi").select(*UNIT, "terms", "ws"))
+    first = materialize(_first_classes(_by_blocks(units, classes, block, query_block)).drop("rank"))
     release(first.sparkSession)
-    each = same.join(first.withColumnRenamed("ucls", "one"), ["one", "slot", "need"]).drop("one")
-    by_postings = hits.drop("rank").join(same.select(*UNIT), UNIT, "left_semi")
+    each = same.drop("m").join(first.withColumnRenamed("ucls", "one"), ["one", "slot", "need"]).drop("one")
+    by_postings = hits.drop("rank").join(same.select(*UNIT, "m"), UNIT)
+    if -(-classes.count() // block) < FEW_BLOCKS:  # there each row of a unit meets each of its pairs
+        by_postings = by_postings.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m")))).drop("_copy")
+    by_postings = by_postings.drop("m")
     return each.join(by_postings.select(*UNIT, "cls"), [*UNIT, "cls"], "left_anti").unionByName(by_postings)
 
 
