@@ -8,7 +8,6 @@ of the absent carbohydrates column.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +42,12 @@ def _fit(spark, sf_dir):
     data = materialize(sampling.split_relative(model_input(spark, sf_dir), "row_id", 0.8))
     train = data.where(F.col("partition") == "train").drop("partition")
     test = data.where(F.col("partition") == "test").drop("partition")
-    path = index_folder(spark, sf_dir, f"forest-{NUM_TREES}", ("part", "nation"))
+    path = index_folder(spark, sf_dir, f"forest-tables-{NUM_TREES}", ("part", "nation"))
     staged.recover(spark, path)
     if not staged.exists(spark, path):
         model = forest.fit_forest(train, FEATURES, LABEL, num_trees=NUM_TREES)
         staged.replace(spark, path, model.save)
-    return PipelineModel.load(path), train, test
+    return forest.ForestModel.load(spark, path), train, test
 
 
 def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
