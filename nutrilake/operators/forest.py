@@ -41,8 +41,8 @@ class ForestModel:
         return ForestModel(PipelineModel.load(f"{path}/stages"), gainforest.Forest.load(spark, f"{path}/forest"))
 
 
-def model_features(features: Sequence[str]) -> list[str]:
-    return [f"{c}__imp" for c in features] + [f"{c}__missing" for c in features]
+def model_features(features: Sequence[str], filled: str = "") -> list[str]:
+    return [f"{c}{filled}" for c in features] + [f"{c}__missing" for c in features]
 
 
 def add_missing_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees:
         StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"),
         Imputer(inputCols=list(features), outputCols=[f"{c}__imp" for c in features], strategy="median"),
     ]).fit(data)
-    filled, names = stages.transform(data), model_features(features)
+    filled, names = stages.transform(data), model_features(features, "__imp")
     forest = gainforest.Forest(names, stages.stages[0].labels, gainforest.cuts_of(filled, names), num_trees, seed, 0, None, [{} for _ in range(num_trees)])
     rows = filled.select(forest.bins().alias("bins"), F.col("_label").cast("int").alias("label")).groupBy("bins", "label").agg(F.count(F.lit(1)).alias("copies"))
     rows = materialize(rows.select(F.xxhash64("bins", "label").alias("h"), "bins", "label", "copies"))

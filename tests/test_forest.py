@@ -25,6 +25,7 @@ def test_phases_make_the_same_forest(spark, fitted):
     assert told(whole, asked) == told(parts, asked)
     for what in (lambda m: forest.feature_importances(spark, m, FEATURES), lambda m: forest.split_statistics(m, FEATURES)):
         a, b = (sorted(what(m).collect()) for m in (whole, parts))
+        assert {x[0] for x in a} <= {*FEATURES, *(f"{c}__missing" for c in FEATURES)}
         assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1:] for x in a], [x[1:] for x in b])
     assert abs(sum(r.importance for r in forest.feature_importances(spark, whole, FEATURES).collect()) - 1) < 1e-9
     rows = forest.predict(whole, data, FEATURES, "y").where("y is not null").collect()
