@@ -75,7 +75,8 @@ def predict(model: ForestModel, df: DataFrame, features: Sequence[str], label: s
     asked = model.stages.transform(add_missing_flags(df, features)).withColumn("_bins", model.forest.bins())
     asked = materialize(asked.select(*df.columns, "_bins"))
     votes = gainforest.told(model.forest, asked.select(F.xxhash64("_bins").alias("h"), F.col("_bins").alias("bins")), "all", soft=True)
-    out = asked.join(votes, F.col("_bins") == F.col("bins")).withColumn("_prob", F.transform("votes", lambda v: v / F.lit(float(model.forest.trees))))
+    # Spark may take rows that derive from a small file for small and gather them on the driver: no broadcast.
+    out = asked.hint("merge").join(votes, F.col("_bins") == F.col("bins")).withColumn("_prob", F.transform("votes", lambda v: v / F.lit(float(model.forest.trees))))
     conf = F.array_max("_prob")
     name = F.element_at(F.array(*map(F.lit, model.labels)), F.array_position("_prob", conf).cast("int"))
     return out.select(*df.columns, name.alias("prediction"), conf.alias("confidence"),

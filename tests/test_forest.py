@@ -80,3 +80,10 @@ def test_growth_by_gain_equals_plain_loops():
         assert (deep.counts.argmax(1)[deep.place_of(x, bins)] == pruned.counts.argmax(1)[pruned.place_of(x, bins)]).all()
         kids = pruned.child[pruned.feature >= 0]
         assert all(pruned.feature[k] >= 0 or pruned.feature[k + 1] >= 0 or pruned.counts[k].argmax() != pruned.counts[k + 1].argmax() for k in kids)
+
+
+def test_predicted_rows_are_not_gathered_on_the_driver(spark, fitted):
+    """Rows that derive from a small file may be many: their join with the votes is no broadcast."""
+    data, whole, _ = fitted
+    plan = forest.predict(whole, data, FEATURES, "y")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
